@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -175,28 +176,48 @@ def hamming(a: Column, b: Column) -> Column:
     def word(signature: Column, start: int) -> Column:
         return F.conv(F.substring(signature, start, 8), 16, 10).cast("long")
 
-    return sum((F.bit_count(word(a, s).bitwiseXOR(word(b, s))) for s in (9,)), F.bit_count(word(a, 1).bitwiseXOR(word(b, 1))))
+    return F.bit_count(word(a, 1).bitwiseXOR(word(b, 1))) + F.bit_count(word(a, 9).bitwiseXOR(word(b, 9)))
 
 
-def signature_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int = 3, signature: str = "signature") -> DataFrame:
-    """(left, right, distance) pairs within ``k`` differing bits.
+def _band(signature: Column, i: int, bands: int) -> Column:
+    start, end = i * 16 // bands, (i + 1) * 16 // bands
+    return F.substring(signature, start + 1, end - start)
 
-    Signatures cut into ``k + 1`` bands share at least one band (pigeonhole), so matching is an
-    equality join. Distinct signatures are matched first, each pair in its first common band only,
-    and keys are attached afterwards: copies of one image never multiply inside the band join.
+
+def signature_matches(images: DataFrame, holdings: DataFrame, image_key: str, holding_key: str, k: int = 3, bands: int = 8, signature: str = "signature") -> DataFrame:
+    """Per image: number of holdings within ``k`` differing bits, and the nearest one.
+
+    Of ``bands`` hex bands at most ``k`` can differ, so two near signatures agree on some
+    ``bands - k`` of them: each signature is filed under every such combination (56 for the
+    defaults) and matching is an equality join on 40 of the 64 bits, which random signatures
+    hardly ever share. Distinct signatures are matched and copies only counted, so neither the
+    join nor the result grows with the square of the copies. A pair counts under the first
+    combination it agrees on.
     """
-    bands = k + 1
-    edges = [round(i * 16 / bands) for i in range(bands + 1)]
-
-    def banded(rows: DataFrame, alias: str) -> DataFrame:
-        pieces = F.array(*[F.substring(signature, a + 1, b - a) for a, b in zip(edges, edges[1:])])
-        return rows.select(signature).distinct().select(F.col(signature).alias(alias), F.posexplode(pieces).alias("band", "piece"))
-
-    pairs = banded(left, "ls").join(banded(right, "rs"), ["band", "piece"])
-    earlier = F.lit(False)
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        earlier = earlier | ((F.col("band") > i) & (F.substring("ls", a + 1, b - a) == F.substring("rs", a + 1, b - a)))
-    near = pairs.withColumn("distance", hamming(F.col("ls"), F.col("rs"))).where((F.col("distance") <= k) & ~earlier).select("ls", "rs", "distance")
-    lefts = left.select(F.col(left_key), F.col(signature).alias("ls"))
-    rights = right.select(F.col(right_key), F.col(signature).alias("rs"))
-    return near.join(lefts, "ls").join(rights, "rs").select(left_key, right_key, "distance")
+    if bands > 16 or k >= bands:
+        raise ValueError("need k < bands <= 16")
+    combos = list(combinations(range(bands), bands - k))
+
+    def filed(rows: DataFrame, alias: str) -> DataFrame:
+        keys = F.array(*[
+            F.struct(F.lit(n).alias("combo"), F.concat(*[_band(F.col(signature), i, bands) for i in combo]).alias("piece"))
+            for n, combo in enumerate(combos)
+        ])
+        distinct = rows.select(signature).distinct()
+        return distinct.select(F.col(signature).alias(alias), F.inline(keys))
+
+    pairs = filed(images, "ls").join(filed(holdings, "rs"), ["combo", "piece"])
+    equal = F.array_compact(F.array(*[
+        F.when(_band(F.col("ls"), i, bands) == _band(F.col("rs"), i, bands), F.lit(i)) for i in range(bands)
+    ]))
+    first = F.array_position(F.array(*[F.array(*[F.lit(i) for i in c]) for c in combos]), F.slice(equal, 1, bands - k)) - 1
+    near = pairs.where((F.col("combo") == first) & (hamming(F.col("ls"), F.col("rs")) <= k)).select(
+        "ls", "rs", hamming(F.col("ls"), F.col("rs")).alias("distance")
+    )
+    known = holdings.groupBy(F.col(signature).alias("rs")).agg(F.count(F.lit(1)).alias("copies"), F.min(holding_key).alias("holding"))
+    best = near.join(known, "rs").groupBy("ls").agg(
+        F.sum("copies").alias("matches"), F.min(F.struct("distance", "holding")).alias("nearest")
+    )
+    return images.select(image_key, F.col(signature).alias("ls")).join(best, "ls").select(
+        image_key, "matches", F.col("nearest.holding").alias("nearest"), F.col("nearest.distance").alias("distance")
+    )

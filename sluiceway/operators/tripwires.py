@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.functions.columns import bind
 from sluiceway.functions.text import despaced
 
 # The pattern lists, matched case-insensitively with ``.`` crossing lines.
@@ -53,25 +54,39 @@ def text_hit(norm: Column, lists: tuple[str, ...], extra: tuple[str, ...] = ())
     """First pattern that matches a normalised text, as
     ``struct<list_rank, pattern_rank, list, pattern>``; NULL when none does.
 
-    A chain of CASE branches stays in generated code and stops at the first match. Patterns
-    without regex syntax are plain substring searches.
+    Each list is tested as one alternation, so a clean text costs one pass per list; only a text
+    that hits a list finds out which of its patterns came first. Patterns without regex syntax are
+    plain substring searches.
     """
-    squeezed = despaced(norm)
     branch = None
-    for list_rank, name, pattern_rank, pattern in table(lists, extra):
-        subject = squeezed if name == "despaced" else norm
-        if _is_literal(pattern):
-            test = F.contains(subject, F.lit(pattern.lower()))
-        else:
-            test = subject.rlike(_java(pattern))
-        value = F.struct(
-            F.lit(list_rank).alias("list_rank"), F.lit(pattern_rank).alias("pattern_rank"),
-            F.lit(name).alias("list"), F.lit(pattern).alias("pattern"),
-        )
-        branch = F.when(test, value) if branch is None else branch.when(test, value)
+    for name in (*lists, "despaced"):
+        rows = [row for row in table(lists, extra) if row[1] == name]
+        if not rows:
+            continue
+        subject = despaced(norm) if name == "despaced" else norm
+        which = None
+        for list_rank, _, pattern_rank, pattern in rows:
+            value = F.struct(
+                F.lit(list_rank).alias("list_rank"), F.lit(pattern_rank).alias("pattern_rank"),
+                F.lit(name).alias("list"), F.lit(pattern).alias("pattern"),
+            )
+            test = _matches(subject, pattern)
+            which = F.when(test, value) if which is None else which.when(test, value)
+        hit = _any_of(subject, [row[3] for row in rows])
+        branch = F.when(hit, which) if branch is None else branch.when(hit, which)
     return branch
 
 
+def _matches(subject: Column, pattern: str) -> Column:
+    return F.contains(subject, F.lit(pattern.lower())) if _is_literal(pattern) else subject.rlike(_java(pattern))
+
+
+def _any_of(subject: Column, patterns: list[str]) -> Column:
+    if len(patterns) == 1:
+        return _matches(subject, patterns[0])
+    return subject.rlike(_java("|".join(f"(?:{p})" for p in patterns)))
+
+
 def scan(texts: DataFrame, norm: str, lists: tuple[str, ...] = REQUEST_LISTS, extra: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``texts`` that hit a list, with ``hit`` and the matched ``span``.
 
@@ -100,9 +115,12 @@ def first_hit(hits: DataFrame, key: str, text_rank: str) -> DataFrame:
     )
 
 
-def word_grams(norm: Column, size: int) -> Column:
-    """Distinct runs of ``size`` words of a normalised text."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
+def words_of(norm: Column) -> Column:
+    return F.filter(F.split(norm, " "), lambda w: w != "")
+
+
+def word_grams(words: Column, size: int) -> Column:
+    """Distinct runs of ``size`` words. Pass a column, not an expression: it is read per run."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
     grams = F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
     return F.when(F.size(words) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
@@ -116,5 +134,6 @@ def phrase_join(texts: DataFrame, key: str, norm: str, phrases: DataFrame, phras
     join on the run. Spark broadcasts the phrases only while they are under its size limit.
     """
     wanted = phrases.select(F.col(phrase_key), F.col(phrase).alias("gram"))
-    runs = texts.select(F.col(key), F.explode(word_grams(F.col(norm), size)).alias("gram"))
+    split = bind(texts.select(key, norm), "words", words_of(F.col(norm)))
+    runs = bind(split, "grams", word_grams(F.col("words"), size)).select(F.col(key), F.explode("grams").alias("gram"))
     return runs.join(wanted, "gram").select(phrase_key, key)

@@ -68,3 +68,13 @@ def epoch_us(ts) -> "F.Column":
 def iso_text(ts) -> "F.Column":
     """ISO-8601 UTC text, the form log records carry."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all slots when the scan gives fewer splits than there are.
+
+    Text work is heavy per row, and a small table of few row groups would keep most slots idle. A
+    large table has more splits than slots and is left alone: no shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
