@@ -40,8 +40,14 @@ def _is_literal(pattern: str) -> bool:
 
 
 def _java(pattern: str) -> str:
-    """Java form of a pattern: Unicode-aware classes, as the patterns' authors expect."""
-    return f"(?isU){pattern}"
+    """Java form of a pattern for normalised text: classes are Unicode-aware, as the patterns'
+    authors expect, and case is only looked at where the pattern has capitals."""
+    flags = "s"
+    if re.search(r"\\[wWbBsSdD]", pattern):
+        flags += "U"
+    if re.search("[A-Z]", re.sub(r"\\.", "", pattern)):
+        flags += "i"
+    return f"(?{flags}){pattern}"
 
 
 def table(lists: tuple[str, ...], extra: tuple[str, ...] = ()) -> list[tuple[int, str, int, str]]:

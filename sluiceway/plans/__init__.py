@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("texts",)
+PARTS = ("texts", "conversation")
 
 
 def all_queries():
