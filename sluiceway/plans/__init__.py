@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("texts", "conversation")
+PARTS = ("texts", "conversation", "log")
 
 
 def all_queries():
