@@ -37,13 +37,13 @@ def running_sum(rows: DataFrame, group: str, at: str, value: str, into: str, buc
     """Sum of ``value`` up to and including each row of its group, by integer position ``at``.
 
     Groups are cut into buckets of ``bucket`` positions; each bucket is summed on its own and
-    starts from the total of the earlier buckets of its group. ``at`` must be unique per group.
+    starts from the total of the earlier buckets of its group. Rows at one position share their sum.
     """
     bucketed = rows.withColumn("_b", F.floor(F.col(at) / bucket))
     totals = bucketed.groupBy(group, "_b").agg(F.sum(value).alias("_t"))
     earlier = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(group, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_carry"))
-    inside = Window.partitionBy(group, "_b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(group, "_b").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
     summed = bucketed.withColumn("_inside", F.sum(value).over(inside))
     return summed.join(carried, [group, "_b"]).withColumn(into, F.col("_carry") + F.col("_inside")).drop("_b", "_carry", "_inside")
 

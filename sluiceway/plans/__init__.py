@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("texts", "conversation", "log")
+PARTS = ("texts", "conversation", "log", "series", "gates")
 
 
 def all_queries():
