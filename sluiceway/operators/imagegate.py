@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sluiceway.functions.columns import bind
 from sluiceway.functions.text import base_name
 from sluiceway.policy import IMAGE_CATEGORY_NAMES, category_names
 
@@ -196,22 +197,21 @@ def signature_matches(images: DataFrame, holdings: DataFrame, image_key: str, ho
     """
     if bands > 16 or k >= bands:
         raise ValueError("need k < bands <= 16")
-    combos = list(combinations(range(bands), bands - k))
+    agreeing = list(combinations(range(bands), bands - k))
+    combos = F.array(*[F.array(*[F.lit(i) for i in combo]) for combo in agreeing])
+
+    def banded(signatures: Column) -> Column:
+        return F.array(*[_band(signatures, i, bands) for i in range(bands)])
 
     def filed(rows: DataFrame, alias: str) -> DataFrame:
-        keys = F.array(*[
-            F.struct(F.lit(n).alias("combo"), F.concat(*[_band(F.col(signature), i, bands) for i in combo]).alias("piece"))
-            for n, combo in enumerate(combos)
-        ])
-        distinct = rows.select(signature).distinct()
-        return distinct.select(F.col(signature).alias(alias), F.inline(keys))
+        distinct = bind(rows.select(F.col(signature).alias(alias)).distinct(), "cut", banded(F.col(alias)))
+        pieces = F.transform(combos, lambda combo: F.array_join(F.transform(combo, lambda i: F.get("cut", i)), ""))
+        return distinct.select(alias, F.posexplode(pieces).alias("combo", "piece"))
 
     pairs = filed(images, "ls").join(filed(holdings, "rs"), ["combo", "piece"])
-    equal = F.array_compact(F.array(*[
-        F.when(_band(F.col("ls"), i, bands) == _band(F.col("rs"), i, bands), F.lit(i)) for i in range(bands)
-    ]))
-    first = F.array_position(F.array(*[F.array(*[F.lit(i) for i in c]) for c in combos]), F.slice(equal, 1, bands - k)) - 1
-    near = pairs.where((F.col("combo") == first) & (hamming(F.col("ls"), F.col("rs")) <= k)).select(
+    same = F.transform(banded(F.col("ls")), lambda piece, i: F.when(piece == F.get(banded(F.col("rs")), i), i))
+    first = F.array_position(combos, F.slice(F.array_compact(same), 1, bands - k)) - 1
+    near = pairs.where(hamming(F.col("ls"), F.col("rs")) <= k).where(F.col("combo") == first).select(
         "ls", "rs", hamming(F.col("ls"), F.col("rs")).alias("distance")
     )
     known = holdings.groupBy(F.col(signature).alias("rs")).agg(F.count(F.lit(1)).alias("copies"), F.min(holding_key).alias("holding"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("texts", "conversation", "log", "series", "gates")
+PARTS = ("texts", "conversation", "log", "series", "gates", "streams")
 
 
 def all_queries():
