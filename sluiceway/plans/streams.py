@@ -12,7 +12,7 @@ from sluiceway.plans.registry import query
 from sluiceway.plans.series import FAILURE_LIMIT, FAILURE_WINDOW
 from sluiceway.plans.texts import _hits_sql, policy
 from sluiceway.operators.tripwires import OUTPUT_LISTS, REQUEST_LISTS
-from sluiceway.session import epoch_us
+from sluiceway.session import cut, epoch_us
 from sluiceway.streaming import jobs, runner, stateful
 
 
@@ -39,8 +39,7 @@ def stream_scan(spark, sf):
 def stream_lockouts(spark, sf):
     rows = runner.follow_table(spark, sf, "events").where("event_type IN ('error', 'signup')")
     attempts = rows.select(
-        F.col("user_id").cast("string").alias("account"), F.col("ts").cast("timestamp").alias("ts"), epoch_us(F.col("ts")).alias("ts_us"),
-        (F.col("event_type") == "error").alias("failed"),
+        F.col("user_id").cast("string").alias("account"), epoch_us(F.col("ts")).alias("ts_us"), (F.col("event_type") == "error").alias("failed"),
     )
     stream = stateful.lockout_stream(attempts, FAILURE_LIMIT, FAILURE_WINDOW)
     return runner.run(spark, lambda out, ckpt: runner.to_table(stream, out, ckpt), _schema(stateful.ATTEMPTS))
@@ -67,9 +66,10 @@ def stream_gate(spark, sf):
 
     def start(out: str, checkpoint: str):
         def handle(batch, batch_id):
-            runner.write_batch(stateful.release(batch, policy()), out, batch_id)
+            # The release reads the calls three times; the stateful step must run once.
+            runner.write_batch(stateful.release(cut(batch), policy()), out, batch_id)
 
-        return runner.each_batch(stateful.buffer_calls(chunks), handle, checkpoint)
+        return runner.each_batch(stateful.buffer_calls(chunks, hold_ms=None), handle, checkpoint)
 
     rows = runner.run(spark, start, _schema(stateful.RELEASED))
     return rows.select("call_id", "finish_reason", F.coalesce("reason", F.lit("")).alias("reason"), F.sha2("text", 256).alias("digest"))

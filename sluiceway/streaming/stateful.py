@@ -43,7 +43,7 @@ def _assemble(pieces: list) -> list[dict]:
     return out
 
 
-def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_ms: int | None) -> Iterator[pd.DataFrame]:
     """Hold a call's chunks until it finishes or breaks a cap; emit it once.
 
     The caps bound the state: past them the text is dropped and only the verdict is remembered.
@@ -84,19 +84,26 @@ def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         state.remove()
     else:
         state.update((json.dumps(pieces), chunks, chars, done))
-        state.setTimeoutDuration(HOLD_MS)
+        if hold_ms:
+            state.setTimeoutDuration(hold_ms)
 
 
 def _row(key: tuple, reason: str | None, chunks: int, chars: int, outputs: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({"call_id": [key[0]], "reason": [reason], "chunks": [chunks], "chars": [chars], "outputs": [outputs]})
 
 
-def buffer_calls(chunks: DataFrame) -> DataFrame:
-    """Streamed chunks as complete calls. Nothing of a call is passed on before it is complete; a
-    call that never finishes is withheld after ``HOLD_MS``."""
-    return chunks.groupBy("call_id").applyInPandasWithState(
-        _hold, BUFFERED, HELD_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def buffer_calls(chunks: DataFrame, hold_ms: int | None = HOLD_MS) -> DataFrame:
+    """Streamed chunks as complete calls. Nothing of a call is passed on before it is complete.
+
+    A call that does not finish within ``hold_ms`` is withheld. Spark keeps running empty batches to
+    look for such calls, so a run that should end by itself (``availableNow``) passes None: its
+    unfinished calls stay in the state, unreleased, until the next run.
+    """
+    def hold(key, batches, state):
+        yield from _hold(key, batches, state, hold_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if hold_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("call_id").applyInPandasWithState(hold, BUFFERED, HELD_STATE, "append", timeout)
 
 
 def release(calls: DataFrame, policy: Policy) -> DataFrame:
@@ -123,16 +130,18 @@ ATTEMPTS = "account STRING, ts_us BIGINT, outcome STRING"
 FAILURES_STATE = "failures ARRAY<BIGINT>"
 
 
-def lockout_stream(attempts: DataFrame, limit: int, seconds: int, clear_on_success: bool = True, delay: str = "10 minutes") -> DataFrame:
-    """Outcome of every attempt ``(account, ts, ts_us, failed)``: refused while locked (and then not
-    counted as a failure), failed, or ok. State per account is at most ``limit`` timestamps."""
+def lockout_stream(attempts: DataFrame, limit: int, seconds: int, clear_on_success: bool = True) -> DataFrame:
+    """Outcome of every attempt ``(account, ts_us, failed)``: refused while locked (and then not
+    counted as a failure), failed, or ok.
+
+    State per account is at most ``limit`` timestamps, so no watermark is needed to bound it and no
+    late attempt is dropped. Attempts of one micro-batch are put in time order; the trigger's file
+    limit bounds how many there are.
+    """
     span = seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            state.remove()
-            return
         rows = pd.concat([b[["ts_us", "failed"]] for b in batches]).sort_values("ts_us", kind="stable")
         outcomes = []
         for at, failed in zip(rows["ts_us"], rows["failed"]):
@@ -146,10 +155,8 @@ def lockout_stream(attempts: DataFrame, limit: int, seconds: int, clear_on_succe
                 failures = [] if clear_on_success else failures
                 outcomes.append("ok")
         state.update((failures,))
-        # Nothing older than the window can matter once the watermark is past it.
-        state.setTimeoutTimestamp(max(int(rows["ts_us"].max() // 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"account": key[0], "ts_us": rows["ts_us"].to_numpy(), "outcome": outcomes})
 
-    return attempts.withWatermark("ts", delay).groupBy("account").applyInPandasWithState(
-        step, ATTEMPTS, FAILURES_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    return attempts.groupBy("account").applyInPandasWithState(
+        step, ATTEMPTS, FAILURES_STATE, "append", GroupStateTimeout.NoTimeout
     )
