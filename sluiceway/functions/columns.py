@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,3 +16,9 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     array neither adds nor drops rows.
     """
     return df.withColumn(name, F.explode(F.array(value)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value worked out once: inside a lambda it is a variable, not a copied
+    expression. For costly values that an expression uses several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from sluiceway.functions.columns import bind
+from sluiceway.functions.columns import bind, let
 from sluiceway.functions.text import base_name
 from sluiceway.policy import IMAGE_CATEGORY_NAMES, category_names
 
@@ -89,14 +89,21 @@ def filter_choices(choices: DataFrame, inventory: DataFrame, allowed: DataFrame,
 def parse_verdict(raw: Column) -> Column:
     """``struct<six booleans, description>`` of a verdict document, NULL unless all six fields are
     real booleans."""
-    document = F.try_parse_json(raw)
-    valid = F.schema_of_variant(document).startswith("OBJECT")
-    for name in VERDICT_FIELDS:
-        kind = F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
-        valid = valid & F.coalesce(kind == "BOOLEAN", F.lit(False))
-    fields = [F.try_variant_get(document, f"$.{name}", "boolean").alias(name) for name in VERDICT_FIELDS]
-    description = F.substring(F.coalesce(F.try_variant_get(document, "$.description", "string"), F.lit("")), 1, DESCRIPTION_CHARS)
-    return F.when(F.coalesce(valid, F.lit(False)), F.struct(*fields, description.alias("description")))
+    fields = ", ".join(f"{name}:boolean" for name in VERDICT_FIELDS)
+    # Spark's parser stops after the first complete value; a text with more after it is
+    # not one JSON value. The closing mark, unknown to whoever wrote the text, proves the whole text was one value.
+    mark = F.md5(raw)
+    whole = F.concat(F.lit('{"v":'), raw, F.lit(',"end":"'), mark, F.lit('"}'))
+
+    def check(read: Column) -> Column:
+        found = read["v"]
+        valid = F.coalesce(read["end"] == mark, F.lit(False))
+        for name in VERDICT_FIELDS:
+            valid = valid & found[name].isNotNull()
+        short = F.substring(F.coalesce(found["description"], F.lit("")), 1, DESCRIPTION_CHARS)
+        return F.when(valid, F.struct(*[found[name].alias(name) for name in VERDICT_FIELDS], short.alias("description")))
+
+    return let(F.from_json(whole, f"v struct<{fields}, description:string>, end string"), check)
 
 
 def decide(verdict: Column, nsfw_grant: Column, error: Column | None = None) -> Column:
@@ -124,7 +131,8 @@ def output_gate(outputs: DataFrame, verdicts: DataFrame, key: list[str], root: s
     """Decision per output of a prompt; outputs without a verdict are destroyed. Split the result
     by ``action = 'keep'`` into gallery rows and audit rows."""
     rows = outputs.where(inside_store(F.col("path"), root)) if root else outputs
-    judged = rows.join(verdicts.select(*key, parse_verdict(F.col("raw")).alias("verdict")), key, "left")
+    parsed = bind(verdicts.select(*key, "raw"), "verdict", parse_verdict(F.col("raw"))).drop("raw")
+    judged = rows.join(parsed, key, "left")
     return judged.withColumn("d", decide(F.col("verdict"), F.col("nsfw_grant"))).select(
         *outputs.columns, "d.action", "d.why", "d.code",
         F.coalesce(F.col("verdict.nsfw") | F.col("verdict.sexual_content"), F.lit(False)).alias("nsfw"),
@@ -146,8 +154,9 @@ def vector_signature(vector: Column) -> Column:
     """64-bit signature of a 64-value vector as 16 hex digits: bit = value above the median of all
     values but the first (the constant part)."""
     rest = F.array_sort(F.slice(vector, 2, 63))
-    median = F.element_at(rest, 32)
-    bits = F.array_join(F.transform(vector, lambda v: F.when(v > median, "1").otherwise("0")), "")
+    bits = let(F.element_at(rest, 32), lambda median: F.array_join(
+        F.transform(vector, lambda v: F.when(v > median, "1").otherwise("0")), ""
+    ))
     half = [F.lpad(F.lower(F.conv(F.substring(bits, start, 32), 2, 16)), 8, "0") for start in (1, 33)]
     return F.concat(*half)
 

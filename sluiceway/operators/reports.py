@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.functions.columns import bind
+
 # Fixed values.
 ACTUAL_CHARS = 300
 LEAKS_SHOWN = 5
@@ -39,7 +41,8 @@ def leak_scan(files: DataFrame, key: str, text: str, patterns: list[str], shown:
     are. Files without a hit are dropped before their lines are exploded; the ranked lines are
     limited before the shuffle."""
     any_pattern = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-    lines = files.where(F.col(text).rlike(any_pattern)).select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    tested = bind(files.select(key, text), "_leaks", F.col(text).rlike(any_pattern))
+    lines = tested.where("_leaks").select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     hits = lines.where(F.col("line").rlike(any_pattern)).select(key, (F.col("at") + 1).alias("line_no"), "line")
     first = Window.partitionBy(key).orderBy("line_no")
     return hits.withColumn("n", F.row_number().over(first)).where(F.col("n") <= shown).drop("n")

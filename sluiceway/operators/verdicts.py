@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.functions.columns import let
 from sluiceway.policy import Policy
 
 # Line breaks, code format, what the one built-in family answers, families known by
@@ -32,21 +33,25 @@ def parse_two_lines(raw: Column) -> Column:
         F.transform(F.split(F.lower(raw), LINE_BREAKS), lambda line: F.regexp_replace(line, r"(?U)^\s+|\s+$", "")),
         lambda line: line != "",
     )
-    first = F.try_element_at(lines, F.lit(1))
-    later = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " ")
-    codes = F.transform(F.regexp_extract_all(later, F.lit(CODE), F.lit(0)), lambda c: F.upper(c))
     none = F.array().cast("array<string>")
 
     def verdict(status: str, unsafe: Column, found: Column) -> Column:
         return F.struct(F.lit(status).alias("status"), unsafe.alias("unsafe"), found.alias("codes"))
 
-    named = F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit(UNSPECIFIED)))
-    return (
-        F.when(raw.isNull() | (F.size(lines) == 0), verdict(UNAVAILABLE, F.lit(None).cast("boolean"), none))
-        .when(first == "safe", verdict(OK, F.lit(False), none))
-        .when(first == "unsafe", verdict(OK, F.lit(True), named))
-        .otherwise(verdict(UNPARSEABLE, F.lit(None).cast("boolean"), none))
-    )
+    def read(lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))
+        later = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " ")
+        codes = F.transform(F.regexp_extract_all(later, F.lit(CODE), F.lit(0)), lambda c: F.upper(c))
+        named = let(codes, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(UNSPECIFIED))))
+        unknown = F.lit(None).cast("boolean")
+        return (
+            F.when(lines.isNull() | (F.size(lines) == 0), verdict(UNAVAILABLE, unknown, none))
+            .when(first == "safe", verdict(OK, F.lit(False), none))
+            .when(first == "unsafe", verdict(OK, F.lit(True), named))
+            .otherwise(verdict(UNPARSEABLE, unknown, none))
+        )
+
+    return let(lines, read)
 
 
 @dataclass(frozen=True)

@@ -106,7 +106,7 @@ SELECT workflow, pos, part, supplier, CASE WHEN l_tax = 0.08 THEN 'destroy_unpar
 def output_gate(spark, sf):
     """Order lines as generated outputs; the verdict document is built from their flags, and lines
     taxed at 8 % carry a text instead of one boolean."""
-    line = load(spark, sf, "lineitem").select(
+    line = spread(load(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
         "l_returnflag", "l_linestatus", "l_tax", "l_discount",
     )

@@ -9,7 +9,7 @@ from sluiceway.operators import audit, evidence, reports, retention
 from sluiceway.plans.registry import query
 from sluiceway.plans.texts import GUARD, NAMES_SQL, policy
 from sluiceway.policy import category_names
-from sluiceway.session import iso_text, load
+from sluiceway.session import cut, iso_text, load
 
 AS_OF = "2024-04-15 00:00:00"
 IMMUTABLE_DAYS = 90
@@ -194,7 +194,7 @@ v AS (SELECT t.chain_id, t.seq, t.id, NOT t.removed AS present, NOT t.removed AN
 
 
 def _verified(spark: SparkSession, sf: str) -> DataFrame:
-    records = sealed(spark, sf)
+    records = cut(sealed(spark, sf))  # stands for the stored table: read three times, sealed once
     return evidence.verify(evidence.index_of(records), _tampered(records), segment_rows=SEGMENT_ROWS)
 
 
@@ -214,7 +214,7 @@ SELECT 'kept' AS part, chain_id, seq, hash FROM c WHERE NOT old
 UNION ALL SELECT 'anchor', chain_id, max(seq), arg_max(hash, seq) FROM c WHERE old GROUP BY chain_id""")
 def evidence_expire(spark, sf):
     cutoff = retention.cutoff(F.to_timestamp(F.lit(AS_OF)), EVIDENCE_DAYS)
-    kept, anchors = evidence.expire(sealed(spark, sf), cutoff)
+    kept, anchors = evidence.expire(cut(sealed(spark, sf)), cutoff)
     return kept.select(F.lit("kept").alias("part"), "chain_id", "seq", "hash").unionByName(
         anchors.select(F.lit("anchor").alias("part"), "chain_id", "seq", "hash")
     )
