@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sluiceway.functions import json_text
+from sluiceway.functions.json_text import BudgetExceeded, unescape_arguments
 from sluiceway.operators import requests, tripwires
 from sluiceway.operators.outputs import MAX_OUTPUT_CHARS, MAX_OUTPUT_CHUNKS
 from sluiceway.policy import Policy
@@ -38,7 +38,7 @@ def _assemble(pieces: list) -> list[dict]:
             out.append({"choice": choice, "kind": kind, "text": text})
         elif kind == "args" or (choice, "args", tool) not in joined:
             name = joined.get((choice, "name", tool), "")
-            spoken = json_text.unescape_arguments(text) if kind == "args" else ""
+            spoken = unescape_arguments(text) if kind == "args" else ""
             out.append({"choice": choice, "kind": "tool", "text": f"{name} {spoken}"})
     return out
 
@@ -76,7 +76,7 @@ def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_m
                 outputs = _assemble(pieces)
                 if not any(o["text"].strip() for o in outputs):
                     reason = "no_scannable_output"
-            except json_text.BudgetExceeded:
+            except BudgetExceeded:
                 reason = "schema_budget_exceeded"
         yield _row(key, reason, chunks, chars, outputs)
         done, pieces = True, []
