@@ -13,7 +13,7 @@ from sluiceway.policy import Policy
 
 # Line breaks, code format, what the one built-in family answers, families known by
 # name for which no adapter exists.
-LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 CODE = r"s\d{1,2}"
 EXPECTED = '"safe" or "unsafe" followed by S-codes on the next line (e.g. "unsafe\\nS1,S4")'
 KNOWN_WITHOUT_ADAPTER = "(?i)shield|guardian|wildguard"

@@ -18,20 +18,15 @@ CORRUPT = "_corrupt_record"
 
 def read_log(spark: SparkSession, path: str, schema: str = schemas.VETO_AUDIT) -> DataFrame:
     """A JSON Lines log; lines that do not parse keep their text in ``_corrupt_record``."""
-    return spark.read.schema(f"{schema}, {CORRUPT} STRING").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT
-    ).json(path)
+    lines = spark.read.option("recursiveFileLookup", True).text(path).where(F.col("value").rlike(r"\S"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.select(F.from_json("value", f"{schema}, {CORRUPT} STRING", options).alias("r")).select("r.*")
 
 
 def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined lines): malformed lines are counted and kept, not lost.
-
-    The log is parsed from text once more for each side, because Spark refuses queries over the
-    corrupt column alone; the quarantine therefore keeps one parsed column next to it.
-    """
-    good = log.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = log.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"), F.col(log.columns[0]).alias("first_field"))
-    return good, bad
+    """(good rows, quarantined lines): malformed lines are counted and kept, not lost."""
+    bad = log.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    return log.where(F.col(CORRUPT).isNull()).drop(CORRUPT), bad
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
