@@ -97,8 +97,8 @@ _VERDICT_FLAGS = """l_returnflag = 'R' AS nsfw, l_returnflag = 'A' AND l_linenum
 
 
 @query("output_gate", f"""
-WITH v AS (SELECT l_orderkey AS workflow, l_linenumber AS pos, l_partkey AS part, l_suppkey AS supplier, l_tax, o_custkey % 2 = 0 AS nsfw_grant, {_VERDICT_FLAGS} FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
-SELECT workflow, pos, part, supplier, CASE WHEN l_tax = 0.08 THEN 'destroy_unparseable' WHEN sexual_minor OR (minor_present AND (nsfw OR sexual_content)) THEN 'destroy_illegal'
+WITH v AS (SELECT l_orderkey AS workflow, l_linenumber AS pos, l_partkey AS part, l_suppkey AS supplier, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, l_tax, o_custkey % 2 = 0 AS nsfw_grant, {_VERDICT_FLAGS} FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT workflow, pos, part, supplier, price, CASE WHEN l_tax = 0.08 THEN 'destroy_unparseable' WHEN sexual_minor OR (minor_present AND (nsfw OR sexual_content)) THEN 'destroy_illegal'
   WHEN illegal THEN 'destroy_illegal' WHEN (nsfw OR sexual_content OR violence_gore) AND NOT nsfw_grant THEN 'destroy_nsfw' ELSE 'keep' END AS action,
  CASE WHEN l_tax = 0.08 THEN 'UNPARSEABLE_VERDICT' WHEN sexual_minor OR (minor_present AND (nsfw OR sexual_content)) THEN 'S4' WHEN illegal THEN 'S3'
   WHEN (nsfw OR sexual_content OR violence_gore) AND NOT nsfw_grant THEN 'S12' END AS code,
@@ -108,9 +108,9 @@ def output_gate(spark, sf):
     taxed at 8 % carry a text instead of one boolean."""
     line = spread(load(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
-        "l_returnflag", "l_linestatus", "l_tax", "l_discount",
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), "l_returnflag", "l_linestatus", "l_tax", "l_discount",
     )
-    key = ["workflow", "pos", "part", "supplier"]
+    key = ["workflow", "pos", "part", "supplier", "price"]
     n = F.col("pos")
     flags = {
         "nsfw": F.col("l_returnflag") == "R", "sexual_content": (F.col("l_returnflag") == "A") & (n % 2 == 0),
