@@ -40,13 +40,13 @@ def distinct_refs(refs: DataFrame, workflow: str, name: str, pos: str) -> DataFr
 def file_refs(inputs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Inputs that name a file of the store."""
     named = inputs.withColumn("name", base_name(F.col("value")))
-    return named.join(inventory.select("name"), "name", "left_semi")
+    return named.join(inventory.select("name").distinct(), "name", "left_semi")
 
 
 def text_inputs(inputs: DataFrame, inventory: DataFrame) -> DataFrame:
     """Every other non-blank string input: prompts and whatever a custom node carries."""
     named = inputs.withColumn("name", base_name(F.col("value"))).where(F.col("value").rlike(r"(?U)\S"))
-    return named.join(inventory.select("name"), "name", "left_anti")
+    return named.join(inventory.select("name").distinct(), "name", "left_anti")
 
 
 def foreign_inputs(refs: DataFrame, owned: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,22 +54,21 @@ def foreign_inputs(refs: DataFrame, owned: DataFrame, keys: list[str]) -> DataFr
     return refs.join(owned.select(*keys).distinct(), keys, "left_anti")
 
 
-def file_gate(refs: DataFrame, registry: DataFrame, workflow: str, name: str, pos: str, nsfw_grant: str = "nsfw_grant", admin: str = "admin") -> DataFrame:
-    """Offending references of each workflow reduced to the first one, which gives the reason.
+def file_gate(workflows: DataFrame, refs: DataFrame, registry: DataFrame, workflow: str, name: str, pos: str) -> DataFrame:
+    """Workflows with whether they may run and, if not, the reason: their first offending file.
 
-    ``refs`` carries the requester's grants, ``registry`` is ``(name, nsfw)``; a file that is not
-    registered is unclassified. A popular file makes one join key hot: Spark splits that partition.
+    ``workflows`` carries the requester's grants (``nsfw_grant``, ``admin``), ``registry`` is
+    ``(name, nsfw)``; a file that is not registered is unclassified. A popular file makes one join
+    key hot: Spark splits that partition. Only offending references are grouped.
     """
-    known = refs.join(registry.select(name, "nsfw"), name, "left").withColumn("flag", F.coalesce("nsfw", F.lit("unclassified")))
+    judged = refs.join(workflows.select(workflow, "nsfw_grant", "admin"), workflow).join(registry.select(name, "nsfw"), name, "left")
+    flag, shown = F.coalesce("nsfw", F.lit("unclassified")), F.col(name).cast("string")
     reason = F.when(
-        (F.col("flag") == "yes") & ~F.col(nsfw_grant),
-        F.concat(F.col(name).cast("string"), F.lit(" is marked NSFW and your account does not have the NSFW grant")),
-    ).when(
-        (F.col("flag") == "unclassified") & ~F.col(admin),
-        F.concat(F.col(name).cast("string"), F.lit(" has not been classified by an administrator yet")),
-    )
-    first = F.min(F.when(reason.isNotNull(), F.struct(F.col(pos).alias("pos"), reason.alias("reason"))))
-    return known.groupBy(workflow).agg(first["reason"].alias("reason"), F.count(F.lit(1)).alias("refs")).withColumn("allowed", F.col("reason").isNull())
+        (flag == "yes") & ~F.col("nsfw_grant"), F.concat(shown, F.lit(" is marked NSFW and your account does not have the NSFW grant"))
+    ).when((flag == "unclassified") & ~F.col("admin"), F.concat(shown, F.lit(" has not been classified by an administrator yet")))
+    offending = judged.select(workflow, pos, reason.alias("reason")).where("reason IS NOT NULL")
+    first = offending.groupBy(workflow).agg(F.min(F.struct(pos, "reason"))["reason"].alias("reason"))
+    return workflows.select(workflow).join(first, workflow, "left").withColumn("allowed", F.col("reason").isNull())
 
 
 def allowed_names(registry: DataFrame, nsfw_grant: bool, admin: bool = False) -> DataFrame:

@@ -102,4 +102,4 @@ def items_per_user(items: DataFrame, user: str) -> DataFrame:
 
 def own_rows(rows: DataFrame, mine: DataFrame, key: str) -> DataFrame:
     """History restricted to the user's own ids."""
-    return rows.join(mine.select(key), key, "left_semi")
+    return rows.join(mine.select(key).distinct(), key, "left_semi")

@@ -106,8 +106,12 @@ def normalise_turns(turn_rows: DataFrame, system: DataFrame | None = None) -> Da
 
 
 def unscannable(requests: DataFrame, texts: DataFrame) -> DataFrame:
-    """Requests with a payload but no text to evaluate. They are refused, never passed."""
-    return requests.where("has_payload").join(texts.select("call_id"), "call_id", "left_anti")
+    """Requests with a payload but no text to evaluate. They are refused, never passed.
+
+    The texts are reduced to their distinct calls map-side: an anti join cannot split a hot key on
+    its right side.
+    """
+    return requests.where("has_payload").join(texts.select("call_id").distinct(), "call_id", "left_anti")
 
 
 def last_user_turn(turn_rows: DataFrame) -> DataFrame:

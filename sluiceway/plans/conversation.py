@@ -138,14 +138,18 @@ def stream_assemble(spark, sf):
     return outputs.assemble(pieces, ["call_id", "choice"], "seq").select("call_id", "choice", F.sha2("text", 256).alias("digest"), "pieces")
 
 
-@query("segment_chunks", """
-WITH r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE length(text) > 0 GROUP BY conv_id),
+@query("segment_chunks", f"""
+WITH {LAST_USER_SQL},
+p AS (SELECT conv_id, 0 AS section, turn, text FROM conversations JOIN w USING (conv_id) WHERE turn >= last_idx AND length(text) > 0
+  UNION ALL SELECT conv_id, 1, turn, text FROM conversations WHERE role IN ('system', 'developer') AND length(text) > 0),
+r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY section, turn) AS text FROM p GROUP BY conv_id),
 s AS (SELECT conv_id, text, unnest(range(0, greatest(length(text), 1), 5400)) AS start FROM r)
 SELECT conv_id AS call_id, CAST(start / 5400 AS INTEGER) AS chunk_idx, sha256(substr(text, start + 1, 6000)) AS digest FROM s WHERE regexp_matches(substr(text, start + 1, 6000), '\\S')""")
 def segment_chunks(spark, sf):
-    """Classifier chunks of whole conversations, for those within the size budget."""
-    pieces = turns(spark, sf).where(F.length("text") > 0).select("call_id", "idx", F.col("text").alias("piece"))
-    joined = outputs.assemble(pieces, ["call_id"], "idx", separator="\n")
+    """Classifier chunks of what is new in each conversation, for those within the size budget."""
+    segment = requests.new_segment(turns(spark, sf))
+    pieces = segment.select("call_id", F.struct("section", "idx").alias("at"), F.col("text").alias("piece"))
+    joined = outputs.assemble(pieces, ["call_id"], "at", separator="\n")
     return requests.chunks(joined.select("call_id", "text")).select("call_id", "chunk_idx", F.sha2("chunk", 256).alias("digest"))
 
 

@@ -42,14 +42,15 @@ WITH {REGISTRY_SQL},
 r AS (SELECT l_orderkey AS workflow, l_linenumber AS pos, l_partkey AS name, coalesce(nsfw, 'unclassified') AS flag, o_custkey % 2 = 0 AS nsfw_grant, o_custkey % 10 < 3 AS admin
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN reg ON name = l_partkey),
 x AS (SELECT *, CASE WHEN flag = 'yes' AND NOT nsfw_grant THEN CAST(name AS VARCHAR) || ' is marked NSFW and your account does not have the NSFW grant'
-  WHEN flag = 'unclassified' AND NOT admin THEN CAST(name AS VARCHAR) || ' has not been classified by an administrator yet' END AS reason FROM r)
-SELECT workflow, first(reason ORDER BY pos, reason) FILTER (reason IS NOT NULL) AS reason, count(*) AS refs, count(reason) = 0 AS allowed FROM x GROUP BY workflow""")
+  WHEN flag = 'unclassified' AND NOT admin THEN CAST(name AS VARCHAR) || ' has not been classified by an administrator yet' END AS reason FROM r),
+f AS (SELECT workflow, first(reason ORDER BY pos, reason) FILTER (reason IS NOT NULL) AS reason FROM x GROUP BY workflow)
+SELECT o_orderkey AS workflow, reason, reason IS NULL AS allowed FROM orders LEFT JOIN f ON workflow = o_orderkey""")
 def file_gate(spark, sf):
     """Workflows whose files their owner may not use, and the first reason."""
     owners = load(spark, sf, "orders").select(
         F.col("o_orderkey").alias("workflow"), (F.col("o_custkey") % 2 == 0).alias("nsfw_grant"), (F.col("o_custkey") % 10 < 3).alias("admin")
     )
-    return imagegate.file_gate(references(spark, sf).join(owners, "workflow"), registry(spark, sf), "workflow", "name", "pos")
+    return imagegate.file_gate(owners, references(spark, sf), registry(spark, sf), "workflow", "name", "pos")
 
 
 @query("foreign_inputs", """

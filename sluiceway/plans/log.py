@@ -14,7 +14,7 @@ from sluiceway.session import cut, iso_text, load
 AS_OF = "2024-04-15 00:00:00"
 IMMUTABLE_DAYS = 90
 EVIDENCE_DAYS = 90
-SEGMENT_ROWS = 4
+SEGMENT_ROWS = 8
 
 
 def vetoes(events: DataFrame) -> DataFrame:

@@ -44,10 +44,11 @@ def test_workflow_inputs_and_file_gate(spark):
     inventory = spark.createDataFrame([("m.safetensors",)], "name string")
     assert [r.name for r in imagegate.file_refs(inputs, inventory).collect()] == ["m.safetensors"]
     assert [r.value for r in imagegate.text_inputs(inputs, inventory).collect()] == ["a cat"]
-    refs = spark.createDataFrame([("w", 1, "b", False, False), ("w", 0, "a", False, False), ("x", 0, "c", False, True), ("y", 0, "a", True, False)], "wf string, pos int, name string, nsfw_grant boolean, admin boolean")
+    owners = spark.createDataFrame([("w", False, False), ("x", False, True), ("y", True, False), ("z", False, False)], "wf string, nsfw_grant boolean, admin boolean")
+    refs = spark.createDataFrame([("w", 1, "b"), ("w", 0, "a"), ("x", 0, "c"), ("y", 0, "a")], "wf string, pos int, name string")
     registry = spark.createDataFrame([("a", "yes"), ("b", "no")], "name string, nsfw string")
-    got = {r.wf: (r.allowed, r.reason) for r in imagegate.file_gate(refs, registry, "wf", "name", "pos").collect()}
-    assert got == {"w": (False, "a is marked NSFW and your account does not have the NSFW grant"), "x": (True, None), "y": (True, None)}
+    got = {r.wf: (r.allowed, r.reason) for r in imagegate.file_gate(owners, refs, registry, "wf", "name", "pos").collect()}
+    assert got == {"w": (False, "a is marked NSFW and your account does not have the NSFW grant"), "x": (True, None), "y": (True, None), "z": (True, None)}
 
 
 def test_image_signature_is_the_cosine_transform(spark):
