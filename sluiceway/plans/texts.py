@@ -302,9 +302,12 @@ def leak_scan(spark, sf):
     return hits.select("doc_id", "line_no", F.sha2("line", 256).alias("digest"))
 
 
+# The entities met in the pages; ``&amp;`` is resolved last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"))
 _ENTITIES_SQL = r"regexp_replace(regexp_replace(coalesce(html, ''), '<br\s*/?>|</p>|</li>', chr(10), 'g'), '<[^>]+>', '', 'g')"
-for _name, _char in T.ENTITIES:
+for _name, _char in ENTITIES:
     _ENTITIES_SQL = "replace(%s, '%s', '%s')" % (_ENTITIES_SQL, _name, _char.replace("'", "''"))
+_ENTITIES_SQL = f"regexp_replace({_ENTITIES_SQL}, '&amp;?', '&', 'g')"
 
 
 @query("strip_html", rf"""
