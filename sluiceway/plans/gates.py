@@ -107,7 +107,7 @@ SELECT workflow, pos, part, supplier, price, CASE WHEN l_tax = 0.08 THEN 'destro
 def output_gate(spark, sf):
     """Order lines as generated outputs; the verdict document is built from their flags, and lines
     taxed at 8 % carry a text instead of one boolean."""
-    line = spread(load(spark, sf, "lineitem")).select(
+    line = load(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), "l_returnflag", "l_linestatus", "l_tax", "l_discount",
     )
@@ -120,7 +120,7 @@ def output_gate(spark, sf):
     }
     document = F.to_json(F.struct(*[v.alias(k) for k, v in flags.items()], F.lit("a scene").alias("description")))
     raw = F.when(F.col("l_tax") == 0.08, F.regexp_replace(document, '"illegal":(true|false)', '"illegal":"$1"')).otherwise(document)
-    verdicts = line.select(*key, raw.alias("raw"))
+    verdicts = spread(line).select(*key, raw.alias("raw"))
     grants = load(spark, sf, "orders").select(F.col("o_orderkey").alias("workflow"), (F.col("o_custkey") % 2 == 0).alias("nsfw_grant"))
     outputs = line.select(*key).join(grants, "workflow")
     return imagegate.output_gate(outputs, verdicts, key).select(*key, "action", "code", "nsfw")
