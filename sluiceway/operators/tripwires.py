@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,9 +89,14 @@ def _matches(subject: Column, pattern: str) -> Column:
 
 
 def _any_of(subject: Column, patterns: list[str]) -> Column:
-    if len(patterns) == 1:
-        return _matches(subject, patterns[0])
-    return subject.rlike(_java("|".join(f"(?:{p})" for p in patterns)))
+    """Whether any pattern matches: one alternation, except for patterns that refer back to their
+    own groups, whose numbers an alternation would shift."""
+    alone = [p for p in patterns if re.search(r"\\[1-9k]", p)]
+    joined = [p for p in patterns if p not in alone]
+    tests = [_matches(subject, p) for p in (alone if len(joined) > 1 else patterns)]
+    if len(joined) > 1:
+        tests.insert(0, subject.rlike(_java("|".join(f"(?:{p})" for p in joined))))
+    return reduce(lambda one, other: one | other, tests)
 
 
 def scan(texts: DataFrame, norm: str, lists: tuple[str, ...] = REQUEST_LISTS, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -62,7 +62,7 @@ def test_policy_overlay(spark, tmp_path):
     assert doc["retention"]["immutable_categories"] == ["S4"] and doc["retention"]["immutable_days"] == 90
     assert doc["retention"]["evidence"]["days"] == 90 and doc["retention"]["evidence"]["enabled"]
     good = tmp_path / "policy.json"
-    good.write_text(json.dumps({"tripwires": {"extra_patterns": ["fine", "(a+)+b", "(", ".*x.*y.*"]}}))
+    good.write_text(json.dumps({"tripwires": {"extra_patterns": ["fine", "(a+)+b", "(", ".*x.*y.*", "(?P<n>a)b"]}}))
     first = P.read_policy(spark, str(good))
     assert first.extra_patterns == ("fine",)
     bad = tmp_path / "bad.json"
@@ -91,6 +91,12 @@ def test_names_and_precedence(spark):
     assert {(r.call, r.hit.list) for r in out.collect()} == {("r", "sentinel"), ("q", "despaced")}
 
 
+def test_back_references_keep_their_groups(spark):
+    rows = spark.createDataFrame([("a", "say xx"), ("b", "say xy"), ("c", "one two")], "call string, norm string")
+    hits = tripwires.scan(rows, "norm", ("extra",), ("(one) two", "(x)\\1", "plain"))
+    assert {(r.call, r.hit.pattern, r.span) for r in hits.collect()} == {("a", "(x)\\1", "xx"), ("c", "(one) two", "one two")}
+
+
 def test_phrase_join(spark):
     texts = spark.createDataFrame([(1, "a b c d e"), (2, "x b c d"), (3, "a b c")], "id int, norm string")
     phrases = spark.createDataFrame([(10, "b c d"), (11, "d e f")], "pid int, phrase string")
