@@ -86,6 +86,7 @@ class Vocabulary:
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, raw.splitlines())}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
+        self.number = {rank: rank for rank in self.tokens}  # one object per id, whatever its uses
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         halves = [(self.ranks[token[:cut]], self.ranks[token[cut:]], rank) for token, rank in self.ranks.items()
                   for cut in range(1, len(token)) if token[:cut] in self.ranks and token[cut:] in self.ranks]
@@ -115,7 +116,7 @@ class Vocabulary:
             for start in range(0, len(items), step):
                 part = items[start:start + step]
                 for (piece, _), ids in zip(part, merge_rows([data for _, data in part], width, self.byte_ids, self.pairs)):
-                    known[piece] = ids
+                    known[piece] = tuple(map(self.number.__getitem__, ids))
 
     def encode(self, texts: list[str]):
         """Ids of each text, a slice of texts at a time.
