@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import matrix_bpe, quality_cascade, simhash_trie
+from sluiceway.llm import chat_template, curriculum_mix, matrix_bpe, quality_cascade, simhash_trie, tiled_topk, trie_counts
+from sluiceway.functions.columns import bind
 from sluiceway.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -71,3 +73,75 @@ def op5_byte_bpe(spark, sf):
 def op9_simhash(spark, sf):
     grouped = simhash_trie.groups(load(spark, sf, "documents").select("doc_id", "text"))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_curriculum_mix", rf"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size, CAST(doc_id AS VARCHAR) AS k FROM documents),
+n AS (SELECT count(*) AS n, greatest(2000, CAST(floor(sqrt(count(*))) AS BIGINT)) AS per FROM d),
+b AS (SELECT d.*, CAST(('0x' || substr(md5(k), 1, 8)) AS BIGINT) % greatest(1, (n.n + n.per - 1) // n.per) AS bucket FROM d, n),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, ([5, 2, 1])[r % 3 + 1] AS weight, 3 * source_size AS cap FROM s),
+v AS (SELECT *, sum(source_size) OVER () AS total,
+    CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(CAST(cap AS DOUBLE), weight * max(level) OVER ()) AS target,
+    ([1.5, 1.0, 0.5])[r % 3 + 1]::DOUBLE AS w0, ([-1.0, 0.0, 1.0])[r % 3 + 1]::DOUBLE AS slope FROM v),
+p AS (SELECT unnest([0, 1, 2]) AS pass),
+c AS (SELECT b.*, t.source_size, t.target, t.total, t.w0, t.slope, p.pass,
+    p.pass * t.source_size + coalesce(sum(b.size) OVER (PARTITION BY b.source, p.pass
+      ORDER BY md5(p.pass || ':' || b.bucket), md5(p.pass || ':' || b.k), b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source CROSS JOIN p),
+k AS (SELECT *, greatest(0, least(size, CAST(floor(target + 0.5) AS BIGINT) - pos)) AS take, pos / target AS y FROM c)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(sum(take) AS BIGINT) AS taken,
+  CAST(floor(min(CASE WHEN take > 0 THEN total * (0.0 + 2.0 * y / (w0 + sqrt(w0 * w0 + 2.0 * slope * y))) END)) AS BIGINT) AS first_position
+FROM k GROUP BY doc_id, size, source_size, target
+""")
+def op3_curriculum_mix(spark, sf):
+    planned = curriculum_mix.plan(load(spark, sf, "documents").select("doc_id", "text", "source"))
+    first = F.array_min(F.transform("copies", lambda c: c["position"]))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", F.floor(first).alias("first_position"))
+
+
+@query("op7_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
+""")
+def op7_exact_topk(spark, sf):
+    return tiled_topk.search(load(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    return trie_counts.count_tokens(docs, public_tokenizers.path(PIECES)).select("doc_id", "n_tokens")
+
+
+@query("op10_chat_format", rf"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+    + len(regexp_extract_all(text, '<s>|</s>|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|\[OUT\]|\[ROLE\]|\[/ROLE\]|\[/TURN\]')) AS escaped,
+    CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 24 + length(role) END AS marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(escaped + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""")
+def op10_chat_format(spark, sf):
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    turns = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    done = chat_template.format_conversations(turns)
+    done = bind(done, "out", F.struct(chat_template.rendered(F.col("segments")).alias("formatted"), chat_template.loss_spans(F.col("segments")).alias("spans")))
+    back = done.select("conv_id", F.length("out.formatted").cast("long").alias("formatted_chars"),
+                       F.explode(F.array(F.struct(chat_template.read_turns(F.col("out.formatted")).alias("turns"),
+                                                  chat_template.read_loss(F.col("out.formatted"), F.col("out.spans")).alias("loss")))).alias("back"))
+    told = F.array_join(F.transform("back.turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select("conv_id", F.size("back.turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
+                       F.length("back.loss").cast("long").alias("loss_chars"), F.sha2("back.loss", 256).alias("loss_sha256"), "formatted_chars")
