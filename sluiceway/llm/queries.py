@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat_template, curriculum_mix, matrix_bpe, quality_cascade, simhash_trie, tiled_topk, trie_counts
+from sluiceway.llm import chat_template, curriculum_mix, lattice_lm, matrix_bpe, quality_cascade, simhash_trie, tiled_topk, trie_counts
 from sluiceway.functions.columns import bind
 from sluiceway.session import load
 
@@ -102,6 +102,13 @@ def op3_curriculum_mix(spark, sf):
     return planned.select("doc_id", "size", "source_size", "target", "taken", F.floor(first).alias("first_position"))
 
 
+@query("op6_lattice_lm")
+def op6_lattice_lm(spark, sf):
+    held = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scored = lattice_lm.score(load(spark, sf, "documents").select("doc_id", "text"), ~held(), public_tokenizers.path(PIECES))
+    return scored.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op7_exact_topk", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
