@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat_template, curriculum_mix, lattice_lm, matrix_bpe, quality_cascade, simhash_trie, tiled_topk, trie_counts
+from sluiceway.llm import chat_template, curriculum_mix, lattice_lm, line_align, matrix_bpe, quality_cascade, simhash_trie, tiled_topk, trie_counts
 from sluiceway.functions.columns import bind
 from sluiceway.session import load
 
@@ -75,6 +75,12 @@ def op9_simhash(spark, sf):
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op2_line_dedup")
+def op2_line_dedup(spark, sf):
+    left = line_align.dedup(load(spark, sf, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_words", "deleted_lines", "deleted_words", "n_partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 @query("op3_curriculum_mix", rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS_SQL}) AS size, CAST(doc_id AS VARCHAR) AS k FROM documents),
 n AS (SELECT count(*) AS n, greatest(2000, CAST(floor(sqrt(count(*))) AS BIGINT)) AS per FROM d),
