@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat_template, curriculum_mix, lattice_lm, line_align, matrix_bpe, quality_cascade, simhash_trie, tiled_topk, trie_counts
+from sluiceway.llm import chat_template, curriculum_mix, lattice_lm, line_align, matrix_bpe, pseudonyms, quality_cascade, simhash_trie, tiled_topk, trie_counts
 from sluiceway.functions.columns import bind
 from sluiceway.session import load
 
@@ -18,6 +18,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
+PSEUDONYM_KEY = "a key for the shared tables"  # production keys come from the caller
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -61,6 +62,12 @@ def op1_quality_rules(spark, sf):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op4_pseudonyms")
+def op4_pseudonyms(spark, sf):
+    done = pseudonyms.pseudonymise(load(spark, sf, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return done.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"), F.array_join("spans.kind", ",").alias("kinds"))
+
+
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark, sf):
     docs = load(spark, sf, "documents").select("doc_id", "text")
