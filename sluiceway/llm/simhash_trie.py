@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import utf8, with_fields, without
+from sluiceway.llm.common import utf8, with_fields
 from sluiceway.llm.components import components
 from sluiceway.session import cut
 
@@ -280,10 +280,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = MAX_BITS, size: int = SHINGLE_WORDS,
              max_group: int = MAX_GROUP) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest key (of rows that repeat it, one; a row without a
-    key stays only if its group has no row with one)."""
-    marked = without(docs, ("_row", "_keep"))
-    grouped = groups(docs, key, text, budget, size, max_group)
-    stays = grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_keep")).distinct()
-    kept = marked.join(stays, F.col(key).eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates([key])
+    """``docs`` with one document of each group, the one of the smallest key; of rows that repeat it, one. Rows without a key
+    cannot be named and stay."""
+    keyed = docs.where(F.col(key).isNotNull())
+    grouped = groups(keyed, key, text, budget, size, max_group)
+    stays = grouped.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keyed.join(stays, key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull()))
