@@ -21,7 +21,6 @@ empty result; with no training rows the starting weights are the model, N and V
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -216,6 +215,19 @@ def train(counts: DataFrame, n_texts: int, model_path: str) -> tuple[list[str],
     return pieces, np.log((expected + PRIOR_WORDS * start) / (expected.sum() + PRIOR_WORDS))
 
 
+_loaded: dict[tuple[int, float], dict] = {}
+
+
+def _words(raw: bytes, base: float) -> dict[bytes, tuple[int, float, float]]:
+    """The broadcast words as a dictionary, built once per Python worker."""
+    key = (hash(raw), base)
+    if key not in _loaded:
+        _loaded.clear()
+        table = pa.ipc.open_stream(raw).read_all()
+        _loaded[key] = {w: (c, math.log10(c + 0.5) + base, x) for w, c, x in zip(*(table.column(k).to_pylist() for k in range(3)))}
+    return _loaded[key]
+
+
 def score(docs: DataFrame, learns: Column, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, learns, n_tokens, n_known, train_tokens, base_score, score) for every row. base_score: log10 probability under
     add-a-half word counts; score: log10 probability under the lattice model; both end included."""
@@ -235,14 +247,24 @@ def score(docs: DataFrame, learns: Column, model_path: str, key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs)], names=["word", "count", "log"])
 
     marked = cut(counts.mapInArrow(mark, "word binary, count bigint, log double"))
-    # The most common words by count: at most FREQUENT rows of at most SHORT bytes, some megabytes whatever the corpus.
-    common = marked.where((F.col("count") > 0) & (F.length("word") <= SHORT)).orderBy(F.desc("count"), "word").limit(FREQUENT)
-    table = {r.word if isinstance(r.word, bytes) else bytes(r.word): (r["count"], math.log10(r["count"] + 0.5) + base, r["log"]) for r in common.collect()}
-    frequent = docs.sparkSession.sparkContext.broadcast(table)
+    # The most common words: those above a count that at most FREQUENT short words reach. Counts are summed up in bins, an eighth
+    # of a doubling each, so a few hundred rows tell that count. The table is FREQUENT rows of SHORT bytes and two numbers at most.
+    short = marked.where((F.col("count") > 0) & (F.length("word") <= SHORT)).withColumn("bin", F.floor(F.log2("count") * 8).cast("int"))
+    least, there = 0, 0
+    for row in sorted(short.groupBy("bin").count().collect(), reverse=True):
+        there += row["count"]
+        if there > FREQUENT:
+            least = row.bin + 1
+            break
+    table = short.where(F.col("bin") >= least).select("word", "count", "log").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as stream:
+        stream.write_table(table)
+    frequent = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
     ends = (math.log10(texts + 0.5) + base, float(log_p[0]) / tens, int(texts > 0))
 
     def read(column: pa.Array) -> pa.Array:
-        known_words = frequent.value
+        known_words = _words(frequent.value, base)
         sums, cold, times_of, ends_at = [], [], [], [0]
         for data in column.to_pylist():
             words = Counter(data.lower().split())
