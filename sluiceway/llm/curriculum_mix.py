@@ -70,7 +70,9 @@ def when_used(share: Column, schedules: Column) -> Column:
     """Time at which a source has used ``share`` of its target; ``schedules``: its pieces as an array of structs."""
     at = F.element_at(F.filter(schedules, lambda s: s.before <= share), -1)
     y = share - at["before"]
-    return at["start"] + F.lit(2.0) * y / (at["density"] + F.sqrt(at["density"] * at["density"] + F.lit(2.0) * at["slope"] * y))
+    # Null only at the start of a piece whose density starts at 0.
+    later = F.try_divide(F.lit(2.0) * y, at["density"] + F.sqrt(at["density"] * at["density"] + F.lit(2.0) * at["slope"] * y))
+    return at["start"] + F.coalesce(later, F.lit(0.0))
 
 
 def _digest(number, key: Column) -> Column:
