@@ -121,7 +121,8 @@ def summary(verified: DataFrame) -> DataFrame:
 def expire(records: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """(kept records, anchors): records older than the cutoff go, the last expired hash of each
     chain stays as the anchor that later verification starts from."""
-    old = F.to_timestamp("ts") < cutoff
+    # A record without a readable time has no age, so it stays.
+    old = F.coalesce(F.try_to_timestamp("ts") < cutoff, F.lit(False))
     anchors = records.where(old).groupBy("chain_id").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
     return records.where(~old), anchors
 

@@ -126,13 +126,24 @@ def inside_store(path: Column, root: str) -> Column:
     return path.startswith(root.rstrip("/") + "/") & ~path.rlike(r"(^|/)\.\.(/|$)")
 
 
+def worst_verdicts(verdicts: DataFrame, key: list[str]) -> DataFrame:
+    """One ``verdict`` per key: the flags of all readable verdicts together; NULL if one was unreadable, unless the others already
+    make the image illegal."""
+    parsed = bind(verdicts.select(*key, "raw"), "verdict", parse_verdict(F.col("raw")))
+    flags = F.struct(*[F.coalesce(F.bool_or(f"verdict.{f}"), F.lit(False)).alias(f) for f in VERDICT_FIELDS])
+    merged = parsed.groupBy(*key).agg(flags.alias("v"), F.bool_or(F.col("verdict").isNull()).alias("unread"))
+    illegal = F.col("v.illegal") | F.col("v.sexual_minor") | (F.col("v.minor_present") & (F.col("v.nsfw") | F.col("v.sexual_content")))
+    return merged.select(*key, F.when(illegal | ~F.col("unread"), F.col("v")).alias("verdict"))
+
+
 def output_gate(outputs: DataFrame, verdicts: DataFrame, key: list[str], root: str | None = None) -> DataFrame:
-    """Decision per output of a prompt; outputs without a verdict are destroyed. Split the result
+    """Decision per output of a prompt; outputs without a verdict, or outside the store, are destroyed. Split the result
     by ``action = 'keep'`` into gallery rows and audit rows."""
-    rows = outputs.where(inside_store(F.col("path"), root)) if root else outputs
-    parsed = bind(verdicts.select(*key, "raw"), "verdict", parse_verdict(F.col("raw"))).drop("raw")
-    judged = rows.join(parsed, key, "left")
-    return judged.withColumn("d", decide(F.col("verdict"), F.col("nsfw_grant"))).select(
+    judged = outputs.join(worst_verdicts(verdicts, key), key, "left").withColumn("d", decide(F.col("verdict"), F.col("nsfw_grant")))
+    if root:
+        outside = F.struct(F.lit(UNREADABLE).alias("action"), F.lit("outside the store").alias("why"), F.lit("UNPARSEABLE_VERDICT").alias("code"))
+        judged = judged.withColumn("d", F.when(F.coalesce(inside_store(F.col("path"), root), F.lit(False)), F.col("d")).otherwise(outside))
+    return judged.select(
         *outputs.columns, "d.action", "d.why", "d.code",
         F.coalesce(F.col("verdict.nsfw") | F.col("verdict.sexual_content"), F.lit(False)).alias("nsfw"),
     )

@@ -15,7 +15,7 @@ RED, AMBER, GREEN = "#ef4444", "#f59e0b", "#22c55e"
 
 def latest(samples: DataFrame, series: str = "series") -> DataFrame:
     """Newest sample per series, combined map-side."""
-    return samples.groupBy(series).agg(F.max("ts_us").alias("ts_us"), F.max_by("value", "ts_us").alias("value"))
+    return samples.groupBy(series).agg(F.max("ts_us").alias("ts_us"), F.max(F.struct("ts_us", "value"))["value"].alias("value"))
 
 
 def on_grid(samples: DataFrame, end_us: int, minutes: int = 60, step: int = 30, series: str = "series") -> DataFrame:
@@ -27,7 +27,7 @@ def on_grid(samples: DataFrame, end_us: int, minutes: int = 60, step: int = 30,
     step_us, start = step * US, end_us - minutes * 60 * US
     points = minutes * 60 // step
     slot = F.greatest(F.ceil((F.col("ts_us") - start) / step_us), F.lit(0)).cast("int")
-    newest = samples.where(F.col("ts_us") <= end_us).groupBy(series, slot.alias("slot")).agg(F.max_by("value", "ts_us").alias("value"))
+    newest = samples.where(F.col("ts_us") <= end_us).groupBy(series, slot.alias("slot")).agg(F.max(F.struct("ts_us", "value"))["value"].alias("value"))
     ordered = Window.partitionBy(series).orderBy("slot")
     until = F.coalesce(F.lead("slot").over(ordered) - 1, F.lit(points))
     held = newest.withColumn("until", until).select(series, "value", F.explode(F.sequence("slot", "until")).alias("slot"))
@@ -39,7 +39,7 @@ def counter_rates(samples: DataFrame, seconds: int = 120, series: str = "series"
     in its window. A drop is a reset: the counter restarted from zero."""
     span = seconds * US
     rows = with_lookback(samples, "ts_us", span)
-    previous = F.lag("value").over(Window.partitionBy(series, "_bucket").orderBy("ts_us"))
+    previous = F.lag("value").over(Window.partitionBy(series, "_bucket").orderBy("ts_us", "value"))
     step = F.when(F.col("value") < previous, F.col("value")).otherwise(F.coalesce(F.col("value") - previous, F.lit(0)))
     window = trailing(series, "ts_us", span)
     stepped = rows.withColumn("step", step)

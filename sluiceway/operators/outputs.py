@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions import json_text
+from sluiceway.operators.ordering import running_sum
 
 # Fixed values.
 REASONING_FIELDS = ("reasoning_content", "reasoning", "thinking", "refusal")
@@ -22,26 +23,45 @@ def response_texts(responses: DataFrame) -> DataFrame:
     fields = ("content", *REASONING_FIELDS)
     parts = message.select(
         "call_id", "choice",
-        F.posexplode(F.array(*[json_text.content(F.col(f"m.{name}"))["text"] for name in fields], json_text.tool_calls(F.col("m.tool_calls"))["text"])).alias("field", "text"),
+        F.posexplode(F.array(*[json_text.content(F.col(f"m.{name}")) for name in fields], json_text.tool_calls(F.col("m.tool_calls")))).alias("field", "text"),
     )
     return parts.where(F.length("text") > 0)
 
 
 def over_caps(pieces: DataFrame, key: str = "call_id", text: str = "piece") -> DataFrame:
-    """Calls over the size caps, from counts and lengths alone (combined map-side)."""
+    """Calls over the size caps, which are refused (output_buffer_cap), from counts and lengths alone (combined map-side)."""
     return pieces.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length(text)).alias("chars")).where(
         (F.col("chars") > MAX_OUTPUT_CHARS) | (F.col("chunks") > MAX_OUTPUT_CHUNKS)
     )
 
 
-def assemble(pieces: DataFrame, group: list[str], order: str, text: str = "piece", separator: str = "", key: str = "call_id") -> DataFrame:
-    """Pieces joined in order per group.
-
-    Calls over the caps are withheld (see ``over_caps``) and are removed first, which bounds what
-    one group can gather: the caps are the proven limit, not a cut of the result.
-    """
-    within = pieces.join(over_caps(pieces, key, text).select(key), key, "left_anti")
+def assemble(pieces: DataFrame, group: list[str], order: str, text: str = "piece", separator: str = "") -> DataFrame:
+    """Pieces joined in order per group, whatever their number: a group is one text in the end. Whether a call is over the
+    size caps, and so withheld, is a decision of its own (``over_caps``)."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("piece"))))
-    return within.groupBy(*group).agg(ordered.alias("p")).select(
+    return pieces.groupBy(*group).agg(ordered.alias("p")).select(
         *group, F.array_join(F.transform("p", lambda x: x["piece"]), separator).alias("text"), F.size("p").alias("pieces")
     )
+
+
+def assembled_chunks(pieces: DataFrame, key: str, at: str, text: str, size: int = 6000, overlap: int = 600, bucket: int = 1000) -> DataFrame:
+    """Overlapping chunks of the texts that ordered pieces make, joined by line breaks, without putting a text together.
+
+    Each piece gets its offset by running sums over buckets of ``bucket`` positions, goes to the chunks it overlaps, and a chunk
+    gathers its own parts: ``size`` characters at most. ``at`` is an integer and unique per key.
+    """
+    step = max(size - overlap, size // 2)
+    sized = pieces.withColumn("_len", (F.length(text) + 1).cast("long"))
+    placed = running_sum(sized, key, at, "_len", "_end", bucket).withColumn("_start", F.col("_end") - F.col("_len"))
+    # The break before a piece belongs to it; the first piece has none.
+    begin = F.greatest(F.col("_start") - 1, F.lit(0))
+    joined = placed.select(key, F.when(F.col("_start") > 0, F.concat(F.lit("\n"), F.col(text))).otherwise(F.col(text)).alias("_text"), begin.alias("_from"))
+    last = F.floor((F.col("_from") + F.length("_text") - 1) / step)
+    first = F.greatest(F.floor((F.col("_from") - size) / step) + 1, F.lit(0))
+    spread = joined.select(key, "_text", "_from", F.explode(F.sequence(first, last)).alias("chunk_idx"))
+    skip = F.greatest(F.col("chunk_idx") * step - F.col("_from"), F.lit(0))
+    upto = F.least(F.col("chunk_idx") * step + size - F.col("_from"), F.length("_text"))
+    part = F.substring("_text", (skip + 1).cast("int"), (upto - skip).cast("int"))
+    parts = spread.select(key, F.col("chunk_idx").cast("int").alias("chunk_idx"), F.struct("_from", part.alias("part")).alias("p"))
+    whole = parts.groupBy(key, "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.part), "").alias("chunk"))
+    return whole.where(F.col("chunk").rlike(r"(?U)\S"))

@@ -33,7 +33,7 @@ def has_text(text: Column) -> Column:
 def turns(requests: DataFrame) -> DataFrame:
     """Messages of nested requests as turns: content and tool-call text joined, empty turns dropped.
 
-    ``content_text`` is the content alone; ``exceeded`` marks turns over the structure budget.
+    ``content_text`` is the content alone. Values of any depth and size are read whole.
     """
     messages = F.from_json("messages_json", MESSAGES)
     rows = requests.select("call_id", F.posexplode(messages).alias("idx", "m"))
@@ -41,28 +41,32 @@ def turns(requests: DataFrame) -> DataFrame:
         "call_id", "idx", F.coalesce("m.role", F.lit("user")).alias("role"), F.col("m.role").alias("given_role"),
         json_text.content(F.col("m.content")).alias("c"), json_text.tool_calls(F.col("m.tool_calls")).alias("t"),
     )
-    both = F.regexp_replace(F.concat_ws("\n", "c.text", "t.text"), r"(?U)^\s+|\s+$", "")
+    both = F.regexp_replace(F.concat_ws("\n", "c", "t"), r"(?U)^\s+|\s+$", "")
     return flat.select(
-        "call_id", "idx", "role", "given_role", F.col("c.text").alias("content_text"),
-        F.when(F.col("t.text").isNotNull(), both).otherwise(F.col("c.text")).alias("text"),
-        (F.col("c.exceeded") | F.coalesce("t.exceeded", F.lit(False))).alias("exceeded"),
+        "call_id", "idx", "role", "given_role", F.col("c").alias("content_text"),
+        F.when(F.col("t").isNotNull(), both).otherwise(F.col("c")).alias("text"),
     )
 
 
+def unreadable(requests: DataFrame) -> DataFrame:
+    """Requests whose messages or schemas are no readable JSON. They are refused (extraction_failure), never passed."""
+    messages = F.col("messages_json").isNotNull() & F.try_parse_json("messages_json").isNull()
+    tools = F.col("tools_json").isNotNull() & F.try_parse_json("tools_json").isNull()
+    return requests.where(messages | tools)
+
+
 def top_level_texts(requests: DataFrame) -> DataFrame:
-    """``(call_id, section, idx, text, exceeded)`` of system, prompt, input and tool schemas."""
+    """``(call_id, section, idx, text)`` of system, prompt, input and tool schemas."""
     def single(section: str, text: Column) -> DataFrame:
-        return requests.select("call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"), text.alias("text"), F.lit(False).alias("exceeded"))
+        return requests.select("call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"), text.alias("text"))
 
     def many(section: str) -> DataFrame:
-        return requests.select("call_id", F.lit(section).alias("section"), F.posexplode(section).alias("idx", "text")).withColumn("exceeded", F.lit(False))
+        return requests.select("call_id", F.lit(section).alias("section"), F.posexplode(section).alias("idx", "text"))
 
     def schemas(section: str, column: str) -> DataFrame:
         found = json_text.json_leaves(F.col(column))
-        return requests.where(F.col(column).isNotNull()).select("call_id", found.alias("f")).select(
-            "call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"),
-            F.array_join("f.leaves", "\n").alias("text"), F.col("f.exceeded").alias("exceeded"),
-        )
+        return requests.where(F.col(column).isNotNull()).select(
+            "call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"), F.array_join(found, "\n").alias("text"))
 
     parts = single("system", F.col("system")).unionByName(many("prompt")).unionByName(many("input"))
     return parts.unionByName(schemas("tools", "tools_json"))

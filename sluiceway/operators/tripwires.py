@@ -42,12 +42,13 @@ def _is_literal(pattern: str) -> bool:
 
 def _java(pattern: str) -> str:
     """Java form of a pattern for normalised text: classes are Unicode-aware, as the patterns'
-    authors expect, and case is only looked at where the pattern has capitals."""
+    authors expect, and so is case, looked at only where the pattern has a capital of any alphabet."""
     flags = "s"
     if re.search(r"\\[wWbBsSdD]", pattern):
         flags += "U"
-    if re.search("[A-Z]", re.sub(r"\\.", "", pattern)):
-        flags += "i"
+    literal = re.sub(r"\\.", "", pattern)
+    if literal != literal.lower():
+        flags += "iu"
     return f"(?{flags}){pattern}"
 
 

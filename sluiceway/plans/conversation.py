@@ -45,12 +45,10 @@ def request_texts(spark, sf):
 
 @query("json_leaves", """
 SELECT event_id, array_to_string(list_concat(json_keys(props), list_transform(list_filter(json_keys(props), lambda k: json_type(props, '$.' || k) = 'VARCHAR'),
-  lambda k: json_extract_string(props, '$.' || k))), '|') AS leaves, false AS exceeded FROM events""")
+  lambda k: json_extract_string(props, '$.' || k))), '|') AS leaves FROM events""")
 def json_leaves(spark, sf):
     found = json_text.json_leaves(F.col("props"))
-    return spread(load(spark, sf, "events").select("event_id", "props")).withColumn("f", found).select(
-        "event_id", F.array_join("f.leaves", "|").alias("leaves"), "f.exceeded"
-    )
+    return load(spark, sf, "events").select("event_id", F.array_join(found, "|").alias("leaves"))
 
 
 @query("unscannable_requests", """
@@ -146,11 +144,11 @@ r AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY section, turn) AS text F
 s AS (SELECT conv_id, text, unnest(range(0, greatest(length(text), 1), 5400)) AS start FROM r)
 SELECT conv_id AS call_id, CAST(start / 5400 AS INTEGER) AS chunk_idx, sha256(substr(text, start + 1, 6000)) AS digest FROM s WHERE regexp_matches(substr(text, start + 1, 6000), '\\S')""")
 def segment_chunks(spark, sf):
-    """Classifier chunks of what is new in each conversation, for those within the size budget."""
+    """Classifier chunks of what is new in each conversation."""
     segment = requests.new_segment(turns(spark, sf))
-    pieces = segment.select("call_id", F.struct("section", "idx").alias("at"), F.col("text").alias("piece"))
-    joined = outputs.assemble(pieces, ["call_id"], "at", separator="\n")
-    return requests.chunks(joined.select("call_id", "text")).select("call_id", "chunk_idx", F.sha2("chunk", 256).alias("digest"))
+    at = F.col("section").cast("long") * 2**40 + F.col("idx")
+    chunks = outputs.assembled_chunks(segment.select("call_id", at.alias("at"), "text"), "call_id", "at", "text")
+    return chunks.select("call_id", "chunk_idx", F.sha2("chunk", 256).alias("digest"))
 
 
 @query("response_texts", """

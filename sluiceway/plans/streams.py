@@ -13,7 +13,7 @@ from sluiceway.plans.series import FAILURE_LIMIT, FAILURE_WINDOW
 from sluiceway.plans.texts import _hits_sql, policy
 from sluiceway.operators.tripwires import OUTPUT_LISTS, REQUEST_LISTS
 from sluiceway.session import cut, epoch_us
-from sluiceway.streaming import jobs, runner, stateful
+from sluiceway.streaming import jobs, lockouts, runner, stateful
 
 
 def _schema(ddl: str) -> StructType:
@@ -35,14 +35,29 @@ def stream_scan(spark, sf):
     return runner.run(spark, lambda out, ckpt: jobs.scan_stream(texts, watch, out, ckpt), _schema(jobs.SCAN_SCHEMA))
 
 
-@query("stream_lockouts")
+@query("stream_lockouts", f"""
+WITH RECURSIVE a AS (SELECT CAST(user_id AS VARCHAR) AS account, epoch_us(ts) AS ts_us, event_type = 'error' AS failed,
+    row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_type = 'error' DESC) AS n FROM events WHERE event_type IN ('error', 'signup')),
+w AS (SELECT account, 0::BIGINT AS n, 0::BIGINT AS ts_us, '' AS outcome, []::BIGINT[] AS held FROM (SELECT DISTINCT account FROM a)
+  UNION ALL SELECT account, n, ts_us,
+    CASE WHEN len(recent) >= {FAILURE_LIMIT} THEN 'refused' WHEN failed THEN 'failed' ELSE 'ok' END,
+    CASE WHEN len(recent) >= {FAILURE_LIMIT} THEN recent WHEN failed THEN list_append(recent, ts_us) ELSE [] END
+  FROM (SELECT a.account, a.n, a.ts_us, a.failed, list_filter(w.held, lambda t: a.ts_us - t < {FAILURE_WINDOW * 1_000_000}) AS recent
+    FROM w JOIN a ON a.account = w.account AND a.n = w.n + 1))
+SELECT account, ts_us, outcome FROM w WHERE n > 0""")
 def stream_lockouts(spark, sf):
     rows = runner.follow_table(spark, sf, "events").where("event_type IN ('error', 'signup')")
     attempts = rows.select(
         F.col("user_id").cast("string").alias("account"), epoch_us(F.col("ts")).alias("ts_us"), (F.col("event_type") == "error").alias("failed"),
     )
-    stream = stateful.lockout_stream(attempts, FAILURE_LIMIT, FAILURE_WINDOW)
-    return runner.run(spark, lambda out, ckpt: runner.to_table(stream, out, ckpt), _schema(stateful.ATTEMPTS))
+    ended = []
+
+    def start(out: str, checkpoint: str):
+        job = lockouts.LockoutJob(spark, f"{checkpoint}-work", out, FAILURE_LIMIT, FAILURE_WINDOW, FAILURE_WINDOW * 1_000_000)
+        ended.append(job.close)
+        return runner.each_batch(attempts, job.handle, checkpoint)
+
+    return runner.run(spark, start, _schema(lockouts.ATTEMPTS), finish=lambda: ended[0]())
 
 
 _GATE_HITS = _hits_sql(OUTPUT_LISTS, "(SELECT conv_id * 100 + turn AS msg, text FROM conversations WHERE role = 'assistant')", "msg")
@@ -61,7 +76,7 @@ def stream_gate(spark, sf):
     chunks = pieces.select(
         "call_id", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("choice"), F.substring("text", F.col("start"), F.lit(PIECE)).alias("content"),
         nothing.alias("reasoning"), F.lit(None).cast("int").alias("tool_idx"), nothing.alias("tool_name"), nothing.alias("tool_args"),
-        (F.col("start") + PIECE > F.length("text")).alias("finished"),
+        (F.col("start") + PIECE > F.length("text")).alias("finished"), F.lit(1).alias("choices"),
     )
 
     def start(out: str, checkpoint: str):

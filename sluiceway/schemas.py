@@ -13,7 +13,7 @@ REQUEST = (
 )
 STREAM_CHUNK = (
     "call_id STRING, seq BIGINT, choice INT, content STRING, reasoning STRING, tool_idx INT, tool_name STRING, "
-    "tool_args STRING, finished BOOLEAN"
+    "tool_args STRING, finished BOOLEAN, choices INT"
 )
 REPORT = (
     "label STRING, ts STRING, base STRING, passed INT, total INT, "

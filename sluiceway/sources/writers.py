@@ -9,12 +9,13 @@ from sluiceway.operators import evidence
 
 # Rows per file: keeps log files near the size at which logs used to be rotated.
 ROWS_PER_FILE = 200_000
+NO_DAY = "1970-01-01"
 
 
 def append_log(records: DataFrame, path: str, fmt: str = "json") -> None:
     """Append records to a log partitioned by day. Rows go to a day's file in parallel, so one busy
-    day is not written by one task."""
-    dated = records.withColumn("dt", F.to_date(F.to_timestamp("ts")))
+    day is not written by one task. Records without a readable time go to the day ``NO_DAY``."""
+    dated = records.withColumn("dt", F.coalesce(F.to_date(F.try_to_timestamp("ts")), F.lit(NO_DAY).cast("date")))
     dated.write.mode("append").partitionBy("dt").option("maxRecordsPerFile", ROWS_PER_FILE).format(fmt).save(path)
 
 
@@ -24,13 +25,27 @@ def rewrite(rows: DataFrame, root: str, version: str, fmt: str = "parquet") -> s
     target = f"{root}/v={version}"
     rows.write.mode("error").format(fmt).save(target)
     spark = rows.sparkSession
-    spark.createDataFrame([(version, target)], "version string, path string").coalesce(1).write.mode("append").json(f"{root}/_current")
+    number = _pointers(spark, root).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1 if _exists(spark, f"{root}/_current") else 1
+    spark.createDataFrame([(number, version, target)], POINTER).coalesce(1).write.mode("append").json(f"{root}/_current")
     return target
 
 
+POINTER = "number bigint, version string, path string"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(POINTER).json(f"{root}/_current")
+
+
 def current(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
-    """The version last pointed to."""
-    pointer = spark.read.schema("version string, path string").json(f"{root}/_current").orderBy(F.col("version").desc()).first()
+    """The version last pointed to: the one of the highest number, whatever its name."""
+    pointer = _pointers(spark, root).orderBy(F.col("number").desc()).first()
     return spark.read.format(fmt).load(pointer["path"])
 
 

@@ -41,11 +41,13 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def run(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema: StructType) -> DataFrame:
-    """Run a stream over what is available and give its output table back."""
+def run(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema: StructType, finish: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over what is available, then ``finish``, and give its output table back."""
     root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     query = start(f"{root}/out", f"{root}/checkpoint")
     query.awaitTermination()
+    if finish:
+        finish()
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
 
 

@@ -1,4 +1,4 @@
-"""Stateful streams: the buffer-and-release gate and the lockout."""
+"""Stateful streams: the buffer-and-release gate."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sluiceway.functions.json_text import BudgetExceeded, unescape_arguments
+from sluiceway.functions.json_text import spoken_arguments
 from sluiceway.operators import requests, tripwires
 from sluiceway.operators.outputs import MAX_OUTPUT_CHARS, MAX_OUTPUT_CHUNKS
 from sluiceway.policy import Policy
@@ -21,7 +21,7 @@ HOLD_MS = 600_000
 
 OUTPUTS = "array<struct<choice:int, kind:string, text:string>>"
 BUFFERED = f"call_id STRING, reason STRING, chunks BIGINT, chars BIGINT, outputs {OUTPUTS}"
-HELD_STATE = "pieces STRING, chunks BIGINT, chars BIGINT, done BOOLEAN"
+HELD_STATE = "pieces STRING, ends STRING, chunks BIGINT, chars BIGINT, done BOOLEAN"
 RELEASED = "call_id STRING, choice INT, kind STRING, text STRING, finish_reason STRING, reason STRING"
 
 
@@ -38,18 +38,27 @@ def _assemble(pieces: list) -> list[dict]:
             out.append({"choice": choice, "kind": kind, "text": text})
         elif kind == "args" or (choice, "args", tool) not in joined:
             name = joined.get((choice, "name", tool), "")
-            spoken = unescape_arguments(text) if kind == "args" else ""
+            spoken = spoken_arguments(text) if kind == "args" else ""
             out.append({"choice": choice, "kind": "tool", "text": f"{name} {spoken}"})
     return out
 
 
+def _complete(seen: set[int], ends: dict[int, int], choices: int) -> bool:
+    """Whether every choice has ended and no chunk before the last end is missing. Chunks of a call count from 0."""
+    return len(ends) >= choices and seen >= set(range(max(ends.values(), default=0) + 1))
+
+
 def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_ms: int | None) -> Iterator[pd.DataFrame]:
-    """Hold a call's chunks until it finishes or breaks a cap; emit it once.
+    """Hold a call's chunks until all its choices are complete or it breaks a cap; emit it once.
 
-    The caps bound the state: past them the text is dropped and only the verdict is remembered.
+    Past the caps the call is withheld by rule, so its text need not be kept. A call that was emitted leaves a mark, and chunks that
+    come later are swallowed: they can never start the call anew.
     """
-    held, chunks, chars, done = state.get if state.exists else ("[]", 0, 0, False)
-    pieces, finished, reason = json.loads(held), False, None
+    held, ended, chunks, chars, done = state.get if state.exists else ("[]", "[0, [], {}]", 0, 0, False)
+    pieces = json.loads(held)
+    choices, seen, ends = json.loads(ended)
+    seen, ends = set(seen), {int(c): at for c, at in ends.items()}
+    reason = None
     if state.hasTimedOut:
         if not done:
             yield _row(key, "stream_timeout", chunks, chars, [])
@@ -57,35 +66,35 @@ def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_m
         return
     for batch in batches:
         for row in batch.itertuples(index=False):
-            chunks += 1
-            finished = finished or bool(row.finished)
-            if done or reason:
+            if done or int(row.seq) in seen:
                 continue
+            chunks += 1
+            seen.add(int(row.seq))
             tool = -1 if pd.isna(row.tool_idx) else int(row.tool_idx)
             choice = 0 if pd.isna(row.choice) else int(row.choice)
+            expected = getattr(row, "choices", None)
+            choices = max(choices, choice + 1, 1 if expected is None or pd.isna(expected) else int(expected))
+            if row.finished:
+                ends[choice] = int(row.seq)
+            if reason:
+                continue
             for kind, text in (("content", row.content), ("reasoning", row.reasoning), ("name", row.tool_name), ("args", row.tool_args)):
                 if isinstance(text, str) and text:
                     pieces.append([int(row.seq), choice, kind, tool if kind in ("name", "args") else -1, text])
                     chars += len(text) if kind != "name" else 0
             if chars > MAX_OUTPUT_CHARS or chunks > MAX_OUTPUT_CHUNKS:
                 reason, pieces = "output_buffer_cap", []
-    if not done and (reason or finished):
+    if not done and (reason or _complete(seen, ends, choices)):
         outputs = []
         if reason is None:
-            try:
-                outputs = _assemble(pieces)
-                if not any(o["text"].strip() for o in outputs):
-                    reason = "no_scannable_output"
-            except BudgetExceeded:
-                reason = "schema_budget_exceeded"
+            outputs = _assemble(pieces)
+            if not any(o["text"].strip() for o in outputs):
+                reason = "no_scannable_output"
         yield _row(key, reason, chunks, chars, outputs)
-        done, pieces = True, []
-    if finished:
-        state.remove()
-    else:
-        state.update((json.dumps(pieces), chunks, chars, done))
-        if hold_ms:
-            state.setTimeoutDuration(hold_ms)
+        done, pieces, seen, ends = True, [], set(), {}
+    state.update((json.dumps(pieces), json.dumps([choices, sorted(seen), ends]), chunks, chars, done))
+    if hold_ms:
+        state.setTimeoutDuration(hold_ms)
 
 
 def _row(key: tuple, reason: str | None, chunks: int, chars: int, outputs: list[dict]) -> pd.DataFrame:
@@ -122,41 +131,3 @@ def release(calls: DataFrame, policy: Policy) -> DataFrame:
         "call_id", "choice", "kind", "text", F.lit("stop").alias("finish_reason"), "reason"
     )
     return passed.unionByName(withheld)
-
-
-# ---- lockout ---------------------------------------------------------------------------------
-
-ATTEMPTS = "account STRING, ts_us BIGINT, outcome STRING"
-FAILURES_STATE = "failures ARRAY<BIGINT>"
-
-
-def lockout_stream(attempts: DataFrame, limit: int, seconds: int, clear_on_success: bool = True) -> DataFrame:
-    """Outcome of every attempt ``(account, ts_us, failed)``: refused while locked (and then not
-    counted as a failure), failed, or ok.
-
-    State per account is at most ``limit`` timestamps, so no watermark is needed to bound it and no
-    late attempt is dropped. Attempts of one micro-batch are put in time order; the trigger's file
-    limit bounds how many there are.
-    """
-    span = seconds * 1_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = list(state.get[0]) if state.exists else []
-        rows = pd.concat([b[["ts_us", "failed"]] for b in batches]).sort_values("ts_us", kind="stable")
-        outcomes = []
-        for at, failed in zip(rows["ts_us"], rows["failed"]):
-            failures = [t for t in failures if at - t < span]
-            if len(failures) >= limit:
-                outcomes.append("refused")
-            elif failed:
-                failures.append(int(at))
-                outcomes.append("failed")
-            else:
-                failures = [] if clear_on_success else failures
-                outcomes.append("ok")
-        state.update((failures,))
-        yield pd.DataFrame({"account": key[0], "ts_us": rows["ts_us"].to_numpy(), "outcome": outcomes})
-
-    return attempts.groupBy("account").applyInPandasWithState(
-        step, ATTEMPTS, FAILURES_STATE, "append", GroupStateTimeout.NoTimeout
-    )

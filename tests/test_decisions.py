@@ -62,10 +62,15 @@ def test_policy_overlay(spark, tmp_path):
     assert doc["retention"]["immutable_categories"] == ["S4"] and doc["retention"]["immutable_days"] == 90
     assert doc["retention"]["evidence"]["days"] == 90 and doc["retention"]["evidence"]["enabled"]
     good = tmp_path / "policy.json"
-    good.write_text(json.dumps({"tripwires": {"extra_patterns": ["fine", "(a+)+b", "(", ".*x.*y.*", "(?P<n>a)b"]}}))
+    good.write_text(json.dumps({"tripwires": {"extra_patterns": ["fine", "a+b", r"\\d{3}-\\d{4}"]}}))
     first = P.read_policy(spark, str(good))
-    assert first.extra_patterns == ("fine",)
+    assert first.extra_patterns == ("fine", "a+b", r"\\d{3}-\\d{4}")
     bad = tmp_path / "bad.json"
+    # One pattern that cannot be used refuses the document; (?P<n>a)b is read by Python but not by Spark.
+    for pattern in ("(a+)+b", "(", ".*x.*y.*", "(?P<n>a)b", "(a|b+)*c", "((ab)*c*)*"):
+        bad.write_text(json.dumps({"tripwires": {"extra_patterns": ["other", pattern]}}))
+        assert P.read_policy(spark, str(bad), first) is first
+    assert P.pattern_is_safe("(?:[a-z]{2,5}-)+x") is False and P.pattern_is_safe("(?:ab)+x{0,9}")
     bad.write_text("{")
     assert P.read_policy(spark, str(bad), first) is first and P.read_policy(spark, str(tmp_path / "gone.json"), first) is first
     before, after = P.category_table(spark, P.make_policy()), P.category_table(spark, P.make_policy({"categories": {"S1": {"block": False}}}))

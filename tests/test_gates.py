@@ -34,8 +34,11 @@ def test_output_gate(spark):
     outputs = spark.createDataFrame([(1, "/s/out/a.png", False), (2, "/s/out/b.png", False), (3, "/s/out/../x.png", False)], "id int, path string, nsfw_grant boolean")
     verdicts = spark.createDataFrame([(1, json.dumps(FIELDS)), (3, json.dumps(FIELDS))], "id int, raw string")
     judged = imagegate.output_gate(outputs, verdicts, ["id"], "/s/out")
-    assert sorted((r.id, r.action) for r in judged.collect()) == [(1, "keep"), (2, "destroy_unparseable")]
-    assert [(r.detail, r.immutable) for r in imagegate.gate_audit(judged).collect()] == [("UNPARSEABLE_VERDICT — unparseable", False)]
+    assert sorted((r.id, r.action) for r in judged.collect()) == [(1, "keep"), (2, "destroy_unparseable"), (3, "destroy_unparseable")]
+    several = [(1, json.dumps(FIELDS)), (1, json.dumps(FIELDS | {"illegal": True})), (1, "?"), (2, json.dumps(FIELDS)), (2, "?")]
+    judged = imagegate.output_gate(outputs, spark.createDataFrame(several, "id int, raw string"), ["id"])
+    assert sorted((r.id, r.action) for r in judged.collect()) == [(1, "destroy_illegal"), (2, "destroy_unparseable"), (3, "destroy_unparseable")]
+    assert ("UNPARSEABLE_VERDICT — unparseable", False) in [(r.detail, r.immutable) for r in imagegate.gate_audit(judged).collect()]
 
 
 def test_workflow_inputs_and_file_gate(spark):

@@ -94,14 +94,11 @@ def test_ordinary_requests_pass(scanned):
     assert unscannable == {"7.6"}
 
 
-def test_structure_budget(spark):
-    deep = "x"
-    for _ in range(30):
-        deep = [deep]
-    rows = request_rows(spark, {"deep": user({"a": deep}), "wide": user([{"type": "t", "v": ["x"] * 6000}]), "fine": user({"a": ["x"], "b": "y"})})
-    got = {r.call_id: (r.text, r.exceeded) for r in requests.turns(rows).collect()}
-    assert got["deep"][1] and got["wide"][1]
-    assert got["fine"] == ("a\nb\nx\ny", False)
+def test_nested_content(spark):
+    parts = [{"type": "text", "text": "one"}, "two", {"type": "image_url", "image_url": "x"}, {"type": "input_text", "text": ["three", {"text": "four"}]}, {"type": "odd", "v": ["five"]}, 6, None]
+    rows = request_rows(spark, {"object": user({"a": ["x"], "b": "y"}), "flat": user(parts[:3]), "nested": user(parts), "number": user(7)})
+    got = {r.call_id: r.text for r in requests.turns(rows).collect()}
+    assert got == {"object": "a\nb\nx\ny", "flat": "one\ntwo", "nested": "one\ntwo\nthree\nfour\ntype\nv\nodd\nfive", "number": "7"}
 
 
 @pytest.mark.parametrize("length,starts", [(0, [0]), (1, [0]), (5399, [0]), (5400, [0]), (5401, [0, 5400]), (6000, [0, 5400]), (10801, [0, 5400, 10800])])
@@ -135,5 +132,27 @@ def test_outputs_and_caps(spark):
     assert sorted(r.text for r in outputs.response_texts(rows).collect()) == ["f a\nb", "hi", "no", "why"]
     pieces = [("ok", i, t) for i, t in enumerate("hello")] + [("big", i, "x" * 100_000) for i in range(5)]
     frame = spark.createDataFrame(pieces, "call_id string, seq int, piece string").repartition(3)
-    assert [(r.call_id, r.text) for r in outputs.assemble(frame, ["call_id"], "seq").collect()] == [("ok", "hello")]
+    assert sorted((r.call_id, len(r.text)) for r in outputs.assemble(frame, ["call_id"], "seq").collect()) == [("big", 500_000), ("ok", 5)]
     assert [r.call_id for r in outputs.over_caps(frame).collect()] == ["big"]
+
+
+def test_chunks_of_pieces_equal_chunks_of_the_text(spark):
+    sizes = {"a": [3, 50, 7000, 1], "b": [6000], "c": [5399, 1, 700], "long": [90_000] * 5, "d": [1]}
+    pieces = [(call, 10 * i, "".join(chr(97 + (k * 7 + i) % 26) for k in range(n))) for call, own in sizes.items() for i, n in enumerate(own)]
+    frame = spark.createDataFrame(pieces, "call_id string, at long, text string")
+    texts = spark.createDataFrame([(c, "\n".join(t for call, _, t in pieces if call == c)) for c in sizes], "call_id string, text string")
+    expected = sorted((r.call_id, r.chunk_idx, r.chunk) for r in requests.chunks(texts).collect())
+    for bucket in (15, 1000):
+        assert sorted(tuple(r) for r in outputs.assembled_chunks(frame, "call_id", "at", "text", bucket=bucket).select("call_id", "chunk_idx", "chunk").collect()) == expected
+
+
+def test_large_and_deep_values_are_read_whole(spark):
+    wide = [{"type": "other", "nodes": [str(n) for n in range(6000)] + [TRIGGER]}]
+    deep = TRIGGER
+    for _ in range(60):
+        deep = {"d": [deep]}
+    rows = [("wide", json.dumps([{"role": "user", "content": wide}])), ("deep", json.dumps([{"role": "user", "content": deep}])), ("broken", "[{"), ("plain", json.dumps(user("hello")))]
+    frame = spark.createDataFrame(rows, "call_id string, messages_json string").withColumn("tools_json", F.lit(None).cast("string"))
+    assert {r.call_id for r in requests.unreadable(frame).collect()} == {"broken"}
+    texts = {r.call_id: r.text for r in requests.request_texts(requests.turns(frame)).where("origin = 'original'").collect()}
+    assert TRIGGER in texts["wide"] and "5999" in texts["wide"] and TRIGGER in texts["deep"] and texts["plain"] == "hello"

@@ -3,13 +3,14 @@
 import json
 import random
 
+import pytest
 from pyspark.sql.types import _parse_datatype_string
 
 from sluiceway.operators import audit, outputs
 from sluiceway.policy import make_policy
 from sluiceway.schemas import STREAM_CHUNK, VETO_AUDIT
 from sluiceway.session import cut
-from sluiceway.streaming import jobs, runner, stateful
+from sluiceway.streaming import jobs, lockouts, runner, stateful
 
 
 def write_files(folder, batches):
@@ -22,16 +23,19 @@ def chunk(call, seq, content=None, finished=False, **fields):
     return {"call_id": call, "seq": seq, "choice": 0, "content": content, "finished": finished, **fields}
 
 
-def test_gate(spark, tmp_path):
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_gate(spark, tmp_path, order):
     hidden = "test_sentinel_", "block_alpha"
     batches = [
-        [chunk("ok", 1, "Hello "), chunk("bad", 1, hidden[0]), chunk("open", 1, "never"), chunk("none", 1, None)]
-        + [chunk("long", i, "x" * 100_000) for i in range(3)] + [chunk("tool", 1, tool_idx=0, tool_name="find", tool_args='{"q": "a')],
-        [chunk("ok", 3, "!", True), chunk("ok", 2, "world"), chunk("bad", 2, hidden[1], True), chunk("none", 2, " ", True)]
-        + [chunk("long", i, "x" * 100_000) for i in range(3, 6)] + [chunk("tool", 2, tool_idx=0, tool_args='b"}', finished=True)],
-        [chunk("long", 6, "x", True)],
+        [chunk("ok", 0, "Hello "), chunk("bad", 0, hidden[0]), chunk("open", 0, "never"), chunk("none", 0, None), chunk("gap", 1, "end", True)]
+        + [chunk("long", i, "x" * 100_000) for i in range(3)] + [chunk("tool", 0, tool_idx=0, tool_name="find", tool_args='{"q": "a')]
+        + [chunk("two", 0, "fine", choices=2), chunk("two", 1, "", True, choices=2), chunk("two", 2, hidden[0], choice=1, choices=2)],
+        [chunk("ok", 2, "!", True), chunk("ok", 1, "world"), chunk("bad", 1, hidden[1], True), chunk("none", 1, " ", True)]
+        + [chunk("long", i, "x" * 100_000) for i in range(3, 6)] + [chunk("tool", 1, tool_idx=0, tool_args='b"}', finished=True)]
+        + [chunk("two", 3, hidden[1], True, choice=1, choices=2)],
+        [chunk("long", 6, "x", True), chunk("ok", 1, "world")],
     ]
-    write_files(tmp_path / "in", batches)
+    write_files(tmp_path / "in", [batches[k] for k in order])
     stream = runner.follow_log(spark, str(tmp_path / "in"), STREAM_CHUNK, files_per_trigger=1)
 
     def start(out, checkpoint):
@@ -43,27 +47,19 @@ def test_gate(spark, tmp_path):
     rows = runner.run(spark, start, _parse_datatype_string(stateful.RELEASED)).collect()
     got = sorted((r.call_id, r.kind, r.text, r.finish_reason, r.reason) for r in rows)
     withheld = stateful.WITHHELD_TEXT
+    # "gap" lacks its first chunk and "open" its end, so neither is released; "two" is judged as a whole.
     assert got == [
         ("bad", "content", withheld, "content_filter", "regex:sentinel"), ("long", "content", withheld, "content_filter", "output_buffer_cap"),
         ("none", "content", withheld, "content_filter", "no_scannable_output"), ("ok", "content", "Hello world!", "stop", None),
-        ("tool", "tool", "find q\nab", "stop", None),
+        ("tool", "tool", "find q\nab", "stop", None), ("two", "content", withheld, "content_filter", "regex:sentinel"),
     ]
 
 
-def test_lockout(spark, tmp_path):
-    rng = random.Random(3)
-    times = sorted(rng.sample(range(2000), 200))
-    attempts = [{"account": rng.choice(["hot", "hot", "b"]), "ts_us": t * 1_000_000, "failed": rng.random() < 0.8} for t in times]
-    shuffled = [attempts[:90], attempts[90:]]
-    for part in shuffled:
-        rng.shuffle(part)
-    write_files(tmp_path / "in", shuffled)
-    stream = runner.follow_log(spark, str(tmp_path / "in"), "account string, ts_us long, failed boolean", files_per_trigger=1)
-    rows = runner.run(spark, lambda out, ckpt: runner.to_table(stateful.lockout_stream(stream, 3, 60), out, ckpt), _parse_datatype_string(stateful.ATTEMPTS)).collect()
+def plain_outcomes(attempts, limit, seconds):
     held, expected = {}, {}
-    for a in attempts:
-        recent = [t for t in held.get(a["account"], []) if a["ts_us"] - t < 60_000_000]
-        if len(recent) >= 3:
+    for a in sorted(attempts, key=lambda a: a["ts_us"]):
+        recent = [t for t in held.get(a["account"], []) if a["ts_us"] - t < seconds * 1_000_000]
+        if len(recent) >= limit:
             outcome = "refused"
         elif a["failed"]:
             outcome = "failed"
@@ -72,7 +68,28 @@ def test_lockout(spark, tmp_path):
             outcome, recent = "ok", []
         held[a["account"]] = recent
         expected[a["account"], a["ts_us"]] = outcome
-    assert {(r.account, r.ts_us): r.outcome for r in rows} == expected and "refused" in expected.values()
+    return expected
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_lockout(spark, tmp_path, backwards):
+    rng = random.Random(3)
+    times = sorted(rng.sample(range(2000), 200))
+    attempts = [{"account": rng.choice(["hot", "hot", "b"]), "ts_us": t * 1_000_000, "failed": rng.random() < 0.8} for t in times]
+    parts = [attempts[:70], attempts[70:130], attempts[130:]]
+    for part in parts:
+        rng.shuffle(part)
+    write_files(tmp_path / "in", parts[::-1] if backwards else parts)
+    stream = runner.follow_log(spark, str(tmp_path / "in"), lockouts.OPEN, files_per_trigger=1)
+    # Files in order need no delay; against it, attempts stay open as long as files may be late.
+    job = lockouts.LockoutJob(spark, str(tmp_path / "work"), str(tmp_path / "out"), 3, 60, 2_000_000_000 if backwards else 0)
+    runner.each_batch(stream, job.handle, str(tmp_path / "checkpoint")).awaitTermination()
+    job.close()
+    rows = spark.read.schema(lockouts.ATTEMPTS).parquet(str(tmp_path / "out")).collect()
+    expected = plain_outcomes(attempts, 3, 60)
+    assert len(rows) == 200 and {(r.account, r.ts_us): r.outcome for r in rows} == expected and "refused" in expected.values()
+    left = spark.read.schema(lockouts.STATE).parquet(str(tmp_path / "work" / "state")).collect()
+    assert all(len(r.failures) <= 3 for r in left)
 
 
 def test_alerts_and_scan(spark, tmp_path):
