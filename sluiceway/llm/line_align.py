@@ -155,7 +155,8 @@ def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int =
         x.line.alias("line"), F.unhex(F.md5(F.regexp_replace(x.text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))).alias("h"), count_words(x.text).cast("int").alias("words")))
     lines = docs.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.posexplode(digests).alias("pos", "x")).select("doc", "pos", "x.*")
     owners = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
-    shared = lines.join(owners.where(F.col("owner") != F.col("last")).drop("last"), "h")
+    # Written out, so that both sides of the join are plain exchanges and Spark can split a very common line.
+    shared = lines.join(cut(owners.where(F.col("owner") != F.col("last")).drop("last")), "h")
     entry = F.struct("pos", "line", "h", "words", ((F.col("n") > rare) & (F.col("owner") != F.col("doc"))).alias("common"))
     rare_owner = F.when((F.col("n") <= rare) & (F.col("owner") != F.col("doc")), F.col("owner"))
     # Rows equal in key and text give equal entries; the set keeps each once.
