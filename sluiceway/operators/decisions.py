@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.operators.requests import chunk_count
+
+MAX_CHUNKS = 100  # fixed value: classifier calls a request may need
 # Refusal reason -> (status, code).
 OUTCOMES = {
     "schema_budget_exceeded": (413, "veto_triggered"),
@@ -49,3 +52,30 @@ def decide(requests: DataFrame, key: str, hits: DataFrame, verdicts: DataFrame)
     out = joined.withColumn("reason", reason)
     status, code = outcome_of(F.col("reason"))
     return out.withColumn("status", status).withColumn("code", code)
+
+
+def decide_requests(requests: DataFrame, key: str, texts: DataFrame, hits: DataFrame, new_chars: DataFrame, verdicts: DataFrame,
+                    unreadable: DataFrame | None = None, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """(key, reason, status, code) of every request, the first of these that holds: it cannot be read; it has a payload (``has_payload``)
+    but no text; a text hits a list; what is new in it needs over ``max_chunks`` classifier calls; its verdict. A request
+    without payload and text passes.
+
+    ``texts``: scannable texts. ``hits``: one row per hit request. ``new_chars``: (key, chars) of the text new to the classifier. ``verdicts``:
+    one row per scored request. Every side is reduced to one row per request before it is joined.
+    """
+    has_text = texts.groupBy(key).agg(F.lit(True).alias("_text"))
+    long = new_chars.where(chunk_count(F.col("chars")) > max_chunks).groupBy(key).agg(F.lit(True).alias("_long"))
+    broken = (unreadable.groupBy(key) if unreadable is not None else requests.limit(0).groupBy(key)).agg(F.lit(True).alias("_broken"))
+    joined = requests.join(has_text, key, "left").join(long, key, "left").join(broken, key, "left").join(hits.select(key, "list"), key, "left").join(
+        verdicts.select(key, "refused", F.col("reason").alias("_verdict")), key, "left")
+    reason = (
+        F.when(F.col("_broken"), "extraction_failure")
+        .when(F.col("_text").isNull() & F.col("has_payload"), "no_scannable_text")
+        .when(F.col("_text").isNull(), F.lit(None).cast("string"))
+        .when(F.col("list").isNotNull(), F.concat(F.lit("regex:"), F.col("list")))
+        .when(F.col("_long"), "prompt_too_long_for_guard")
+        .when(F.coalesce("refused", F.lit(True)), F.coalesce("_verdict", F.lit("guard_unavailable")))
+    )
+    out = joined.select(key, reason.alias("reason"))
+    status, code = outcome_of(F.col("reason"))
+    return out.withColumn("status", status).withColumn("code", code)

@@ -140,13 +140,27 @@ def word_grams(words: Column, size: int) -> Column:
 
 
 def phrase_join(texts: DataFrame, key: str, norm: str, phrases: DataFrame, phrase_key: str, phrase: str, size: int) -> DataFrame:
-    """(phrase, text) pairs where a text holds a phrase of exactly ``size`` words.
+    """(phrase, text) pairs where a text holds a phrase of any number of words.
 
-    A pattern table that grows with the data must not be looped over every text, so containment
-    becomes an equality on word runs: texts explode once, and the join is a hash or sort-merge
-    join on the run. Spark broadcasts the phrases only while they are under its size limit.
+    A pattern table that grows with the data must not be looped over every text. A phrase's first ``size`` words (all of a
+    shorter one) are hashed and joined with the hashes of the texts' word runs of that length; candidates then fetch both texts and
+    are compared in full. Only hashes are exploded and shuffled per word. Run lengths below ``size`` are made only
+    if there are such phrases: at most ``size`` lengths.
     """
-    wanted = phrases.select(F.col(phrase_key), F.col(phrase).alias("gram"))
-    split = bind(texts.select(key, norm), "words", words_of(F.col(norm)))
-    runs = bind(split, "grams", word_grams(F.col("words"), size)).select(F.col(key), F.explode("grams").alias("gram"))
-    return runs.join(wanted, "gram").select(phrase_key, key)
+    wanted = bind(phrases.select(F.col(phrase_key), F.col(phrase).alias("_phrase")), "_words", words_of(F.col("_phrase"))).where(F.size("_words") > 0)
+    wanted = wanted.withColumn("_size", F.least(F.size("_words"), F.lit(size)))
+    wanted = wanted.withColumn("_run", F.xxhash64("_size", F.array_join(F.slice("_words", F.lit(1), F.col("_size")), " ")))
+    lengths = sorted(r[0] for r in wanted.select("_size").distinct().collect())
+    split = bind(texts.select(key, norm), "_words", words_of(F.col(norm)))
+    found = None
+    for length in lengths:
+        runs = F.transform(word_grams(F.col("_words"), length), lambda g: F.xxhash64(F.lit(length), g))
+        candidates = split.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(wanted.where(F.col("_size") == length).select(phrase_key, "_run"), "_run")
+        found = candidates if found is None else found.unionByName(candidates)
+    if found is None:
+        return wanted.select(phrase_key).limit(0).join(texts.select(key).limit(0))
+    pairs = found.select(phrase_key, key).distinct()
+    whole = F.array_join("_words", " ")
+    both = pairs.join(split.select(key, F.concat(F.lit(" "), whole, F.lit(" ")).alias("_text")), key).join(
+        wanted.select(phrase_key, F.concat(F.lit(" "), whole, F.lit(" ")).alias("_sought")), phrase_key)
+    return both.where(F.contains("_text", F.col("_sought"))).select(phrase_key, key)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import json_text
-from sluiceway.operators import outputs, requests
+from sluiceway.functions.columns import bind
+from sluiceway.functions.text import normalise
+from sluiceway.operators import decisions, outputs, requests, tripwires, verdicts
 from sluiceway.plans.registry import query
-from sluiceway.plans.texts import BREAK, RUN, _PAD
+from sluiceway.plans.texts import BLOCKED_SQL, BREAK, RUN, VERDICT_SQL, _PAD, _hits_sql, parsed_verdicts, policy
 from sluiceway.session import load, spread
 
 PIECE = 40
@@ -151,6 +153,34 @@ def segment_chunks(spark, sf):
     return chunks.select("call_id", "chunk_idx", F.sha2("chunk", 256).alias("digest"))
 
 
+CALL_CHUNKS = 1  # classifier calls allowed in the query below, so that the fixture has requests over it
+
+
+@query("request_decision", f"""
+WITH {_hits_sql(tripwires.REQUEST_LISTS, "(SELECT conv_id * 1000 + turn AS msg, text FROM conversations)", "msg")}, {VERDICT_SQL}, {LAST_USER_SQL},
+calls AS (SELECT conv_id, bool_or(regexp_matches(text, '\\S')) AS has_text FROM conversations GROUP BY conv_id),
+firsts AS (SELECT msg // 1000 AS conv_id, list FROM hits QUALIFY row_number() OVER (PARTITION BY msg // 1000 ORDER BY list_rank, msg, pattern_rank) = 1),
+p AS (SELECT conv_id, text FROM conversations JOIN w USING (conv_id) WHERE turn >= last_idx AND length(text) > 0
+  UNION ALL SELECT conv_id, text FROM conversations WHERE role IN ('system', 'developer') AND length(text) > 0),
+long AS (SELECT conv_id, ceil(greatest(sum(length(text) + 1) - 1, 1) / 5400) > {CALL_CHUNKS} AS too_long FROM p GROUP BY conv_id),
+j AS (SELECT c.conv_id, has_text, list, too_long, raw, regexp_extract(raw, 'S\\d+') AS code
+  FROM calls c LEFT JOIN firsts USING (conv_id) LEFT JOIN long USING (conv_id) LEFT JOIN raw ON raw.doc_id = c.conv_id),
+d AS (SELECT conv_id, CASE WHEN NOT has_text THEN 'no_scannable_text' WHEN list IS NOT NULL THEN 'regex:' || list WHEN too_long THEN 'prompt_too_long_for_guard'
+  WHEN raw IS NULL THEN 'guard_unavailable' WHEN code IN {BLOCKED_SQL} THEN 'classifier' ELSE 'pass' END AS reason FROM j)
+SELECT conv_id AS call_id, reason, CAST(CASE reason WHEN 'pass' THEN 200 WHEN 'prompt_too_long_for_guard' THEN 413 WHEN 'guard_unavailable' THEN 503 ELSE 400 END AS INTEGER) AS status FROM d""")
+def request_decision(spark, sf):
+    """One decision per conversation, its label standing in for the classifier's answer."""
+    rows = turns(spark, sf)
+    texts = bind(requests.request_texts(rows).select("call_id", "text_rank", "text"), "norm", normalise(F.col("text")))
+    hits = tripwires.first_hit(tripwires.scan(texts, "norm", tripwires.REQUEST_LISTS, policy().extra_patterns), "call_id", "text_rank")
+    new = requests.new_segment(rows).groupBy("call_id").agg((F.sum(F.length("text") + 1) - 1).alias("chars"))
+    answers = parsed_verdicts(spark, sf).select(F.col("doc_id").alias("call_id"), F.lit(0).alias("chunk_idx"), "v")
+    judged = verdicts.request_verdict(answers, "call_id", "chunk_idx", "v", policy())
+    calls = rows.select("call_id").distinct().withColumn("has_payload", F.lit(True))
+    out = decisions.decide_requests(calls, "call_id", texts, hits, new, judged, max_chunks=CALL_CHUNKS)
+    return out.select("call_id", F.coalesce("reason", F.lit("pass")).alias("reason"), "status")
+
+
 @query("response_texts", """
 SELECT conv_id AS call_id, CAST(turn AS INTEGER) AS choice, 0 AS field, sha256(text) AS digest FROM conversations WHERE length(text) > 0 AND role = 'assistant'
 UNION ALL SELECT conv_id, CAST(turn AS INTEGER), 5, sha256('note ' || role) FROM conversations WHERE role = 'assistant'""")

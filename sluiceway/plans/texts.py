@@ -109,17 +109,14 @@ def tripwire_first_hit(spark, sf):
 
 
 @query("pattern_join", f"""
-WITH b AS (SELECT item_id, list_filter(string_split({NORM}, ' '), lambda w: w <> '') AS w FROM benchmark),
-phrases AS (SELECT item_id, array_to_string(w[1:{PHRASE_WORDS}], ' ') AS phrase FROM b WHERE len(w) >= {PHRASE_WORDS}),
-d AS (SELECT doc_id, ' ' || {NORM} || ' ' AS norm FROM documents)
-SELECT item_id, doc_id FROM phrases JOIN d ON contains(norm, ' ' || phrase || ' ')
+WITH phrases AS (SELECT item_id, array_to_string(list_filter(string_split({NORM}, ' '), lambda w: w <> ''), ' ') AS phrase FROM benchmark),
+d AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split({NORM}, ' '), lambda w: w <> ''), ' ') || ' ' AS norm FROM documents)
+SELECT item_id, doc_id FROM phrases JOIN d ON phrase <> '' AND contains(norm, ' ' || phrase || ' ')
 """)
 def pattern_join(spark, sf):
-    items = bind(load(spark, sf, "benchmark"), "w", tripwires.words_of(T.normalise(F.col("text"))))
-    phrases = items.where(F.size("w") >= PHRASE_WORDS).select(
-        "item_id", F.array_join(F.slice("w", 1, PHRASE_WORDS), " ").alias("phrase")
-    )
-    return tripwires.phrase_join(normalised(spark, sf), "doc_id", "norm", phrases, "item_id", "phrase", PHRASE_WORDS)
+    """Documents that hold the whole text of a benchmark item."""
+    items = bind(load(spark, sf, "benchmark").select("item_id", "text"), "phrase", T.normalise(F.col("text")))
+    return tripwires.phrase_join(normalised(spark, sf), "doc_id", "norm", items, "item_id", "phrase", PHRASE_WORDS)
 
 
 # ---- verdicts --------------------------------------------------------------------------------
