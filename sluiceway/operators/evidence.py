@@ -2,7 +2,7 @@
 
 A hash chain is sequential by nature, a cluster is not. Chains are cut into segments of bounded
 length by position; each segment is folded on its own, and the last hashes of the segments are
-sealed as a chain one level up. With one segment this is the plain chain. Verification needs no
+sealed as a chain one level up, which goes on from its stored end. With one segment this is the plain chain. Verification needs no
 order at all: every record carries its predecessor's hash, so it is an equality join.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from sluiceway.functions.columns import bind
 from sluiceway.functions.text import category_codes
 from sluiceway.operators.ordering import number_rows
 from sluiceway.policy import CATEGORY_NAMES
@@ -25,7 +26,7 @@ SEGMENT_ROWS = 10_000
 
 SEALED = StructType([
     StructField("chain_id", StringType()), StructField("segment", LongType()), StructField("seq", LongType()),
-    StructField("id", StringType()), StructField("ts", StringType()),
+    StructField("segment_start", LongType()), StructField("id", StringType()), StructField("ts", StringType()),
     StructField("body_json", StringType()), StructField("prev_hash", StringType()), StructField("hash", StringType()),
 ])
 
@@ -48,51 +49,68 @@ def categories_of(detail: Column, names: dict[str, str] = CATEGORY_NAMES) -> Col
 
 def _fold(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("seq")
-    previous, links = GENESIS, []
+    previous, links = group["start_hash"].iloc[0], []
     for body in group["body_json"]:
         digest = hashlib.sha256((previous + body).encode()).hexdigest()
         links.append((previous, digest))
         previous = digest
     group["prev_hash"], group["hash"] = zip(*links)
-    return group
+    return group.drop(columns="start_hash")
 
 
-def seal(bodies: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def seal(bodies: DataFrame, segment_rows: int | None = SEGMENT_ROWS, after: DataFrame | None = None) -> DataFrame:
     """Chained records of ``(chain_id, id, ts, body_json)`` in ``(ts, id)`` order per chain.
 
-    No fold sees more than ``segment_rows`` records, however many a chain holds.
+    ``after`` has the last stored record of each chain (``tails``); the new ones continue its numbers and start segments of
+    their own. No fold sees more than ``segment_rows`` records. With None the chain is one segment that goes on from the
+    stored hash: for chains of heads, which are short.
     """
     numbered = number_rows(bodies.select("chain_id", "id", "ts", "body_json"), "chain_id", ["ts", "id"])
-    placed = numbered.withColumn("segment", F.floor(F.col("seq") / segment_rows)).select(
-        "chain_id", "segment", "seq", "id", "ts", "body_json"
+    if after is not None:
+        last = after.select("chain_id", F.col("seq").alias("_seq"), F.col("segment").alias("_segment"), F.col("hash").alias("_hash"))
+        numbered = numbered.join(last, "chain_id", "left")
+    else:
+        numbered = numbered.withColumns({"_seq": F.lit(None).cast("bigint"), "_segment": F.lit(None).cast("bigint"), "_hash": F.lit(None).cast("string")})
+    first = F.coalesce(F.col("_seq") + 1, F.lit(0))
+    if segment_rows is None:
+        where = {"segment": F.lit(0).cast("bigint"), "segment_start": F.lit(0).cast("bigint"), "start_hash": F.coalesce("_hash", F.lit(GENESIS))}
+    else:
+        part = F.floor(F.col("seq") / segment_rows)
+        where = {"segment": F.coalesce(F.col("_segment") + 1, F.lit(0)) + part, "segment_start": first + part * segment_rows, "start_hash": F.lit(GENESIS)}
+    placed = numbered.withColumns(where).withColumn("seq", first + F.col("seq")).select(
+        "chain_id", "segment", "seq", "segment_start", "id", "ts", "body_json", "start_hash"
     )
     return placed.groupBy("chain_id", "segment").applyInPandas(_fold, SEALED)
 
 
-def heads(sealed: DataFrame) -> DataFrame:
-    """Bodies of the next level: one per segment, committing to its last hash and its length.
+def tails(sealed: DataFrame) -> DataFrame:
+    """The last record of each chain, which the next batch continues from."""
+    last = F.max(F.struct("seq", "segment", "hash"))
+    return sealed.groupBy("chain_id").agg(last.alias("t")).select("chain_id", "t.seq", "t.segment", "t.hash")
 
-    Seal them again (chain per original chain) until a chain fits one segment; each level is
-    ``segment_rows`` times smaller than the one below.
-    """
+
+def heads(sealed: DataFrame) -> DataFrame:
+    """Bodies of the next level: one per segment, committing to its last hash, its last number and its length."""
     last = sealed.groupBy("chain_id", "segment").agg(
-        F.max_by("hash", "seq").alias("head"), F.count(F.lit(1)).alias("rows"), F.max("ts").alias("ts")
+        F.max_by("hash", "seq").alias("head"), F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last"), F.max("ts").alias("ts")
     )
-    body = canonical_json(F.struct("chain_id", "segment", "head", "rows"))
+    body = canonical_json(F.struct("chain_id", "segment", "head", "rows", "last"))
     return last.select("chain_id", F.format_string("%012d", "segment").alias("id"), "ts", body.alias("body_json"))
 
 
 def index_of(sealed: DataFrame) -> DataFrame:
-    """Metadata-only index: no body, so listing never reads content."""
-    return sealed.select("chain_id", "segment", "seq", "id", "ts", "hash")
+    """Metadata-only index: no body text, so listing never reads content."""
+    body = F.from_json("body_json", "stage string, reason string, key_alias string, categories array<struct<code:string>>")
+    held = bind(sealed, "_b", body)
+    return held.select("chain_id", "segment", "seq", "segment_start", "id", "ts", "_b.stage", "_b.reason", F.col("_b.categories.code").alias("categories"), "_b.key_alias", "hash")
 
 
-def verify(index: DataFrame, records: DataFrame, anchors: DataFrame | None = None, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+def verify(index: DataFrame, records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Per index entry: is its record present, unedited and linked to its predecessor?
 
     Both joins use the unique key (chain_id, seq), so they spread evenly whatever the chain sizes
     and share one shuffle of the records. ``anchors`` is ``(chain_id, seq, hash)`` of the last
-    expired record of a chain.
+    expired record of a chain. Whole segments missing from index and records are seen by ``verify_heads``.
     """
     key = ["chain_id", "seq"]
     # Re-hashing needs no other row, so bodies are read once where they lie and never shuffled.
@@ -102,7 +120,7 @@ def verify(index: DataFrame, records: DataFrame, anchors: DataFrame | None = Non
     if anchors is not None:
         before = before.unionByName(anchors.select("chain_id", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("before_hash")))
     joined = index.join(found, key, "left").join(before, key, "left")
-    expected = F.when(F.col("seq") % segment_rows == 0, F.lit(GENESIS)).otherwise(F.col("before_hash"))
+    expected = F.when(F.col("seq") == F.col("segment_start"), F.lit(GENESIS)).otherwise(F.col("before_hash"))
     hash_ok = F.coalesce(F.col("own_ok") & (F.col("record_hash") == F.col("hash")), F.lit(False))
     link_ok = F.coalesce(F.col("prev_hash") == expected, F.lit(False))
     present = F.col("record_hash").isNotNull()
@@ -111,6 +129,22 @@ def verify(index: DataFrame, records: DataFrame, anchors: DataFrame | None = Non
     )
 
 
+def verify_heads(stored: DataFrame, records: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """Per sealed head: does its segment still have all its records and end in the head's hash, and is the chain of heads whole?
+    Segments that expired in part need only what is after the anchor; those that expired wholly need nothing."""
+    links = verify(stored.select("chain_id", "seq", "segment_start", "id", "hash"), stored).select("chain_id", "seq", "verified")
+    held = stored.select("chain_id", "seq", F.from_json("body_json", "segment bigint, head string, rows bigint, last bigint").alias("h")).select("chain_id", "seq", "h.*")
+    there = records.groupBy("chain_id", "segment").agg(F.count(F.lit(1)).alias("found"), F.max_by("hash", "seq").alias("end"))
+    joined = held.join(there, ["chain_id", "segment"], "left").join(links, ["chain_id", "seq"])
+    gone = F.lit(-1)
+    if anchors is not None:
+        joined = joined.join(anchors.select("chain_id", F.col("seq").alias("_gone")), "chain_id", "left")
+        gone = F.coalesce("_gone", F.lit(-1))
+    wanted = F.greatest(F.lit(0), F.least(F.col("rows"), F.col("last") - gone))
+    whole = (F.coalesce("found", F.lit(0)) == wanted) & ((wanted == 0) | F.coalesce(F.col("end") == F.col("head"), F.lit(False)))
+    return joined.select("chain_id", "segment", "rows", F.coalesce("found", F.lit(0)).alias("found"), (whole & F.col("verified")).alias("intact"))
+
+
 def summary(verified: DataFrame) -> DataFrame:
     return verified.groupBy("chain_id").agg(
         F.bool_and("verified").alias("intact"), F.count(F.lit(1)).alias("records"),

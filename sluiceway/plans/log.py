@@ -173,8 +173,8 @@ def evidence_seal(spark, sf):
     return sealed(spark, sf).select("chain_id", "segment", "seq", "id", "ts", "prev_hash", "hash")
 
 
-@query("evidence_heads", f"""{SEAL_SQL}, h AS (SELECT chain_id, seq // {SEGMENT_ROWS} AS segment, arg_max(hash, seq) AS head, count(*) AS rows FROM s GROUP BY ALL)
-SELECT chain_id, lpad(CAST(segment AS VARCHAR), 12, '0') AS id, '{{"chain_id": "' || chain_id || '", "head": "' || head || '", "rows": ' || rows || ', "segment": ' || segment || '}}' AS body_json FROM h""")
+@query("evidence_heads", f"""{SEAL_SQL}, h AS (SELECT chain_id, seq // {SEGMENT_ROWS} AS segment, arg_max(hash, seq) AS head, count(*) AS rows, max(seq) AS last FROM s GROUP BY ALL)
+SELECT chain_id, lpad(CAST(segment AS VARCHAR), 12, '0') AS id, '{{"chain_id": "' || chain_id || '", "head": "' || head || '", "last": ' || last || ', "rows": ' || rows || ', "segment": ' || segment || '}}' AS body_json FROM h""")
 def evidence_heads(spark, sf):
     return evidence.heads(sealed(spark, sf)).select("chain_id", "id", "body_json")
 
@@ -195,7 +195,7 @@ v AS (SELECT t.chain_id, t.seq, t.id, NOT t.removed AS present, NOT t.removed AN
 
 def _verified(spark: SparkSession, sf: str) -> DataFrame:
     records = cut(sealed(spark, sf))  # stands for the stored table: read three times, sealed once
-    return evidence.verify(evidence.index_of(records), _tampered(records), segment_rows=SEGMENT_ROWS)
+    return evidence.verify(evidence.index_of(records), _tampered(records))
 
 
 @query("evidence_verify", f"{TAMPER_SQL} SELECT chain_id, seq, id, present, hash_ok, link_ok, hash_ok AND link_ok AS verified FROM v")
@@ -220,6 +220,27 @@ def evidence_expire(spark, sf):
     )
 
 
+@query("evidence_append", f"""{SEAL_SQL.replace("n AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY ts, id) - 1 AS seq FROM b)", """
+n AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY late, ts, id) - 1 AS seq, row_number() OVER (PARTITION BY chain_id, late ORDER BY ts, id) - 1 AS place
+  FROM (SELECT *, substr(ts, 12, 2) >= '12' AS late FROM b))""").replace(f"n.seq % {SEGMENT_ROWS} = 0", f"n.place % {SEGMENT_ROWS} = 0")} SELECT chain_id, seq, id, prev_hash, hash FROM s""")
+def evidence_append(spark, sf):
+    """Two batches: the mornings, then the afternoons, each continuing the stored chain of its day."""
+    rows = bodies(spark, sf)
+    late = F.substring("ts", 12, 2) >= "12"
+    first = cut(evidence.seal(rows.where(~late), SEGMENT_ROWS))
+    second = evidence.seal(rows.where(late), SEGMENT_ROWS, evidence.tails(first))
+    return first.unionByName(second).select("chain_id", "seq", "id", "prev_hash", "hash")
+
+
+@query("evidence_segment_removed", f"""{SEAL_SQL}, h AS (SELECT chain_id, CAST(seq // {SEGMENT_ROWS} AS BIGINT) AS segment, count(*) AS rows FROM s GROUP BY ALL)
+SELECT chain_id, segment, rows, CASE WHEN segment = 1 THEN 0 ELSE rows END AS found, segment <> 1 AS intact FROM h""")
+def evidence_segment_removed(spark, sf):
+    """The second segment of every chain was taken out of index and records; the heads still tell."""
+    records = cut(sealed(spark, sf))
+    stored = evidence.seal(evidence.heads(records), None)
+    return evidence.verify_heads(stored, records.where("segment <> 1"))
+
+
 @query("evidence_manifest", f"{SEAL_SQL} SELECT id || '.json' AS file, sha256(body) AS sha256 FROM s")
 def evidence_manifest(spark, sf):
     return evidence.manifest(sealed(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.operators import evidence
+from sluiceway.session import cut
 
 # Rows per file: keeps log files near the size at which logs used to be rotated.
 ROWS_PER_FILE = 200_000
@@ -49,6 +50,22 @@ def current(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).load(pointer["path"])
 
 
+def append_evidence(bodies: DataFrame, root: str, key: str, segment_rows: int = evidence.SEGMENT_ROWS) -> None:
+    """Seal a batch of bodies behind what the store has, and store records, index and heads. The batch is sealed once."""
+    spark, there = bodies.sparkSession, _exists(bodies.sparkSession, f"{root}/heads")
+    stored = spark.read.schema(evidence.SEALED).parquet(f"{root}/heads") if there else None
+    after = evidence.tails(spark.read.parquet(f"{root}/index")) if there else None
+    sealed = cut(evidence.seal(bodies, segment_rows, after))
+    write_evidence(sealed, root, key)
+    # Chains of heads are short: a row for each segment ever appended.
+    heads = cut(evidence.seal(evidence.heads(sealed), None, evidence.tails(stored) if there else None))
+    heads.write.mode("append").parquet(f"{root}/heads")
+
+
+def read_heads(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(evidence.SEALED).parquet(f"{root}/heads")
+
+
 def write_evidence(sealed: DataFrame, root: str, key: str) -> None:
     """Encrypted bodies, and an index without content."""
     rows = sealed.withColumn("ciphertext", evidence.encrypt(F.col("body_json"), key)).drop("body_json")

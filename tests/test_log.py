@@ -104,7 +104,7 @@ def test_tampering_is_found(spark, tmp_path):
     assert "body_json" not in index.columns
 
     def broken(index, records, anchors=None):
-        out = evidence.verify(index, records, anchors, segment_rows=10).where("NOT verified")
+        out = evidence.verify(index, records, anchors).where("NOT verified")
         return sorted((r.chain_id, r.seq, r.present, r.hash_ok, r.link_ok) for r in out.collect())
 
     assert broken(index, records) == []
@@ -121,12 +121,40 @@ def test_tampering_is_found(spark, tmp_path):
     bundle = evidence.handoff(spark.read.parquet(f"{root}/records"), "secret", "fresh")
     assert evidence.open_handoff(bundle, "fresh").where("NOT verified").count() == 0
     assert evidence.open_handoff(bundle, "stale").where("verified").count() == 0
-    writers.export(records, evidence.verify(index, records, segment_rows=10), str(tmp_path / "export"))
+    writers.export(records, evidence.verify(index, records), str(tmp_path / "export"))
     assert spark.read.json(str(tmp_path / "export" / "manifest")).count() == 50
     anchors = jobs.sweep(records, F.to_timestamp(F.lit("2024-04-10")), make_policy({"retention": {"evidence": {"days": 90}}}), str(tmp_path / "swept"), "1")
     assert anchors.count() == 2 and writers.current(spark, str(tmp_path / "swept")).count() == 50 - 2 * (anchors.first().seq + 1)
 
 
+def test_appends_continue_the_chain(spark, tmp_path):
+    rows, root = chain(spark), str(tmp_path / "store")
+    for part in ("ts < '2024-01-10'", "ts >= '2024-01-10' AND ts < '2024-01-11'", "ts >= '2024-01-11'"):
+        writers.append_evidence(rows.where(part), root, "secret", segment_rows=4)
+    index, records = writers.read_evidence(spark, root, "secret")
+    stored = writers.read_heads(spark, root)
+    assert records.count() == 50 == records.select("chain_id", "seq").distinct().count()
+    assert evidence.verify(index, records).where("NOT verified").count() == 0
+    assert evidence.verify_heads(stored, records).where("NOT intact").count() == 0
+    last = records.agg(F.max("segment")).first()[0]
+    for gone in (1, last):  # a whole segment out of index and records, in the middle and at the end
+        assert {r.segment for r in evidence.verify_heads(stored, records.where(F.col("segment") != gone)).where("NOT intact").collect()} == {gone}
+    kept, anchors = evidence.expire(records, F.to_timestamp(F.lit("2024-01-06")))
+    assert evidence.verify_heads(stored, kept, anchors).where("NOT intact").count() == 0
+    odd = records.withColumn("ts", F.when(F.col("seq") == 3, "no time").when(F.col("seq") != 4, F.col("ts")))
+    kept, _ = evidence.expire(odd, F.to_timestamp(F.lit("2030-01-01")))
+    assert sorted({r.seq for r in kept.collect()}) == [3, 4]
+
+
+def test_versions_and_times(spark, tmp_path):
+    for version in ("9", "10", "2"):
+        writers.rewrite(spark.range(int(version)), str(tmp_path / "v"), version)
+    assert writers.current(spark, str(tmp_path / "v")).count() == 2
+    rows = spark.createDataFrame([("2024-01-01T00:00:00", "a"), ("no time", "b"), (None, "c")], "ts string, reason string")
+    writers.append_log(rows, str(tmp_path / "log"))
+    assert {r.reason for r in readers.read_log(spark, str(tmp_path / "log")).collect()} == {"a", "b", "c"}
+
+
 def test_heads_chain_the_segments(spark):
     heads = evidence.heads(evidence.seal(chain(spark), segment_rows=10))
     assert evidence.seal(heads).groupBy("chain_id").count().collect()[0]["count"] == 3
