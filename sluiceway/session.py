@@ -21,6 +21,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch of long texts is held several times over, in the JVM and in the Python worker; this bounds each copy.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
