@@ -28,7 +28,7 @@ from sluiceway.llm.common import utf8, with_fields
 
 NO_RANK = np.int32(2**31 - 1)
 CELLS = 1_000_000  # cells of one matrix
-KNOWN_PIECES = 400_000  # pre-tokens a task remembers; memory only, forgotten ones are worked out again
+KNOWN_PIECES = 200_000  # pre-tokens a task remembers; memory only, forgotten ones are worked out again
 LONG_WORD = 100  # characters; longer words are not remembered
 SLICE_CHARS = 2_000_000  # text worked on at once
 KINDS = {"ids": "array<int>", "n_tokens": "bigint", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
