@@ -9,7 +9,6 @@ from sluiceway.functions.columns import bind
 
 # Fixed values.
 ACTUAL_CHARS = 300
-LEAKS_SHOWN = 5
 MIN_DAYS_LEFT = 14
 EVERY_SERVICE = "*"
 
@@ -36,14 +35,15 @@ def redact_patterns(text: Column, private: list[tuple[str, str]]) -> Column:
     return text
 
 
-def leak_scan(files: DataFrame, key: str, text: str, patterns: list[str], shown: int = LEAKS_SHOWN) -> DataFrame:
-    """First lines of each file that hold a private pattern, with line numbers, and how many there
-    are. Files without a hit are dropped before their lines are exploded; the ranked lines are
-    limited before the shuffle."""
+def leak_scan(files: DataFrame, key: str, text: str, patterns: list[str], shown: int | None = None) -> DataFrame:
+    """Lines of each file that hold a private pattern, with line numbers. Files without a hit are dropped before their lines are
+    exploded. A report may show the first ``shown`` lines of a file only; these are limited before the shuffle."""
     any_pattern = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
     tested = bind(files.select(key, text), "_leaks", F.col(text).rlike(any_pattern))
     lines = tested.where("_leaks").select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
     hits = lines.where(F.col("line").rlike(any_pattern)).select(key, (F.col("at") + 1).alias("line_no"), "line")
+    if shown is None:
+        return hits
     first = Window.partitionBy(key).orderBy("line_no")
     return hits.withColumn("n", F.row_number().over(first)).where(F.col("n") <= shown).drop("n")
 
@@ -100,6 +100,12 @@ def items_per_user(items: DataFrame, user: str) -> DataFrame:
     return items.groupBy(user).agg(F.count(F.lit(1)).alias("items"))
 
 
+def newest_first(items: DataFrame, user: str, order: list[str], shown: int) -> DataFrame:
+    """A page of each user's newest items, ranked from 1; ties by the later columns of ``order``."""
+    latest = Window.partitionBy(user).orderBy(*[F.col(c).desc() for c in order])
+    return items.withColumn("rank", F.row_number().over(latest)).where(F.col("rank") <= shown)
+
+
 def own_rows(rows: DataFrame, mine: DataFrame, key: str) -> DataFrame:
     """History restricted to the user's own ids."""
     return rows.join(mine.select(key).distinct(), key, "left_semi")

@@ -55,12 +55,12 @@ def json_leaves(spark, sf):
 
 @query("unscannable_requests", """
 SELECT call_id FROM (SELECT DISTINCT conv_id AS call_id FROM conversations)
-WHERE call_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S') AND length(text) >= 200)""")
+WHERE call_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system' AND regexp_matches(text, '\\S'))""")
 def unscannable_requests(spark, sf):
-    """Texts under 200 characters stand in for parts without text: the fixture has no blank turn."""
+    """System turns stand for the parts with text: the fixture has no conversation without any."""
     rows = turns(spark, sf)
     calls = rows.select("call_id").distinct().withColumn("has_payload", F.lit(True))
-    texts = rows.where((F.col("role") == "user") & requests.has_text(F.col("text")) & (F.length("text") >= 200))
+    texts = rows.where((F.col("role") == "system") & requests.has_text(F.col("text")))
     return requests.unscannable(calls, texts).select("call_id")
 
 
@@ -106,19 +106,18 @@ def conversation_admission(spark, sf):
 
 
 @query("output_context", f"""
-WITH resp AS (SELECT conv_id, max(turn) AS at FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-before AS (SELECT c.* FROM conversations c JOIN resp r ON r.conv_id = c.conv_id AND c.turn < r.at),
-u AS (SELECT conv_id, arg_max(text, turn) AS text FROM before WHERE role = 'user' AND regexp_matches(text, '\\S') GROUP BY conv_id)
-SELECT r.conv_id AS call_id, CAST(r.at AS INTEGER) AS idx, sha256(c.text) AS output, sha256(coalesce({_cut_sql(600).replace('text', 'u.text')}, '(no user text)')) AS context
-FROM resp r JOIN conversations c ON c.conv_id = r.conv_id AND c.turn = r.at LEFT JOIN u ON u.conv_id = r.conv_id""")
+SELECT a.conv_id AS call_id, CAST(a.turn AS INTEGER) AS idx, sha256(a.text) AS output, sha256(coalesce({_cut_sql(600).replace('text', 'u.text')}, '(no user text)')) AS context
+FROM (SELECT * FROM conversations WHERE role = 'assistant') a
+ASOF LEFT JOIN (SELECT * FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S')) u ON u.conv_id = a.conv_id AND u.turn < a.turn""")
 def output_context(spark, sf):
-    """The last answer of each conversation, and the user turn it answers."""
+    """Every answer, and the user turn it answers."""
     rows = turns(spark, sf)
-    answers = rows.where("role = 'assistant'").groupBy("call_id").agg(F.max(F.struct("idx", "text")).alias("a"))
-    responses = answers.select("call_id", F.col("a.idx").alias("idx"), F.col("a.text").alias("output"))
-    before = rows.join(responses.select("call_id", F.col("idx").alias("at")), "call_id").where("idx < at")
+    call = F.struct("call_id", F.col("at").alias("idx"))
+    answers = rows.where("role = 'assistant'").select("call_id", F.col("idx").alias("at"), F.col("text").alias("output"))
+    before = rows.join(answers.select("call_id", "at"), "call_id").where("idx < at").withColumn("call_id", call)
+    responses = answers.select(call.alias("call_id"), "output")
     return requests.output_context(responses, before, size=600).select(
-        "call_id", "idx", F.sha2("output", 256).alias("output"), F.sha2("context", 256).alias("context")
+        "call_id.call_id", "call_id.idx", F.sha2("output", 256).alias("output"), F.sha2("context", 256).alias("context")
     )
 
 

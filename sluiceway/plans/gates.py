@@ -230,3 +230,35 @@ SELECT vec_id, count(*) AS matches, arg_min(other, distance * 1000000 + other) A
 def signature_matches(spark, sf):
     """Every vector against holdings in which one value of each vector changed its sign."""
     return imagegate.signature_matches(signatures(spark, sf), signatures(spark, sf, flipped=5), "vec_id", "vec_id")
+
+
+@query("newest_first", """
+SELECT o_custkey AS user, o_orderkey AS item, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS rank
+FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) <= 5""")
+def newest_first(spark, sf):
+    """A gallery page per customer: the five newest orders."""
+    items = load(spark, sf, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("item"), "o_orderdate")
+    return reports.newest_first(items, "user", ["o_orderdate", "item"], 5).select("user", "item", "rank")
+
+
+@query("threshold_checks", """
+SELECT event_id, value < 14 AS warn FROM events""")
+def threshold_checks(spark, sf):
+    """Event values as days that certificates have left."""
+    return reports.expiring(load(spark, sf, "events").select("event_id", F.col("value").alias("days"))).select("event_id", "warn")
+
+
+@query("image_decision", """
+WITH l AS (SELECT l_orderkey AS workflow, l_linenumber AS pos, l_partkey % 7 = 0 AS nsfw, l_partkey % 11 = 0 AS sexual, l_suppkey % 5 = 0 AS minor, l_partkey % 97 = 0 AS sexual_minor,
+  l_partkey % 89 = 0 AS illegal, l_suppkey % 13 = 0 AS gore, l_partkey % 17 = 0 AS unread, l_linenumber % 2 = 0 AS nsfw_grant FROM lineitem)
+SELECT workflow, pos, CASE WHEN unread THEN 'destroy_unparseable' WHEN sexual_minor OR minor AND (nsfw OR sexual) OR illegal THEN 'destroy_illegal'
+  WHEN (nsfw OR sexual OR gore) AND NOT nsfw_grant THEN 'destroy_nsfw' ELSE 'keep' END AS action FROM l""")
+def image_decision(spark, sf):
+    """Decisions on order lines as images, their verdict flags from part and supplier numbers."""
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey")
+    flags = F.struct(
+        (part % 7 == 0).alias("nsfw"), (part % 11 == 0).alias("sexual_content"), (supplier % 5 == 0).alias("minor_present"),
+        (part % 97 == 0).alias("sexual_minor"), (part % 89 == 0).alias("illegal"), (supplier % 13 == 0).alias("violence_gore"),
+    )
+    decision = imagegate.decide(F.when(part % 17 != 0, flags), F.col("l_linenumber") % 2 == 0)
+    return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("workflow"), F.col("l_linenumber").alias("pos"), decision["action"].alias("action"))

@@ -293,7 +293,7 @@ def redact_documents(spark, sf):
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM l),
 h AS (SELECT * FROM x WHERE regexp_matches(line, '(?i){PRIVATE[0][0]}|{PRIVATE[1][0]}|password|token'))
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, sha256(line) AS digest FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY line_no) <= 5""")
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, sha256(line) AS digest FROM h""")
 def leak_scan(spark, sf):
     hits = reports.leak_scan(documents(spark, sf), "doc_id", "text", [PRIVATE[0][0], PRIVATE[1][0], "password", "token"])
     return hits.select("doc_id", "line_no", F.sha2("line", 256).alias("digest"))
@@ -309,6 +309,26 @@ _ENTITIES_SQL = f"regexp_replace({_ENTITIES_SQL}, '&amp;?', '&', 'g')"
 
 @query("strip_html", rf"""
 WITH t AS (SELECT page_id, regexp_replace(regexp_replace({_ENTITIES_SQL}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g') AS t FROM pages)
-SELECT page_id, CASE WHEN length(t) > 2500 THEN substr(t, 1, 2500) || '…' ELSE t END AS text FROM t""")
+SELECT page_id, t AS text FROM t""")
 def strip_html(spark, sf):
     return spread(load(spark, sf, "pages").select("page_id", "html")).select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+# Letters of Latin texts written with Cyrillic and Greek look-alikes, full width and zero-width marks.
+DISGUISE = str.maketrans("aeopcxyABEHKMTv", "аеорсхуΑΒΕΗΚΜΤν")
+
+
+@query("lookalike_documents", f"SELECT doc_id, sha256({NORM}) AS digest FROM documents")
+def lookalike_documents(spark, sf):
+    """Documents disguised letter by letter have the normal form of the originals."""
+    letters = "".join(map(chr, DISGUISE))
+    disguised = F.regexp_replace(F.translate("text", letters, letters.translate(DISGUISE)), "t", "\u200bｔ")
+    norm = bind(documents(spark, sf).select("doc_id", disguised.alias("text")), "norm", T.normalise(F.col("text")))
+    return norm.select("doc_id", F.sha2("norm", 256).alias("digest"))
+
+
+@query("page_names", r"""SELECT page_id, string_split(replace(url, '\', '/'), '/')[-1] AS name, regexp_replace(url || '/width=90,x/', '/(original=true|width=\d+)[^/]*/', '/width=450,anim=false/', 'g') AS preview FROM pages""")
+def page_names(spark, sf):
+    """Last part of each address, and the address as a preview of fixed width."""
+    pages = load(spark, sf, "pages").select("page_id", "url")
+    return pages.select("page_id", T.base_name(F.col("url")).alias("name"), T.preview_url(F.concat("url", F.lit("/width=90,x/"))).alias("preview"))

@@ -17,10 +17,12 @@ CORRUPT = "_corrupt_record"
 
 
 def read_log(spark: SparkSession, path: str, schema: str = schemas.VETO_AUDIT) -> DataFrame:
-    """A JSON Lines log; lines that do not parse keep their text in ``_corrupt_record``."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).where(F.col("value").rlike(r"\S"))
+    """A JSON Lines log; lines that do not parse keep their text in ``_corrupt_record``. A log partitioned by day has the column
+    ``dt``, and a filter on it prunes folders."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    return lines.select(F.from_json("value", f"{schema}, {CORRUPT} STRING", options).alias("r")).select("r.*")
+    day = ["dt"] if "dt" in lines.columns else []
+    return lines.select(F.from_json("value", f"{schema}, {CORRUPT} STRING", options).alias("r"), *day).select("r.*", *day)
 
 
 def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,13 +45,13 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     return snapshots.select("ts", F.explode("containers").alias("name", "c")).select("ts", "name", "c.*")
 
 
-def read_responses(spark: SparkSession, path: str, newest: int = 200) -> DataFrame:
-    """The newest operation responses by file name; unreadable ones are skipped."""
+def read_responses(spark: SparkSession, path: str, newest: int | None = None) -> DataFrame:
+    """Operation responses; unreadable ones are skipped. A page may show the ``newest`` by file name only."""
     rows = spark.read.schema(f"{schemas.SERVICE_RESPONSE}, {CORRUPT} STRING").option("multiLine", True).option(
         "columnNameOfCorruptRecord", CORRUPT
     ).option("pathGlobFilter", "*.json").json(path)
     named = rows.select("*", F.col("_metadata.file_name").alias("file")).where("file != 'status.json'")
-    latest = named.orderBy(F.col("file").desc()).limit(newest)
+    latest = named if newest is None else named.orderBy(F.col("file").desc()).limit(newest)
     return latest.where(F.col(CORRUPT).isNull()).select("ok", "errors", "completed", F.col("request.targets").alias("targets"), "file")
 
 

@@ -152,7 +152,10 @@ def test_versions_and_times(spark, tmp_path):
     assert writers.current(spark, str(tmp_path / "v")).count() == 2
     rows = spark.createDataFrame([("2024-01-01T00:00:00", "a"), ("no time", "b"), (None, "c")], "ts string, reason string")
     writers.append_log(rows, str(tmp_path / "log"))
-    assert {r.reason for r in readers.read_log(spark, str(tmp_path / "log")).collect()} == {"a", "b", "c"}
+    log = readers.read_log(spark, str(tmp_path / "log"))
+    assert {r.reason for r in log.collect()} == {"a", "b", "c"}
+    day = log.where("dt = DATE '2024-01-01'")
+    assert [r.reason for r in day.collect()] == ["a"] and "PartitionFilters: [isnotnull(dt" in day._jdf.queryExecution().toString()
 
 
 def test_heads_chain_the_segments(spark):
@@ -182,5 +185,5 @@ def test_reports_and_status(spark, tmp_path):
 
 def test_redaction_and_leaks(spark):
     rows = spark.createDataFrame([("f", "host a1\nnothing\nHOST again\n" + "host\n" * 9), ("g", "clean")], "file string, text string")
-    assert [(r.file, r.line_no) for r in reports.leak_scan(rows, "file", "text", ["host"]).orderBy("line_no").collect()] == [("f", n) for n in (1, 3, 4, 5, 6)]
+    assert [(r.file, r.line_no) for r in reports.leak_scan(rows, "file", "text", ["host"], shown=5).orderBy("line_no").collect()] == [("f", n) for n in (1, 3, 4, 5, 6)]
     assert rows.where("file = 'f'").select(reports.redact(F.col("text"), [("host", "<h>"), ("", "x"), ("a1", "<n>")], 7)).first()[0] == "<h> <n>"
