@@ -120,9 +120,11 @@ def expected_scores(docs, model):
     train = Counter(w for i, _ in docs if zlib.crc32(str(i).encode()) % 5 != 1 for w in tokens[i])
     n, v = sum(train.values()), len(train)
     words = [w for w in train if w is not None]
-    uses = L.Lattice(pieces, np.log(start)).expected_uses([w.decode() for w in words], np.array([train[w] for w in words], float))
-    uses[0] += train[None]
-    log_p = np.log((uses + L.PRIOR_WORDS * start) / (uses.sum() + L.PRIOR_WORDS))
+    log_p = np.log(start)
+    for _ in range(L.ROUNDS):
+        uses = L.Lattice(pieces, log_p).expected_uses([w.decode() for w in words], np.array([train[w] for w in words], float))
+        uses[0] += train[None]
+        log_p = np.log((uses + L.PRIOR_WORDS * start) / (uses.sum() + L.PRIOR_WORDS))
     every = sorted({w for own in tokens.values() for w in own if w is not None})
     logs = dict(zip(every, L.Lattice(pieces, log_p).log_probabilities([w.decode() for w in every]) / math.log(10))) | {None: log_p[0] / math.log(10)}
     return {i: (zlib.crc32(str(i).encode()) % 5 == 1, len(own), sum(train[w] > 0 for w in own), n,
