@@ -66,14 +66,13 @@ def client_fields(proxy_headers: Column, metadata_headers: Column) -> Column:
 
 
 def records(vetoes: DataFrame, policy: Policy) -> DataFrame:
-    """Audit records of vetoes. Flags look at the whole detail, the log shows a cut one."""
+    """Audit records of vetoes, with the whole detail on one line. ``evidence_id`` names the evidence body of those that have one."""
     shown = F.replace(F.coalesce("detail", F.lit("")), F.lit("\n"), F.lit("\\n"))
-    size = F.when(F.col("reason").isin(*LONG_DETAIL_REASONS), LONG_DETAIL_CHARS).otherwise(DETAIL_CHARS)
     reason, detail = F.col("reason"), F.col("detail")
     return vetoes.select(
-        "ts", "stage", "reason", F.substring(shown, F.lit(1), size).alias("detail"), "call_id", "model", "key_alias",
+        "ts", "stage", "reason", shown.alias("detail"), "call_id", "model", "key_alias",
         "device_fingerprint", is_immutable(reason, detail, policy).alias("immutable"),
-        wants_evidence(reason, detail, policy).alias("evidence"),
+        F.when(wants_evidence(reason, detail, policy), F.col("call_id")).alias("evidence_id"),
     )
 
 
@@ -93,9 +92,10 @@ def is_alert(reason: Column, detail: Column) -> Column:
 
 
 def alerts(log: DataFrame) -> DataFrame:
-    """One text per alert-worthy record."""
+    """One text per alert-worthy record. Whether it is one is told from the whole detail; a message shows its start."""
+    size = F.when(F.col("reason").isin(*LONG_DETAIL_REASONS), LONG_DETAIL_CHARS).otherwise(DETAIL_CHARS)
     text = F.concat_ws(
-        " ", F.lit("[veto]"), "stage", "reason", "detail",
+        " ", F.lit("[veto]"), "stage", "reason", F.substring("detail", F.lit(1), size),
         F.concat(F.lit("key="), F.coalesce("key_alias", F.lit("None"))),
         F.concat(F.lit("model="), F.coalesce("model", F.lit("None"))),
         F.concat(F.lit("at "), F.substring("ts", 1, 19)),

@@ -59,7 +59,7 @@ def audit_flags(spark, sf):
 
 
 @query("audit_records", f"""WITH {VETOES_SQL}
-SELECT ts, stage, reason, substr(replace(detail, chr(10), '\\n'), 1, 120) AS detail, call_id, model, key_alias, CAST(NULL AS VARCHAR) AS device_fingerprint, immutable, evidence FROM flags""")
+SELECT ts, stage, reason, replace(detail, chr(10), '\\n') AS detail, call_id, model, key_alias, CAST(NULL AS VARCHAR) AS device_fingerprint, immutable, CASE WHEN evidence THEN call_id END AS evidence_id FROM flags""")
 def audit_records(spark, sf):
     return audit.records(veto_log(spark, sf), policy())
 
