@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -96,6 +97,9 @@ class Vocabulary:
         self.known: dict[str, tuple[int, ...]] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        self.known, self.spaced = {}, {}
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pre-tokens not known yet."""
         if len(self.known) > KNOWN_PIECES:
@@ -125,7 +129,6 @@ class Vocabulary:
         text is such a space, the text is cut at its spaces, and the ids of a whole word with its space are
         remembered. Other texts go through the pattern as they are.
         """
-        gc.disable()  # millions of short tuples and no cycles: tracing them would cost more than the encoding
         start = 0
         while start < len(texts):
             end, chars = start, 0
@@ -226,8 +229,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     ids_sha256 (hex digest of the decimal ids joined by a space) and decoded_sha256. One row in, one row out, no shuffle."""
     raw = _shared(docs, ranks_path)
 
-    def run(column: pa.Array) -> pa.Array:
-        vocab = vocabulary(raw.value, pattern)
+    def work(vocab: Vocabulary, column: pa.Array) -> pa.Array:
         out = {name: [] for name in outputs}
         for ids in vocab.encode([data.decode("utf-8", "replace") for data in column.to_pylist()]):
             decoded = vocab.decode(ids) if {"decoded", "decoded_sha256"} & out.keys() else b""
@@ -245,6 +247,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
                 out[name].append(value)
         return pa.StructArray.from_arrays([pa.array(v, ARROW[n]) for n, v in out.items()], names=list(out))
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocab = vocabulary(raw.value, pattern)
+        gc.disable()  # millions of short tuples and no cycles: tracing them would cost more than the encoding
+        try:
+            for column in columns:
+                yield work(vocab, column)
+        finally:  # the worker waits for other tasks with its memory free
+            vocab.forget()
+            gc.enable()
+
     kind = "struct<" + ", ".join(f"{n}: {KINDS[n]}" for n in outputs) + ">"
     return with_fields(docs, F.arrow_udf(run, kind)(utf8(text)), outputs)
 

@@ -39,7 +39,7 @@ SEED = 42
 MAX_GROUP = 50_000  # fingerprints of one trie node that a task takes; larger nodes are cut further
 SPLIT_BITS = 4  # levels by which a large node is cut at once
 LEAF = 2048  # node pairs of up to this many row pairs are compared directly
-CHUNK = 1 << 20  # row pairs held at once
+CHUNK = 1 << 18  # row pairs held at once
 
 
 def fingerprint(data: bytes, size: int = SHINGLE_WORDS) -> int:
@@ -104,9 +104,9 @@ def walk(keys: np.ndarray, roots: np.ndarray, budget: int, leaf: int = LEAF) ->
     stack = [roots.astype(np.int64)]
     while stack:
         pairs = stack.pop()
-        if len(pairs) > 200_000:
-            stack.append(pairs[200_000:])
-            pairs = pairs[:200_000]
+        if len(pairs) > 50_000:
+            stack.append(pairs[50_000:])
+            pairs = pairs[:50_000]
         na, nb = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
         direct = (na * nb <= leaf) | (pairs[:, 4] >= 64)
         small, pairs = pairs[direct], pairs[~direct]
