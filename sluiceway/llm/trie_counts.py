@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ from sluiceway.llm.common import utf8, with_fields
 
 MARK = "▁"
 PRE_TOKENS = re.compile(" +(?:[^ \n]+)?|[^ \n]+|\n")
-MAX_NODES = 1_500_000  # of one task's trie; memory only
+MAX_NODES = 400_000  # of one task's trie; memory only
 LONG_PIECE = 200  # longer pre-tokens are counted along their path without keeping its nodes
 
 
@@ -47,34 +48,33 @@ class Pieces:
 
 
 class Trie:
-    """Prefixes of pre-tokens; node n has the best score and count of its prefix in ``score[n]`` and ``count[n]``."""
+    """Prefixes of pre-tokens; node n has the best score and count of its prefix in ``score[n]`` and ``count[n]``. The step from a
+    node by a character is one entry of one dictionary, keyed by both."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.ends: dict[str, int] = {}
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
+    def clear(self) -> None:
+        self.steps: dict[int, int] = {}
         self.score, self.count = [0.0], [0]
-        self.ends = {}
+        self.ends: dict[str, int] = {}
 
     def learn(self, words: set[str]) -> None:
         """Insert pre-tokens, in order, and work out every node that is new."""
         if len(self.score) > MAX_NODES:
-            self._clear()
+            self.clear()
         for word in sorted(w for w in words if w not in self.ends):
             self.ends[word] = self._insert(word)
 
     def _insert(self, word: str) -> int:
         scores, longest, unknown = self.pieces.scores, self.pieces.longest, self.pieces.byte_score
-        children, score, count = self.children, self.score, self.count
+        steps, score, count = self.steps, self.score, self.count
         keep = len(word) <= LONG_PIECE
-        path = [0]
         best, pieces = [0.0], [0]  # of each prefix
         node = 0
         for end, char in enumerate(word, 1):
-            below = children[node].get(char) if node >= 0 else None
+            below = steps.get(node << 21 | ord(char)) if node >= 0 else None
             if below is not None:
                 node = below
                 best.append(score[node])
@@ -91,9 +91,8 @@ class Trie:
             best.append(top)
             pieces.append(least)
             if keep:
-                children[node][char] = len(score)
+                steps[node << 21 | ord(char)] = len(score)
                 node = len(score)
-                children.append({})
                 score.append(top)
                 count.append(least)
             else:
@@ -109,14 +108,17 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", into: str
     with open(model_path, "rb") as file:  # a file of fixed size, about half a megabyte for 32 thousand pieces
         raw = docs.sparkSession.sparkContext.broadcast(file.read())
 
-    def run(column: pa.Array) -> pa.Array:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         key = hashlib.sha256(raw.value).digest()
         if key not in _loaded:
             _loaded[key] = Trie(Pieces({"model_proto": raw.value}))
-        trie, out = _loaded[key], []
-        for data in column.to_pylist():
-            out.append(count_text(data.decode("utf-8", "replace"), trie))
-        return pa.StructArray.from_arrays([pa.array(out, pa.int64())], names=[into])
+        trie = _loaded[key]
+        try:
+            for column in columns:
+                out = [count_text(data.decode("utf-8", "replace"), trie) for data in column.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array(out, pa.int64())], names=[into])
+        finally:  # the worker waits for other tasks with its memory free
+            trie.clear()
 
     return with_fields(docs, F.arrow_udf(run, f"struct<{into}: bigint>")(utf8(text)), (into,))
 
