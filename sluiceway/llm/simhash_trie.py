@@ -224,13 +224,18 @@ def links(distinct: DataFrame, budget: int = MAX_BITS, max_group: int = MAX_GROU
         ))
     todo = distinct.select("fp", F.explode(F.array(*pieces)).alias("p")).select("fp", "p.*")
     done = []
+    over = (F.col("n") > max_group) & (F.col("d") <= 64 - SPLIT_BITS)
     while True:
-        sizes = todo.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d")).where((F.col("n") > max_group) & (F.col("d") <= 64 - SPLIT_BITS))
-        large = cut(sizes.select("path"))
+        # A pair of nodes of which one has no rows is no piece.
+        whole = (F.max("bits") < 0) | (F.min("side") != F.max("side"))
+        sizes = todo.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("d"), whole.alias("whole"))
+        large = cut(sizes.where(over & F.col("whole")).select("path"))
+        if done:
+            done.append(todo.join(sizes.where(~over & F.col("whole")).select("path"), "path", "left_semi"))
+        else:
+            done.append(todo.join(large, "path", "left_anti"))
         if large.isEmpty():
-            done.append(todo)
             break
-        done.append(todo.join(large, "path", "left_anti"))
         todo = cut(_cut_pieces(todo.join(large, "path", "left_semi"), budget))
     out = done[0]
     for more in done[1:]:
