@@ -15,6 +15,7 @@ are counted row by row; an empty table gives an empty result. An input column na
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections import Counter
@@ -113,12 +114,14 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", into: str
         if key not in _loaded:
             _loaded[key] = Trie(Pieces({"model_proto": raw.value}))
         trie = _loaded[key]
+        gc.disable()  # the trie grows by many small objects and no cycles
         try:
             for column in columns:
                 out = [count_text(data.decode("utf-8", "replace"), trie) for data in column.to_pylist()]
                 yield pa.StructArray.from_arrays([pa.array(out, pa.int64())], names=[into])
         finally:  # the worker waits for other tasks with its memory free
             trie.clear()
+            gc.enable()
 
     return with_fields(docs, F.arrow_udf(run, f"struct<{into}: bigint>")(utf8(text)), (into,))
 
