@@ -7,7 +7,9 @@ key are ordered by a hash of the text). The owner of a line is the earliest docu
 Overlapping documents are found through rare lines, those with at most ``rare`` occurrences in the corpus: a document that has
 a rare line is paired with the line's owner. So there is at most one pair for each line of a document, not one for each
 two documents that share it. Both documents of a pair are aligned by patience diff over their shared lines, and each aligned common block of at least
-``min_words`` words is deleted from the later one. A block is a run of aligned lines that are neighbours in both documents.
+``min_words`` words is deleted from the later one. A block is a run of aligned lines that are neighbours in both documents. Where the alignment
+leaves lines that the earlier document has (moved, repeated, or not unique in their gap), every run of lines that lies anywhere in the earlier document
+and has ``min_words`` words goes too, so neither order nor number of copies matters.
 
 A line too common to be rare needs no search: its owner is the partner, and the line is the block. Neighbouring common lines of a document count as
 one block. So every line of enough words, however common, stays in its owner only, and no line is lost: the owner of a
@@ -22,6 +24,8 @@ empty table gives an empty result. Input columns named like an output are replac
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,8 +101,82 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def longest_runs(a: list, b: list) -> list[int]:
+    """For each place of ``b`` the length of the longest run that ends there and lies anywhere in ``a``.
+
+    A suffix automaton of ``a`` reads ``b``, so time and memory are linear however often elements repeat. None is equal to nothing.
+    """
+    steps, links, lengths, last = [{}], [-1], [0], 0
+    for x in (object() if x is None else x for x in a):
+        new, at = len(steps), last
+        steps.append({})
+        links.append(0)
+        lengths.append(lengths[last] + 1)
+        while at >= 0 and x not in steps[at]:
+            steps[at][x] = new
+            at = links[at]
+        if at >= 0:
+            to = steps[at][x]
+            if lengths[to] != lengths[at] + 1:
+                copy = len(steps)
+                steps.append(dict(steps[to]))
+                links.append(links[to])
+                lengths.append(lengths[at] + 1)
+                links[to] = copy
+                while at >= 0 and steps[at].get(x) == to:
+                    steps[at][x] = copy
+                    at = links[at]
+                to = copy
+            links[new] = to
+        last = new
+    out, at, n = [], 0, 0
+    for x in b:
+        while at and x not in steps[at]:
+            at = links[at]
+            n = lengths[at]
+        if x in steps[at]:
+            at, n = steps[at][x], n + 1
+        out.append(n)
+    return out
+
+
+def _with_gaps(entries: list[dict]) -> list[dict | None]:
+    """The entries, with None where lines that are not shared lie between two of them."""
+    out: list[dict | None] = []
+    for k, x in enumerate(entries):
+        if k and x["pos"] != entries[k - 1]["pos"] + 1:
+            out.append(None)
+        out.append(x)
+    return out
+
+
+def anywhere(earlier: list[dict], later: list[dict], min_words: int) -> list[int]:
+    """Line numbers of ``later`` in runs of enough words that lie anywhere in ``earlier``, in any order and any number of times."""
+    a, b = _with_gaps(earlier), _with_gaps(later)
+    runs = longest_runs([x and x["h"] for x in a], [x and x["h"] for x in b])
+    before = [0, *accumulate(x["words"] if x else 0 for x in b)]
+    out, start = [], len(b)
+    for end in range(len(b) - 1, -1, -1):
+        first = end + 1 - runs[end]
+        if runs[end] and before[end + 1] - before[first] >= min_words:
+            start = min(start, first)
+        if start <= end:
+            out.append(b[end]["line"])
+    return out[::-1]
+
+
 def common_blocks(earlier: list[dict], later: list[dict], min_words: int) -> list[int]:
-    """Line numbers of ``later`` in aligned blocks of enough words. Entries: line (number), pos (number among lines with words), h, words."""
+    """Line numbers of ``later`` in blocks of enough words that ``earlier`` has. The alignment finds those in order; only where it leaves lines
+    that ``earlier`` has are blocks looked for anywhere. Entries: line (number), pos (number among lines with words), h, words."""
+    found = aligned_blocks(earlier, later, min_words)
+    gone, there = set(found), {x["h"] for x in earlier}
+    if all(x["line"] in gone or x["h"] not in there for x in later):
+        return found
+    return anywhere(earlier, later, min_words)
+
+
+def aligned_blocks(earlier: list[dict], later: list[dict], min_words: int) -> list[int]:
+    """Line numbers of ``later`` in aligned blocks of enough words."""
     out: list[int] = []
     block: list[dict] = []
     last = None

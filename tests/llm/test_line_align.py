@@ -100,3 +100,20 @@ def test_odd_input(spark, odd_docs, no_docs):
     assert A.dedup(no_docs).count() == 0
     clash = spark.createDataFrame([(1, "one two three four five", 3), (None, "one two three four five", 3)], "doc_id long, text string, n_lines int")
     assert sorted((str(r.doc_id), r.text, r.n_lines) for r in A.dedup(clash).collect()) == [("1", "one two three four five", 1), ("None", "", 1)]
+
+
+def test_longest_runs():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice([0, 1, 2, None]) for _ in range(rng.randrange(12))] for _ in range(2))
+        inside = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if None not in a[i:j]}
+        assert A.longest_runs(a, b) == [max((n for n in range(1, e + 2) if tuple(b[e + 1 - n:e + 1]) in inside), default=0) for e in range(len(b))]
+
+
+def test_moved_and_repeated_blocks(spark):
+    p, q = ("\n".join(f"{name} line {k} has three more" for k in range(12)) for name in "pq")  # 72 words each
+    short = "two words\nof blocks"  # below five words
+    docs = [(1, f"start\n{p}\nmiddle\n{q}\n{short}"), (2, f"{q}\nown two\n{p}"), (3, f"{p}\nown three\n{p}\n{p}"), (4, f"{short}\nown four\n{q}\n{short}\nown"),
+            (5, "a one two\nb three four\nx\na one two\nb three four"), (6, "own\na one two\nb three four\nown six\na one two\nb three four\nown 6")]
+    rows = {r.doc_id: r.text for r in A.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {1: docs[0][1], 2: "own two", 3: "own three", 4: f"{short}\nown four\nown", 5: docs[4][1], 6: "own\nown six\nown 6"}
