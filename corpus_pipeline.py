@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents in, token ids in training order out.
+"""The corpus pipeline: documents in, token ids out, each with its place in the training order.
 
 Five stages, each over everything that the stage before it kept. Each stage's result is written as Parquet in the cluster's
 shared folder and read again, so a lost executor costs one stage's work at most.
@@ -8,7 +8,8 @@ shared folder and read again, so a lost executor costs one stage's work at most.
    copies of earlier ones, and go; the others keep the rest of their text.
 3. near_duplicates keeps one document of each SimHash group, the first.
 4. mix draws documents to the source weights, whole, some more than once, in training order.
-5. tokens encodes each text.
+5. tokens encodes each text. Files are read in any order, so each row gets its place in what mix wrote: sorting by order_file
+   and order_row gives the training order, and tells the copies of a document apart.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm import curriculum_mix, line_align, matrix_bpe, quality_cascade, simhash_trie
@@ -49,11 +50,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum_mix.mix(docs).select(*COLUMNS)
 
 
+def written_order() -> tuple[Column, Column]:
+    """(order_file, order_row) of a row of a sorted result that was written and is read again. Spark numbers its files in the order
+    of the partitions; the numbers are padded, so that they sort as text. Other files go by name."""
+    name = F.col("_metadata.file_name")
+    task, file = (F.regexp_extract(name, r"^part-([0-9]+)-.*-c([0-9]+)\.", k) for k in (1, 2))
+    padded = F.concat_ws("-", F.lpad(task, 10, "0"), F.lpad(file, 10, "0"))
+    return F.when(task == "", name).otherwise(padded).alias("order_file"), F.col("_metadata.row_index").alias("order_row")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` as read from files: their order is that of the training run."""
     configure(spark)
     outputs = ("n_tokens", "ids", "ids_sha256", "decoded_sha256")
-    encoded = matrix_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, outputs=outputs)
-    return encoded.select("doc_id", "source", *outputs)
+    placed = docs.select("doc_id", "source", "text", *written_order())
+    encoded = matrix_bpe.encode(placed, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, outputs=outputs)
+    return encoded.select("doc_id", "source", "order_file", "order_row", *outputs)
 
 
 STAGES = [

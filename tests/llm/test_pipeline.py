@@ -66,3 +66,26 @@ def test_mix_and_token_stages(stages):
     assert copies.keys() <= before.keys() and max(copies.values()) <= 3 and all(r.text == before[r.doc_id] for r in stages[4])
     vocabulary = matrix_bpe.vocabulary(open(public_tokenizers.path(pipeline.RANKS), "rb").read(), public_tokenizers.PATTERN)
     assert Counter((r.doc_id, r.n_tokens, vocabulary.decode(r.ids)) for r in stages[5]) == Counter((r.doc_id, len(ids), r.text.encode()) for r, ids in zip(stages[4], vocabulary.encode([r.text for r in stages[4]])))
+
+
+def test_training_order_reaches_the_result(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"document {i} " + "word " * (i % 90 + 1), "en", f"s{i % 3}", 1) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        pipeline.mix(spark, docs, SF).write.option("maxRecordsPerFile", 40).parquet(str(tmp_path / "mix"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "mix").glob("*.parquet"))) > 12
+    rows = pipeline.tokens(spark, spark.read.parquet(str(tmp_path / "mix")), SF).collect()
+    assert len({(r.order_file, r.order_row) for r in rows}) == len(rows) > len({r.doc_id for r in rows})
+    found = [r.doc_id for r in sorted(rows, key=lambda r: (r.order_file, r.order_row))]
+    position = {}
+    for r in pipeline.curriculum_mix.mix(docs).collect():
+        position.setdefault(r.doc_id, []).append(r.position)
+    turns = {i: iter(sorted(p)) for i, p in position.items()}
+    places = [next(turns[i]) for i in found]
+    assert len(places) == sum(map(len, position.values())) and places == sorted(places)
