@@ -4,8 +4,8 @@ Five stages, each over everything that the stage before it kept. Each stage's re
 shared folder and read again, so a lost executor costs one stage's work at most.
 
 1. quality_rules drops the documents that the cascade rejects.
-2. line_dedup deletes passages that an earlier document has. Documents of which less than a fifth of the words is left were
-   copies of earlier ones, and go; the others keep the rest of their text.
+2. line_dedup deletes passages that an earlier document has. Documents of which no word is left go; the others keep the
+   rest of their text, however small a share it is.
 3. near_duplicates keeps one document of each SimHash group, the first.
 4. mix draws documents to the source weights, whole, some more than once, in training order.
 5. tokens encodes each text. Files are read in any order, so each row gets its place in what mix wrote: sorting by order_file
@@ -24,7 +24,6 @@ from sluiceway.llm import curriculum_mix, line_align, matrix_bpe, quality_cascad
 from sluiceway.session import configure, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_LEFT = 0.2  # share of a document's words that line dedup must leave
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -36,8 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     left = line_align.dedup(docs)
-    enough = (F.col("n_words") - F.col("deleted_words") >= LEAST_LEFT * F.col("n_words")) & (F.col("n_words") > F.col("deleted_words"))
-    return left.where(enough).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return left.where(F.col("n_words") > F.col("deleted_words")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

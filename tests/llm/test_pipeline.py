@@ -89,3 +89,10 @@ def test_training_order_reaches_the_result(spark, tmp_path):
     turns = {i: iter(sorted(p)) for i, p in position.items()}
     places = [next(turns[i]) for i in found]
     assert len(places) == sum(map(len, position.values())) and places == sorted(places)
+
+
+def test_line_stage_keeps_small_rests(spark):
+    shared = "\n".join(f"shared line {k} of six words" for k in range(90))
+    docs = [(1, shared), (2, f"{shared}\n" + "own " * 30), (3, f"{shared}\nrest"), (4, shared)]
+    rows = pipeline.line_dedup(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()
+    assert {r.doc_id: (r.text, r.n_chars) for r in rows} == {1: (shared, len(shared)), 2: ("own " * 30, 120), 3: ("rest", 4)}
