@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat_template, curriculum_mix, lattice_lm, line_align, matrix_bpe, pseudonyms, quality_cascade, simhash_trie, tiled_topk, trie_counts
+from sluiceway.llm import chat_template, curriculum_mix, dual_tree_rank, filter_audit, lattice_lm, line_align, matrix_bpe, pseudonyms, quality_cascade, simhash_trie, tiled_topk, trie_counts
 from sluiceway.functions.columns import bind
 from sluiceway.session import load
 
@@ -165,3 +165,51 @@ def op10_chat_format(spark, sf):
     told = F.array_join(F.transform("back.turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select("conv_id", F.size("back.turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
                        F.length("back.loss").cast("long").alias("loss_chars"), F.sha2("back.loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op11_dual_tree_rank", r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY r, term),
+f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(c.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, c GROUP BY term),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(w) * c.n) // c.l AS m FROM d, c),
+s AS (SELECT i.item_id, m.doc_id, CAST(sum(f.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score
+  FROM i JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY i.item_id, m.r, m.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+""")
+def op11_dual_tree_rank(spark, sf):
+    return dual_tree_rank.rank(load(spark, sf, "documents"), load(spark, sf, "benchmark"))
+
+
+@query("op12_filter_audit", r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS least, part, text, w FROM w),
+m AS (SELECT doc_id, part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask,
+    CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS good,
+    CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 1 ELSE 0 END AS toxic FROM l),
+g AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+    list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65))) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (mask & (coalesce(before, 0) | bit)::BIGINT = 0), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT > 0), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(before, 0)::BIGINT = 0), 0) AS BIGINT) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+""")
+def op12_filter_audit(spark, sf):
+    labels = load(spark, sf, "labels")
+    known = filter_audit.facts(load(spark, sf, "documents"))
+    losses = {"good": labels.where("quality = 1").select("doc_id"), "toxic": labels.where("toxic = 1").select("doc_id")}
+    return filter_audit.audit(known, filter_audit.failing(known), losses)
