@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import chat_template, curriculum_mix, dual_tree_rank, filter_audit, lattice_lm, line_align, matrix_bpe, pseudonyms, quality_cascade, simhash_trie, tiled_topk, trie_counts
+from sluiceway.llm import chat_template, cover_repeats, curriculum_mix, dual_tree_rank, filter_audit, lattice_lm, line_align, matrix_bpe, pseudonyms, quality_cascade, simhash_trie, tiled_topk, trie_counts
 from sluiceway.functions.columns import bind
 from sluiceway.session import load
 
@@ -213,3 +213,10 @@ def op12_filter_audit(spark, sf):
     known = filter_audit.facts(load(spark, sf, "documents"))
     losses = {"good": labels.where("quality = 1").select("doc_id"), "toxic": labels.where("toxic = 1").select("doc_id")}
     return filter_audit.audit(known, filter_audit.failing(known), losses)
+
+
+@query("op13_cover_repeats")
+def op13_cover_repeats(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    outputs = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cover_repeats.remove(docs, outputs=outputs).select("doc_id", *outputs)
