@@ -34,7 +34,6 @@ SYMBOLS, CAPITALS = b"#$%&*|", bytes(range(65, 91))
 TAILS = bytes(range(0x80, 0xC0))  # bytes that continue a code point
 
 
-@F.arrow_udf("struct<fails: array<string>, h1: bigint, h2: bigint>")
 def _facts(column: pa.Array) -> pa.Array:
     """Names of the text's own failed filters, and 128 bits of its digest."""
     fails, first, second = [], [], []
@@ -57,7 +56,7 @@ def _facts(column: pa.Array) -> pa.Array:
 
 def facts(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
     """(key, part, _id, _hash, h1, h2, fails), one row per document, written once. A row's key is its id and its text's digest."""
-    own = bind(docs.select(F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), utf8(text).alias("text")), "f", _facts(F.col("text")))
+    own = bind(docs.select(F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), utf8(text).alias("text")), "f", F.arrow_udf(_facts, "struct<fails: array<string>, h1: bigint, h2: bigint>")("text"))
     return cut(own.select("key", "part", F.coalesce("key", F.lit(0)).alias("_id"), F.when(F.col("key").isNull(), F.bitwise_not("f.h1")).otherwise(F.col("f.h1")).alias("_hash"),
                           F.col("f.h1").alias("h1"), F.col("f.h2").alias("h2"), F.col("f.fails").alias("fails")))
 
