@@ -58,10 +58,11 @@ def assembled_chunks(pieces: DataFrame, key: str, at: str, text: str, size: int
     joined = placed.select(key, F.when(F.col("_start") > 0, F.concat(F.lit("\n"), F.col(text))).otherwise(F.col(text)).alias("_text"), begin.alias("_from"))
     last = F.floor((F.col("_from") + F.length("_text") - 1) / step)
     first = F.greatest(F.floor((F.col("_from") - size) / step) + 1, F.lit(0))
-    spread = joined.select(key, "_text", "_from", F.explode(F.sequence(first, last)).alias("chunk_idx"))
-    skip = F.greatest(F.col("chunk_idx") * step - F.col("_from"), F.lit(0))
-    upto = F.least(F.col("chunk_idx") * step + size - F.col("_from"), F.length("_text"))
-    part = F.substring("_text", (skip + 1).cast("int"), (upto - skip).cast("int"))
-    parts = spread.select(key, F.col("chunk_idx").cast("int").alias("chunk_idx"), F.struct("_from", part.alias("part")).alias("p"))
+    skip = lambda k: F.greatest(k * step - F.col("_from"), F.lit(0))
+    upto = lambda k: F.least(k * step + size - F.col("_from"), F.length("_text"))
+    # Parts are cut before they become rows, so a row never carries its whole piece.
+    cut = F.transform(F.sequence(first, last), lambda k: F.struct(k.cast("int").alias("chunk_idx"), F.struct(
+        F.col("_from"), F.substring(F.col("_text"), (skip(k) + 1).cast("int"), (upto(k) - skip(k)).cast("int")).alias("part")).alias("p")))
+    parts = joined.select(key, F.explode(cut).alias("c")).select(key, "c.*")
     whole = parts.groupBy(key, "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.part), "").alias("chunk"))
     return whole.where(F.col("chunk").rlike(r"(?U)\S"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions import json_text
+from sluiceway.functions.columns import let
 from sluiceway.functions.text import base64_fragments, head_tail
 
 # Fixed values.
@@ -164,25 +165,32 @@ def conversation_window(turn_rows: DataFrame, size: int = 6000, turns_kept: int
     )
 
 
+def chunk_step(size: int, overlap: int) -> int:
+    return max(size - overlap, size // 2)
+
+
 def chunk_starts(length: Column, size: int = 6000, overlap: int = 600) -> Column:
-    step = max(size - overlap, size // 2)
-    return F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1, F.lit(step))
+    return F.sequence(F.lit(0), F.greatest(length, F.lit(1)) - 1, F.lit(chunk_step(size, overlap)))
+
+
+def chunk_parts(text: Column, size: int = 6000, overlap: int = 600) -> Column:
+    """The overlapping chunks of a text as an array. The text is read once: it falls into steps, and a chunk is a step and the
+    beginning of the next one."""
+    step = chunk_step(size, overlap)
+    steps = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    return let(steps, lambda own: F.transform(own, lambda s, i: F.concat(s, F.left(F.coalesce(F.get(own, i + 1), F.lit("")), F.lit(size - step)))))
 
 
 def chunks(rows: DataFrame, text: str = "text", size: int = 6000, overlap: int = 600) -> DataFrame:
-    """Overlapping chunks of whole texts, blank ones dropped; ``chunk_idx`` keeps the numbering."""
+    """Overlapping chunks of whole texts, blank ones dropped; ``chunk_idx`` keeps the numbering. A row carries its chunk, not the text."""
     keep = [c for c in rows.columns if c != text]
-    at = F.posexplode(chunk_starts(F.length(text), size, overlap)).alias("chunk_idx", "start")
-    cut = rows.select(*keep, text, at).select(
-        *keep, "chunk_idx", "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("chunk")
-    )
-    return cut.where(has_text(F.col("chunk")))
+    cut = rows.select(*keep, F.posexplode(chunk_parts(F.col(text), size, overlap)).alias("chunk_idx", "chunk"))
+    return cut.select(*keep, "chunk_idx", (F.col("chunk_idx") * chunk_step(size, overlap)).alias("start"), "chunk").where(has_text(F.col("chunk")))
 
 
 def chunk_count(length: Column, size: int = 6000, overlap: int = 600) -> Column:
     """Number of chunks before blank ones are dropped."""
-    step = max(size - overlap, size // 2)
-    return F.ceil(F.greatest(length, F.lit(1)) / step).cast("int")
+    return F.ceil(F.greatest(length, F.lit(1)) / chunk_step(size, overlap)).cast("int")
 
 
 def admission(turn_rows: DataFrame) -> DataFrame:

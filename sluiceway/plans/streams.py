@@ -13,7 +13,7 @@ from sluiceway.plans.series import FAILURE_LIMIT, FAILURE_WINDOW
 from sluiceway.plans.texts import _hits_sql, policy
 from sluiceway.operators.tripwires import OUTPUT_LISTS, REQUEST_LISTS
 from sluiceway.session import cut, epoch_us
-from sluiceway.streaming import jobs, lockouts, runner, stateful
+from sluiceway.streaming import jobs, judged, lockouts, runner, stateful
 
 
 def _schema(ddl: str) -> StructType:
@@ -60,24 +60,33 @@ def stream_lockouts(spark, sf):
     return runner.run(spark, start, _schema(lockouts.ATTEMPTS), finish=lambda: ended[0]())
 
 
+GATE_START = 1_700_000_000
+TURNS = 20  # a label stands for the verdicts on so many turns of a conversation
 _GATE_HITS = _hits_sql(OUTPUT_LISTS, "(SELECT conv_id * 100 + turn AS msg, text FROM conversations WHERE role = 'assistant')", "msg")
 
 
+def turn_chunks(spark, sf):
+    """Assistant turns as a stream of chunks; a turn's chunks come in the minute that its number names."""
+    turns = runner.follow_table(spark, sf, "conversations").where("role = 'assistant'")
+    at = F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE))).alias("seq", "start")
+    number = F.col("conv_id") * 100 + F.col("turn")
+    pieces = turns.select(number.alias("number"), "text", at)
+    nothing = F.lit(None).cast("string")
+    return pieces.select(
+        F.col("number").cast("string").alias("call_id"), F.col("seq").cast("long").alias("seq"), F.lit(0).alias("choice"),
+        F.substring("text", F.col("start"), F.lit(PIECE)).alias("content"), nothing.alias("reasoning"), F.lit(None).cast("int").alias("tool_idx"),
+        nothing.alias("tool_name"), nothing.alias("tool_args"), (F.col("start") + PIECE > F.length("text")).alias("finished"), F.lit(1).alias("choices"),
+        F.timestamp_seconds(F.lit(GATE_START) + F.col("number") * 60).alias("at"),
+    )
+
+
 @query("stream_gate", f"""WITH {_GATE_HITS},
 a AS (SELECT conv_id * 100 + turn AS msg, text FROM conversations WHERE role = 'assistant')
 SELECT CAST(a.msg AS VARCHAR) AS call_id, CASE WHEN list IS NULL THEN 'stop' ELSE 'content_filter' END AS finish_reason,
   coalesce('regex:' || list, '') AS reason, sha256(CASE WHEN list IS NULL THEN text ELSE '{stateful.WITHHELD_TEXT}' END) AS digest FROM a LEFT JOIN hits USING (msg)""")
 def stream_gate(spark, sf):
     """Assistant turns streamed in pieces, held, checked, and released or withheld."""
-    turns = runner.follow_table(spark, sf, "conversations").where("role = 'assistant'")
-    at = F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(PIECE))).alias("seq", "start")
-    pieces = turns.select((F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("call_id"), "text", at)
-    nothing = F.lit(None).cast("string")
-    chunks = pieces.select(
-        "call_id", F.col("seq").cast("long").alias("seq"), F.lit(0).alias("choice"), F.substring("text", F.col("start"), F.lit(PIECE)).alias("content"),
-        nothing.alias("reasoning"), F.lit(None).cast("int").alias("tool_idx"), nothing.alias("tool_name"), nothing.alias("tool_args"),
-        (F.col("start") + PIECE > F.length("text")).alias("finished"), F.lit(1).alias("choices"),
-    )
+    chunks = turn_chunks(spark, sf)
 
     def start(out: str, checkpoint: str):
         def handle(batch, batch_id):
@@ -88,3 +97,41 @@ def stream_gate(spark, sf):
 
     rows = runner.run(spark, start, _schema(stateful.RELEASED))
     return rows.select("call_id", "finish_reason", F.coalesce("reason", F.lit("")).alias("reason"), F.sha2("text", 256).alias("digest"))
+
+
+@query("stream_gate_judged", f"""WITH {_GATE_HITS},
+a AS (SELECT conv_id, conv_id * 100 + turn AS msg, text FROM conversations WHERE role = 'assistant'),
+v AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'unread' WHEN toxic = 1 THEN 'blocked' ELSE 'passed' END AS verdict FROM labels WHERE doc_id % 13 <= 10),
+j AS (SELECT a.msg, a.text, CASE WHEN list IS NOT NULL THEN 'regex:' || list WHEN verdict = 'blocked' THEN 'classifier'
+    WHEN verdict = 'unread' THEN 'guard_verdict_unparseable' WHEN verdict IS NULL THEN 'guard_unavailable' ELSE '' END AS reason
+  FROM a LEFT JOIN hits USING (msg) LEFT JOIN v ON v.doc_id = a.conv_id)
+SELECT CAST(msg AS VARCHAR) AS call_id, CASE WHEN reason = '' THEN 'stop' ELSE 'content_filter' END AS finish_reason, reason,
+  sha256(CASE WHEN reason = '' THEN text ELSE '{stateful.WITHHELD_TEXT}' END) AS digest FROM j""")
+def stream_gate_judged(spark, sf):
+    """As ``stream_gate``, and nothing goes out without the classifier's verdict. A label stands for the answers on the turns of the conversation with
+    its number; they come after 0 to 12 minutes, those after more than 10 too late."""
+    root = runner.new_root(spark)
+    runner.to_table(stateful.buffer_calls(turn_chunks(spark, sf), hold_ms=None), f"{root}/held", f"{root}/held-checkpoint").awaitTermination()
+    # Both feeds end with a row of a far time, so that the watermark passes everything before it.
+    end = F.lit("2100-01-01").cast("timestamp")
+    # (It needs an id: a row without one cannot be joined and is dropped before its time is seen.)
+    spark.range(1).select(*[(end if f.name == "ended_at" else F.lit("" if f.name == "call_id" else None)).cast(f.dataType).alias(f.name) for f in _schema(stateful.BUFFERED)]).write.parquet(f"{root}/end-held")
+    spark.range(1).select(end.alias("judged_at")).write.parquet(f"{root}/end")
+
+    labels = runner.follow_table(spark, sf, "labels").select("doc_id", "toxic", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"))
+    number = F.col("doc_id") * 100 + F.col("turn")
+    raw = F.when(F.col("doc_id") % 17 == 0, "hm").when(F.col("toxic") == 1, "unsafe\nS1").otherwise("safe")
+    answers = labels.select(number.cast("string").alias("call_id"), F.lit(0).alias("part_idx"), F.lit("llama-guard").alias("model"), raw.alias("raw"),
+                            F.timestamp_seconds(F.lit(GATE_START) + (number + F.col("doc_id") % 13) * 60).alias("judged_at"))
+    ended = spark.readStream.schema("judged_at TIMESTAMP").parquet(f"{root}/end").select(
+        F.lit("").alias("call_id"), *[F.lit(None).cast(k).alias(n) for n, k in (("part_idx", "int"), ("model", "string"), ("raw", "string"))], "judged_at")
+    held, held_end = (spark.readStream.schema(stateful.BUFFERED).parquet(f"{root}/{folder}") for folder in ("held", "end-held"))
+
+    def start(out: str, checkpoint: str):
+        def handle(batch, batch_id):
+            runner.write_batch(stateful.release(cut(batch.where("call_id <> ''")), policy()), out, batch_id)
+
+        return runner.each_batch(judged.judge(held.unionByName(held_end), answers.unionByName(ended), policy()), handle, checkpoint)
+
+    rows = runner.run(spark, start, _schema(stateful.RELEASED))
+    return rows.select("call_id", "finish_reason", F.coalesce("reason", F.lit("")).alias("reason"), F.sha2("text", 256).alias("digest"))

@@ -41,9 +41,14 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def new_root(spark: SparkSession) -> str:
+    """A folder of its own for one run."""
+    return f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+
+
 def run(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema: StructType, finish: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over what is available, then ``finish``, and give its output table back."""
-    root = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    root = new_root(spark)
     query = start(f"{root}/out", f"{root}/checkpoint")
     query.awaitTermination()
     if finish:

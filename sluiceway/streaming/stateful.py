@@ -18,10 +18,11 @@ from sluiceway.streaming.jobs import scan_texts
 
 WITHHELD_TEXT = "[Response withheld by policy: veto_triggered]"
 HOLD_MS = 600_000
+MARK_MS = 24 * 3_600_000  # how long a call that was passed on is remembered
 
 OUTPUTS = "array<struct<choice:int, kind:string, text:string>>"
-BUFFERED = f"call_id STRING, reason STRING, chunks BIGINT, chars BIGINT, outputs {OUTPUTS}"
-HELD_STATE = "pieces STRING, ends STRING, chunks BIGINT, chars BIGINT, done BOOLEAN"
+BUFFERED = f"call_id STRING, reason STRING, chunks BIGINT, chars BIGINT, ended_at TIMESTAMP, outputs {OUTPUTS}"
+HELD_STATE = "pieces STRING, ends STRING, chunks BIGINT, chars BIGINT, ended_us BIGINT, done BOOLEAN"
 RELEASED = "call_id STRING, choice INT, kind STRING, text STRING, finish_reason STRING, reason STRING"
 
 
@@ -48,21 +49,24 @@ def _complete(seen: set[int], ends: dict[int, int], choices: int) -> bool:
     return len(ends) >= choices and seen >= set(range(max(ends.values(), default=0) + 1))
 
 
-def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_ms: int | None) -> Iterator[pd.DataFrame]:
+def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_ms: int | None, mark_ms: int = MARK_MS) -> Iterator[pd.DataFrame]:
     """Hold a call's chunks until all its choices are complete or it breaks a cap; emit it once.
 
-    Past the caps the call is withheld by rule, so its text need not be kept. A call that was emitted leaves a mark, and chunks that
-    come later are swallowed: they can never start the call anew.
+    Past the caps the call is withheld by rule, so its text need not be kept. A call that was emitted, also by time-out, leaves a mark for
+    ``mark_ms``, and chunks that come later are swallowed: they cannot start the call anew. Each of them renews the mark.
     """
-    held, ended, chunks, chars, done = state.get if state.exists else ("[]", "[0, [], {}]", 0, 0, False)
+    held, ended, chunks, chars, ended_us, done = state.get if state.exists else ("[]", "[0, [], {}]", 0, 0, -1, False)
     pieces = json.loads(held)
     choices, seen, ends = json.loads(ended)
     seen, ends = set(seen), {int(c): at for c, at in ends.items()}
     reason = None
     if state.hasTimedOut:
-        if not done:
-            yield _row(key, "stream_timeout", chunks, chars, [])
-        state.remove()
+        if done:
+            state.remove()
+            return
+        yield _row(key, "stream_timeout", chunks, chars, ended_us, [])
+        state.update(("[]", "[0, [], {}]", chunks, chars, ended_us, True))
+        state.setTimeoutDuration(mark_ms)
         return
     for batch in batches:
         for row in batch.itertuples(index=False):
@@ -70,6 +74,9 @@ def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_m
                 continue
             chunks += 1
             seen.add(int(row.seq))
+            at = getattr(row, "at", None)
+            if at is not None and not pd.isna(at):
+                ended_us = max(ended_us, pd.Timestamp(at).value // 1000)
             tool = -1 if pd.isna(row.tool_idx) else int(row.tool_idx)
             choice = 0 if pd.isna(row.choice) else int(row.choice)
             expected = getattr(row, "choices", None)
@@ -90,19 +97,21 @@ def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, hold_m
             outputs = _assemble(pieces)
             if not any(o["text"].strip() for o in outputs):
                 reason = "no_scannable_output"
-        yield _row(key, reason, chunks, chars, outputs)
+        yield _row(key, reason, chunks, chars, ended_us, outputs)
         done, pieces, seen, ends = True, [], set(), {}
-    state.update((json.dumps(pieces), json.dumps([choices, sorted(seen), ends]), chunks, chars, done))
+    state.update((json.dumps(pieces), json.dumps([choices, sorted(seen), ends]), chunks, chars, ended_us, done))
     if hold_ms:
-        state.setTimeoutDuration(hold_ms)
+        state.setTimeoutDuration(mark_ms if done else hold_ms)
 
 
-def _row(key: tuple, reason: str | None, chunks: int, chars: int, outputs: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame({"call_id": [key[0]], "reason": [reason], "chunks": [chunks], "chars": [chars], "outputs": [outputs]})
+def _row(key: tuple, reason: str | None, chunks: int, chars: int, ended_us: int, outputs: list[dict]) -> pd.DataFrame:
+    ended = pd.NaT if ended_us < 0 else pd.Timestamp(ended_us * 1000)
+    return pd.DataFrame({"call_id": [key[0]], "reason": [reason], "chunks": [chunks], "chars": [chars], "ended_at": pd.Series([ended], dtype="datetime64[ns]"), "outputs": [outputs]})
 
 
 def buffer_calls(chunks: DataFrame, hold_ms: int | None = HOLD_MS) -> DataFrame:
-    """Streamed chunks as complete calls. Nothing of a call is passed on before it is complete.
+    """Streamed chunks as complete calls. Nothing of a call is passed on before it is complete. ``ended_at`` is the latest time
+    (``at``, where chunks have it) of the call's chunks.
 
     A call that does not finish within ``hold_ms`` is withheld. Spark keeps running empty batches to
     look for such calls, so a run that should end by itself (``availableNow``) passes None: its
@@ -116,13 +125,17 @@ def buffer_calls(chunks: DataFrame, hold_ms: int | None = HOLD_MS) -> DataFrame:
 
 
 def release(calls: DataFrame, policy: Policy) -> DataFrame:
-    """Released texts of calls that pass the output tripwires, one withheld marker for the others."""
+    """Released texts of calls that pass the output tripwires, one withheld marker for the others.
+
+    Where calls come with ``verdict``, the reason for which the classifier holds a call back, it counts after the tripwires.
+    """
     texts = calls.where("reason IS NULL").select("call_id", F.inline("outputs"))
     ranked = requests.with_decoded(texts.where(requests.has_text(F.col("text"))).withColumn("rank", F.lit(0)))
     hits = scan_texts(ranked.select("call_id", "text"), policy, tripwires.OUTPUT_LISTS)
     vetoed = hits.groupBy("call_id").agg(F.min("reason").alias("veto"))
     marker = F.col("reason").isNotNull()
-    judged = calls.join(vetoed, "call_id", "left").withColumn("reason", F.coalesce("reason", "veto"))
+    verdict = ["verdict"] if "verdict" in calls.columns else []
+    judged = calls.join(vetoed, "call_id", "left").withColumn("reason", F.coalesce("reason", "veto", *verdict))
     withheld = judged.where(marker).select(
         "call_id", F.lit(0).alias("choice"), F.lit("content").alias("kind"), F.lit(WITHHELD_TEXT).alias("text"),
         F.lit("content_filter").alias("finish_reason"), "reason",

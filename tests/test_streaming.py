@@ -1,6 +1,7 @@
 """Streams give what the batch functions give, over several micro-batches."""
 
 import json
+import os
 import random
 
 import pytest
@@ -10,13 +11,14 @@ from sluiceway.operators import audit, outputs
 from sluiceway.policy import make_policy
 from sluiceway.schemas import STREAM_CHUNK, VETO_AUDIT
 from sluiceway.session import cut
-from sluiceway.streaming import jobs, lockouts, runner, stateful
+from sluiceway.streaming import jobs, judged, lockouts, runner, stateful
 
 
 def write_files(folder, batches):
     folder.mkdir()
     for i, rows in enumerate(batches):
         (folder / f"{i}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(folder / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in this order
 
 
 def chunk(call, seq, content=None, finished=False, **fields):
@@ -118,3 +120,87 @@ def test_assembled_stream_equals_batch(spark):
     assert stateful._assemble([[2, 0, "content", -1, "b"], [1, 0, "content", -1, "a"], [1, 1, "content", -1, "z"]]) == [
         {"choice": 0, "kind": "content", "text": "ab"}, {"choice": 1, "kind": "content", "text": "z"}
     ]
+
+
+ANSWERS = "call_id STRING, part_idx INT, model STRING, raw STRING, judged_at TIMESTAMP"
+
+
+def test_judged_release(spark, tmp_path):
+    """Late, missing, repeated, unreadable and blocked verdicts, calls of several parts, over several micro-batches."""
+    minute = lambda m: f"2024-01-01T00:{m:02d}:00.000Z"
+    far = "2024-01-02T00:00:00.000Z"
+
+    def call(name, m, text="words", reason=None):
+        outputs_ = [] if reason else [{"choice": 0, "kind": "content", "text": text}]
+        return {"call_id": name, "reason": reason, "chunks": 1, "chars": len(text), "ended_at": minute(m), "outputs": outputs_}
+
+    def answer(name, m, raw="safe", part=0, model="llama-guard"):
+        return {"call_id": name, "part_idx": part, "model": model, "raw": raw, "judged_at": minute(m)}
+
+    long = "w " * 40
+    calls = [
+        [call("ok", 0), call("late", 0), call("missing", 1), call("blocked", 1), call("allowed", 1), call("mixed", 2)],
+        [call("unread", 3), call("capped", 3, reason="output_buffer_cap"), call("hit", 3, "test_sentinel_block_alpha"), call("long", 4, long), call("half", 4, long), call("foreign", 4)],
+        [{"call_id": "", "ended_at": far}],
+    ]
+    answers = [
+        [answer("ok", 1), answer("ok", 1), answer("blocked", 2, "unsafe\nS1"), answer("allowed", 2, "unsafe\nS13"), answer("mixed", 2), answer("mixed", 3, "unsafe\nS1,S9"), answer("nobody", 2)],
+        [answer("late", 11), answer("unread", 4, "hm"), answer("hit", 4), answer("half", 5), answer("foreign", 5, model="other")] + [answer("long", 5, part=k) for k in range(5)],
+        [{"call_id": "", "part_idx": 0, "judged_at": far}],
+    ]
+    write_files(tmp_path / "calls", calls)
+    write_files(tmp_path / "answers", answers)
+    held, told = (runner.follow_log(spark, str(tmp_path / n), schema, files_per_trigger=1) for n, schema in (("calls", stateful.BUFFERED), ("answers", ANSWERS)))
+    policy = make_policy()
+    seen = []
+
+    def start(out, checkpoint):
+        def handle(batch, batch_id):
+            rows = cut(batch.where("call_id <> ''"))
+            seen.extend((r.call_id, r.parts) for r in rows.collect())
+            runner.write_batch(stateful.release(rows, policy), out, batch_id)
+
+        return runner.each_batch(judged.judge(held, told, policy, "10 minutes", "1 minute", size=20, overlap=4), handle, checkpoint)
+
+    rows = runner.run(spark, start, _parse_datatype_string(stateful.RELEASED)).collect()
+    assert {r.call_id: r.reason for r in rows} == {
+        "ok": None, "allowed": None, "long": None, "late": "guard_unavailable", "missing": "guard_unavailable", "half": "guard_unavailable", "blocked": "classifier",
+        "mixed": "classifier", "unread": "guard_verdict_unparseable", "capped": "output_buffer_cap", "hit": "regex:sentinel", "foreign": "guard_no_adapter"}
+    assert len(rows) == 12 and {r.text for r in rows if r.reason} == {stateful.WITHHELD_TEXT} and {r.call_id: r.text for r in rows}["long"] == long
+    assert len(seen) == 12 and dict(seen)["long"] == 5  # 80 characters, a part every 16
+
+
+def test_late_chunk_after_time_out(spark):
+    """A released or timed-out call stays marked: what comes later is swallowed and never a second row."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, value, ms = False, False, None, None
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def setTimeoutDuration(self, ms):
+            self.ms = ms
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+    def feed(state, *rows):
+        state.hasTimedOut = False
+        frame = pd.DataFrame([{**dict.fromkeys(("reasoning", "tool_idx", "tool_name", "tool_args", "at")), **r} for r in rows])
+        return [r for out in stateful._hold(("c",), iter([frame]), state, 1000, 5000) for r in out.to_dict("records")]
+
+    def expire(state):
+        state.hasTimedOut = True
+        return [r for out in stateful._hold(("c",), iter([]), state, 1000, 5000) for r in out.to_dict("records")]
+
+    state = State()
+    assert feed(state, chunk("c", 0, "a")) == [] and state.ms == 1000
+    assert [r["reason"] for r in expire(state)] == ["stream_timeout"] and state.ms == 5000
+    assert feed(state, chunk("c", 1, "b", True)) == [] and feed(state, chunk("c", 0, "a")) == [] and state.ms == 5000
+    assert expire(state) == [] and not state.exists
+    state = State()
+    assert [r["reason"] for r in feed(state, chunk("c", 0, "a", True))] == [None] and state.ms == 5000
+    assert feed(state, chunk("c", 1, "late", True)) == [] and expire(state) == [] and not state.exists
