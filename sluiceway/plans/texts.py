@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions import text as T
 from sluiceway.functions.columns import bind
-from sluiceway.operators import decisions, reports, requests, tripwires, verdicts
+from sluiceway.operators import decisions, regex_index, reports, requests, tripwires, verdicts
 from sluiceway.plans.registry import query
 from sluiceway.policy import Policy, category_classes, category_names, make_policy
 from sluiceway.session import load, spread
@@ -119,6 +119,25 @@ def pattern_join(spark, sf):
     return tripwires.phrase_join(normalised(spark, sf), "doc_id", "norm", items, "item_id", "phrase", PHRASE_WORDS)
 
 
+REGEX_SQL = """SELECT item_id, w[1] || '[ \n]+' || w[2] || '[ \n,.]+(?:' || w[3] || '|' || w[4] || ')' AS pattern
+FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM benchmark) WHERE len(w) >= 4
+UNION ALL SELECT item_id + 1000000, '(?:' || w[1] || '|' || w[2] || w[3] || ')[a-z]+ ' || w[4] FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM benchmark) WHERE len(w) >= 4
+UNION ALL SELECT -1, '[0-9]{3}-[0-9]{4}' UNION ALL SELECT -2, '\\$[0-9]+'"""
+
+
+@query("regex_join", f"""WITH p AS ({REGEX_SQL}) SELECT item_id, doc_id FROM p JOIN documents ON regexp_matches(text, pattern, 'is')""")
+def regex_join(spark, sf):
+    """Documents that match expressions made from the benchmark items, and two without literals."""
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))
+    items = load(spark, sf, "benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 4)
+    at = lambda k: F.get("w", F.lit(k))
+    first = F.concat(at(0), F.lit("[ \n]+"), at(1), F.lit("[ \n,.]+(?:"), at(2), F.lit("|"), at(3), F.lit(")"))
+    second = F.concat(F.lit("(?:"), at(0), F.lit("|"), at(1), at(2), F.lit(")[a-z]+ "), at(3))
+    made = items.select(F.explode(F.array(F.struct("item_id", first.alias("pattern")), F.struct((F.col("item_id") + 1_000_000).alias("item_id"), second.alias("pattern")))).alias("p")).select("p.*")
+    bare = spark.createDataFrame([(-1, "[0-9]{3}-[0-9]{4}"), (-2, r"\$[0-9]+")], "item_id long, pattern string")
+    return regex_index.regex_join(spread(load(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", made.unionByName(bare), "item_id", "pattern")
+
+
 # ---- verdicts --------------------------------------------------------------------------------
 
 def raw_verdicts(spark: SparkSession, sf: str) -> DataFrame:
