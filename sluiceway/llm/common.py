@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +36,12 @@ def with_fields(df: DataFrame, value: Column, names) -> DataFrame:
     are replaced."""
     bound = bind(without(df, [*names, "_fields"]), "_fields", value)
     return bound.select(*[F.col(f"`{c}`") for c in bound.columns if c != "_fields"], *[F.col(f"_fields.{n}").alias(n) for n in names])
+
+
+def release_memory() -> None:
+    """Give what a finished task held back to the system: Python workers wait for other tasks, of other stages too, with their memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)

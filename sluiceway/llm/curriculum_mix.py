@@ -126,5 +126,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     names = [c for c in docs.columns if c.lower() != "position"]
     copies = plan(docs, key, text, source, **options).withColumn("_copy", F.explode("copies"))
     whole = copies.where(F.col("_copy.take") * 2 >= F.col("size"))
-    placed = whole.select(*[F.col(f"`{n}`") for n in names], F.col("_copy.position").alias("position"))
-    return placed.repartitionByRange("position").sortWithinPartitions("position")
+    placed = whole.select(*[F.col(f"`{n}`") for n in names], F.col("_copy.position").alias("position"), F.col("_copy.pass").alias("_pass"))
+    order = ["position", key, "_pass"]  # positions of unlike sources may be equal
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_pass")

@@ -4,16 +4,14 @@ A line is a stretch of text between line breaks; its identity is the digest of t
 without a word are left out of everything. Of two documents the later one has the larger key (null keys last; documents that share a
 key are ordered by a hash of the text). The owner of a line is the earliest document that has it.
 
-Overlapping documents are found through rare lines, those with at most ``rare`` occurrences in the corpus: a document that has
-a rare line is paired with the line's owner. So there is at most one pair for each line of a document, not one for each
-two documents that share it. Both documents of a pair are aligned by patience diff over their shared lines, and each aligned common block of at least
-``min_words`` words is deleted from the later one. A block is a run of aligned lines that are neighbours in both documents. Where the alignment
-leaves lines that the earlier document has (moved, repeated, or not unique in their gap), every run of lines that lies anywhere in the earlier document
-and has ``min_words`` words goes too, so neither order nor number of copies matters.
+Overlapping documents are found through the lines they share: a document is paired with the owner of each of its lines. Rare lines find most partners; for a
+common line the owner is the partner as well, so there is at most one pair for each line of a document, however many have the line, and what is deleted does
+not depend on how common a line is. Both documents of a pair are aligned by patience diff over their shared lines, and each aligned common block of at least
+``min_words`` words is deleted from the later one. A block is a run of aligned lines that are neighbours in both documents; it lies in that one earlier document. The
+lines found are taken out of the later side and the rest is aligned again with the whole earlier side, until nothing more is found, so moved and repeated blocks go
+too. Where lines remain that the alignment cannot place (all of them repeated in their gap), runs of them are looked up in the earlier document.
 
-A line too common to be rare needs no search: its owner is the partner, and the line is the block. Neighbouring common lines of a document count as
-one block. So every line of enough words, however common, stays in its owner only, and no line is lost: the owner of a
-line has no earlier document to be aligned with on it.
+No line is lost: the owner of a line has no earlier document to be aligned with on it.
 
 Only digests and positions are shuffled; texts move once, to meet their edits. Lists are as long as one document's shared lines. Very common
 lines are plain skewed keys of a join.
@@ -24,16 +22,18 @@ empty table gives an empty result. Input columns named like an output are replac
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import WORD, count_words, without
+from sluiceway.llm.common import without
 from sluiceway.session import cut
 
-RARE = 100
+SPACE = b" \t\n\r\x0b\x0c"
 MIN_WORDS = 5
 OUTPUTS = ("n_lines", "n_words", "deleted_lines", "deleted_words", "n_partners")
 
@@ -153,7 +153,7 @@ def _with_gaps(entries: list[dict]) -> list[dict | None]:
 def anywhere(earlier: list[dict], later: list[dict], min_words: int) -> list[int]:
     """Line numbers of ``later`` in runs of enough words that lie anywhere in ``earlier``, in any order and any number of times."""
     a, b = _with_gaps(earlier), _with_gaps(later)
-    runs = longest_runs([x and x["h"] for x in a], [x and x["h"] for x in b])
+    runs = longest_runs([x and (x["h"], x["g"]) for x in a], [x and (x["h"], x["g"]) for x in b])
     before = [0, *accumulate(x["words"] if x else 0 for x in b)]
     out, start = [], len(b)
     for end in range(len(b) - 1, -1, -1):
@@ -166,13 +166,17 @@ def anywhere(earlier: list[dict], later: list[dict], min_words: int) -> list[int
 
 
 def common_blocks(earlier: list[dict], later: list[dict], min_words: int) -> list[int]:
-    """Line numbers of ``later`` in blocks of enough words that ``earlier`` has. The alignment finds those in order; only where it leaves lines
-    that ``earlier`` has are blocks looked for anywhere. Entries: line (number), pos (number among lines with words), h, words."""
-    found = aligned_blocks(earlier, later, min_words)
-    gone, there = set(found), {x["h"] for x in earlier}
-    if all(x["line"] in gone or x["h"] not in there for x in later):
-        return found
-    return anywhere(earlier, later, min_words)
+    """Line numbers of ``later`` in blocks of enough words that ``earlier`` has, by alignments of what is left until no block is found. Entries: line (number),
+    pos (number among lines with words), h and g (digest), words."""
+    gone: set[int] = set()
+    rest = later
+    while rest and (found := aligned_blocks(earlier, rest, min_words)):
+        gone.update(found)
+        rest = [x for x in rest if x["line"] not in gone]
+    there = {(x["h"], x["g"]) for x in earlier}
+    if any((x["h"], x["g"]) in there for x in rest):
+        gone.update(anywhere(earlier, later, min_words))
+    return sorted(gone)
 
 
 def aligned_blocks(earlier: list[dict], later: list[dict], min_words: int) -> list[int]:
@@ -180,7 +184,7 @@ def aligned_blocks(earlier: list[dict], later: list[dict], min_words: int) -> li
     out: list[int] = []
     block: list[dict] = []
     last = None
-    for i, j in [*align([x["h"] for x in earlier], [x["h"] for x in later]), (None, None)]:
+    for i, j in [*align([(x["h"], x["g"]) for x in earlier], [(x["h"], x["g"]) for x in later]), (None, None)]:
         here = None if i is None else (earlier[i]["pos"], later[j]["pos"])
         if block and (here is None or here != (last[0] + 1, last[1] + 1)):
             if sum(x["words"] for x in block) >= min_words:
@@ -200,66 +204,86 @@ def _aligned(min_words: int):
     return F.arrow_udf(run, "array<int>")
 
 
-def _common(min_words: int):
-    """Lines of runs of common lines that an earlier document owns."""
-    def run(column: pa.Array) -> pa.Array:
-        out = []
-        for lines in column.to_pylist():
-            gone, block, last = [], [], None
-            for x in [*(x for x in lines if x["common"]), None]:
-                if block and (x is None or x["pos"] != last + 1):
-                    if sum(y["words"] for y in block) >= min_words:
-                        gone += [y["line"] for y in block]
-                    block = []
-                if x is not None:
-                    block.append(x)
-                    last = x["pos"]
-            out.append(gone)
-        return pa.array(out, pa.list_(pa.int32()))
-
-    return F.arrow_udf(run, "array<int>")
-
-
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.col(text))
 
 
-def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def _lines(column: pa.Array) -> pa.Array:
+    """The lines with words of each text."""
+    sizes, line, pos, digests, words = [], [], [], [], []
+    for scalar in column:
+        if not scalar.is_valid:
+            sizes.append(0)
+            continue
+        n = 0
+        for k, raw in enumerate(scalar.as_buffer().to_pybytes().split(b"\n")):
+            count = len(raw.split())
+            if count:
+                line.append(k)
+                pos.append(n)
+                digests.append(hashlib.blake2b(raw.strip(SPACE), digest_size=16).digest())
+                words.append(count)
+                n += 1
+        sizes.append(n)
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    fields = [pa.array(line, pa.int32()), pa.array(pos, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(words, pa.int32())]
+    offsets = pa.array(np.r_[0, np.cumsum(np.array(sizes, np.int64))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, names=["line", "pos", "h", "g", "words"]))
+
+
+def edits(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc: struct of key and text hash, gone: line numbers to delete, n_partners) for documents that lose lines."""
     doc = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), _text_hash(text).alias("hash"))
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    worded = F.filter(numbered, lambda x: x.text.rlike(WORD))
-    digests = F.transform(worded, lambda x: F.struct(
-        x.line.alias("line"), F.unhex(F.md5(F.regexp_replace(x.text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))).alias("h"), count_words(x.text).cast("int").alias("words")))
-    lines = docs.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.posexplode(digests).alias("pos", "x")).select("doc", "pos", "x.*")
-    owners = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    find = F.arrow_udf(_lines, "array<struct<line: int, pos: int, h: bigint, g: bigint, words: int>>")
+    lines = docs.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.explode(find(F.col(text).cast("binary"))).alias("x")).select("doc", "x.*")
+    owners = lines.groupBy("h", "g").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
     # Written out, so that both sides of the join are plain exchanges and Spark can split a very common line.
-    shared = lines.join(cut(owners.where(F.col("owner") != F.col("last")).drop("last")), "h")
-    entry = F.struct("pos", "line", "h", "words", ((F.col("n") > rare) & (F.col("owner") != F.col("doc"))).alias("common"))
-    rare_owner = F.when((F.col("n") <= rare) & (F.col("owner") != F.col("doc")), F.col("owner"))
+    shared = lines.join(cut(owners.where(F.col("owner") != F.col("last")).drop("last")), ["h", "g"])
+    entry = F.struct("pos", "line", "h", "g", "words")
     # Rows equal in key and text give equal entries; the set keeps each once.
-    kept = cut(shared.groupBy("doc").agg(F.sort_array(F.collect_set(entry)).alias("lines"), F.collect_set(rare_owner).alias("owners")))
+    kept = cut(shared.groupBy("doc").agg(
+        F.sort_array(F.collect_set(entry)).alias("lines"), F.collect_set(F.when(F.col("owner") != F.col("doc"), F.col("owner"))).alias("owners")))
 
     pairs = kept.select("doc", F.col("lines").alias("later"), F.explode("owners").alias("owner"))
     both = pairs.join(kept.select(F.col("doc").alias("owner"), F.col("lines").alias("earlier")), "owner")
-    matched = both.select("doc", _aligned(min_words)(F.col("earlier"), F.col("later")).alias("gone"), F.lit(1).alias("partner"))
-    alone = kept.where(F.exists("lines", lambda x: x.common)).select("doc", _common(min_words)(F.col("lines")).alias("gone"), F.lit(0).alias("partner"))
-    found = matched.unionAll(alone).where(F.size("gone") > 0)
-    return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.sum("partner").alias("n_partners"))
+    found = both.select("doc", _aligned(min_words)(F.col("earlier"), F.col("later")).alias("gone")).where(F.size("gone") > 0)
+    return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.count(F.lit(1)).alias("n_partners"))
+
+
+def _edited(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """What is left of each text, with its counts."""
+    left, n_lines, n_words, deleted = [], [], [], []
+    for scalar, drop in zip(texts, gone):
+        if not scalar.is_valid:
+            for column, value in ((left, None), (n_lines, 0), (n_words, 0), (deleted, 0)):
+                column.append(value)
+            continue
+        data = scalar.as_buffer().to_pybytes()
+        n_words.append(len(data.split()))
+        n_lines.append(data.count(b"\n") + 1)
+        if drop.is_valid and len(drop):
+            out = set(drop.values.to_pylist())
+            lines = data.split(b"\n")
+            deleted.append(sum(len(lines[k].split()) for k in out))
+            data = b"\n".join([x for k, x in enumerate(lines) if k not in out])
+        else:
+            deleted.append(0)
+        left.append(data)
+    return pa.StructArray.from_arrays([pa.array(left, pa.binary()), *[pa.array(x, pa.int64()) for x in (n_lines, n_words, deleted)]],
+                                      names=["left", "n_lines", "n_words", "deleted_words"])
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text that is left, and n_lines, n_words (both before), deleted_lines, deleted_words, n_partners (earlier
     documents it was aligned with to effect). One row in, one row out."""
-    rows = without(docs, OUTPUTS)
+    rows = without(docs, [*OUTPUTS, "_key", "_hash", "_own", "_e"])
     names = rows.columns
-    cuts = edits(rows, key, text, rare, min_words).select(F.col("doc.key").alias("_key"), F.col("doc.hash").alias("_hash"), "gone", "n_partners")
-    met = rows.withColumn("_own", _text_hash(text)).join(cuts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left")
-    lines = F.split(F.col(text), "\n")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    left = F.when(F.size(gone) == 0, F.col(text)).otherwise(F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n"))
-    done = met.withColumns({"_left": left, "n_lines": F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_words": count_words(text),
-                            "deleted_lines": F.size(gone).cast("long"), "n_partners": F.coalesce("n_partners", F.lit(0)).cast("long")})
-    done = done.withColumn("deleted_words", F.when(F.size(gone) == 0, F.lit(0).cast("long")).otherwise(F.col("n_words") - count_words("_left")))
-    return done.select(*[F.col("_left").alias(n) if n == text else F.col(f"`{n}`") for n in names], *OUTPUTS)
+    cuts = edits(rows, key, text, min_words).select(F.col("doc.key").alias("_key"), F.col("doc.hash").alias("_hash"), "gone", F.col("n_partners").alias("_partners"))
+    met = rows.withColumn("_own", _text_hash(text)).join(
+        cuts.withColumnRenamed("gone", "_gone"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_hash")), "left")
+    edit = F.arrow_udf(_edited, "struct<left: binary, n_lines: bigint, n_words: bigint, deleted_words: bigint>")
+    done = met.withColumn("_e", F.explode(F.array(edit(F.col(text).cast("binary"), F.col("_gone")))))
+    gone = F.coalesce(F.size("_gone"), F.lit(0))
+    return done.select(
+        *[F.col("_e.left").cast("string").alias(n) if n == text else F.col(f"`{n}`") for n in names], "_e.n_lines", "_e.n_words",
+        F.when(gone > 0, gone).otherwise(0).cast("long").alias("deleted_lines"), "_e.deleted_words", F.coalesce("_partners", F.lit(0)).cast("long").alias("n_partners"))

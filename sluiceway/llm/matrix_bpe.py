@@ -25,13 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import utf8, with_fields
+from sluiceway.llm.common import release_memory, utf8, with_fields
 
 NO_RANK = np.int32(2**31 - 1)
 CELLS = 1_000_000  # cells of one matrix
-KNOWN_PIECES = 200_000  # pre-tokens a task remembers; memory only, forgotten ones are worked out again
+KNOWN_BYTES = 24 << 20  # of the pre-tokens that a task remembers, about; memory only, forgotten ones are worked out again
 LONG_WORD = 100  # characters; longer words are not remembered
-SLICE_CHARS = 2_000_000  # text worked on at once
+ENTRY_BYTES = 200  # of a remembered pre-token besides its characters and ids
+SLICE_CHARS = 1_000_000  # text worked on at once
 KINDS = {"ids": "array<int>", "n_tokens": "bigint", "decoded": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
 ARROW = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "decoded": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
@@ -89,21 +90,24 @@ class Vocabulary:
         self.names = {rank: str(rank) for rank in self.tokens}
         self.number = {rank: rank for rank in self.tokens}  # one object per id, whatever its uses
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        halves = [(self.ranks[token[:cut]], self.ranks[token[cut:]], rank) for token, rank in self.ranks.items()
-                  for cut in range(1, len(token)) if token[:cut] in self.ranks and token[cut:] in self.ranks]
-        self.pairs = PairTable(*np.array(halves or np.empty((0, 3)), np.int64).T)
+        ranks = self.ranks
+        halves = (number for token, rank in ranks.items() for cut in range(1, len(token)) if token[:cut] in ranks and token[cut:] in ranks
+                  for number in (ranks[token[:cut]], ranks[token[cut:]], rank))
+        self.pairs = PairTable(*np.fromiter(halves, np.int64).reshape(-1, 3).T)
         self.find = regex.compile(pattern).findall
         self.odd_space = regex.compile(r" (?!\S)").search
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # bytes of both, about
 
-    def forget(self) -> None:
-        self.known, self.spaced = {}, {}
+    def _count(self, word: str, ids: tuple[int, ...]) -> None:
+        self.held += ENTRY_BYTES + len(word) + 8 * len(ids)
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pre-tokens not known yet."""
-        if len(self.known) > KNOWN_PIECES:
-            self.known = {}
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         known = self.known
         for piece in pieces:
@@ -112,6 +116,7 @@ class Vocabulary:
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
                 known[piece] = (rank,)
+                self._count(piece, known[piece])
             else:
                 width = len(data) if len(data) <= 16 else 1 << (len(data) - 1).bit_length()
                 buckets.setdefault(width, []).append((piece, data))
@@ -121,6 +126,7 @@ class Vocabulary:
                 part = items[start:start + step]
                 for (piece, _), ids in zip(part, merge_rows([data for _, data in part], width, self.byte_ids, self.pairs)):
                     known[piece] = tuple(map(self.number.__getitem__, ids))
+                    self._count(piece, known[piece])
 
     def encode(self, texts: list[str]):
         """Ids of each text, a slice of texts at a time.
@@ -139,8 +145,8 @@ class Vocabulary:
             start = end
 
     def _encode_slice(self, texts: list[str]):
-        if len(self.spaced) > KNOWN_PIECES:
-            self.spaced = {}
+        if self.held > KNOWN_BYTES:
+            self.forget()
         heads, words, new = [], [], set()
         for text in texts:
             if self.odd_space(text):
@@ -155,7 +161,8 @@ class Vocabulary:
         self.learn(set(chain.from_iterable(chain(heads, new.values()))))
         known = self.known
         for word, pieces in new.items():
-            self.spaced[word] = known[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(known.__getitem__, pieces)))
+            ids = self.spaced[word] = known[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(known.__getitem__, pieces)))
+            self._count(word, ids if len(pieces) > 1 else ())
         for head, rest in zip(heads, words):
             ids = list(chain.from_iterable(map(known.__getitem__, head)))
             ids.extend(chain.from_iterable(map(self.spaced.__getitem__, rest)))
@@ -256,6 +263,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
         finally:  # the worker waits for other tasks with its memory free
             vocab.forget()
             gc.enable()
+            release_memory()
 
     kind = "struct<" + ", ".join(f"{n}: {KINDS[n]}" for n in outputs) + ">"
     return with_fields(docs, F.arrow_udf(run, kind)(utf8(text)), outputs)

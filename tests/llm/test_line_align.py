@@ -1,7 +1,6 @@
 """Line dedup against plain Python over all documents."""
 
 import random
-from collections import Counter, defaultdict
 
 import pytest
 
@@ -35,57 +34,57 @@ def test_align_is_a_matching_that_keeps_order():
     assert A.align("abc", "cab") == [(0, 1), (1, 2)]  # of crossing unique lines, the longest run in order
 
 
-def plain(docs, rare, min_words):
-    """Line numbers deleted from each document, from all documents at once."""
+def plain(docs, min_words):
+    """Texts without the lines of every run of enough words that the earliest holder of one of a document's lines has as well: all pairs of
+    places of all documents, no alignment."""
     lines = {i: [(n, x.strip(" \t\n\r\x0b\x0c"), len(x.encode().split())) for n, x in enumerate(t.split("\n")) if x.encode().split()] for i, t in docs}
-    times = Counter(x for own in lines.values() for _, x, _ in own)
-    holders = defaultdict(set)
-    for i, own in lines.items():
-        for _, x, _ in own:
-            holders[x].add(i)
-    shared = {i: [(p, *x) for p, x in enumerate(own) if len(holders[x[1]]) > 1] for i, own in lines.items()}
-    gone = {}
-    for i, own in shared.items():
-        out = set()
-        for e in {min(holders[x]) for _, _, x, _ in own if times[x] <= rare} - {i}:
-            runs = []
-            for a, b in A.align([x[2] for x in shared[e]], [x[2] for x in own]):
-                a, b = shared[e][a], own[b]
-                if runs and (runs[-1][-1][0][0] + 1, runs[-1][-1][1][0] + 1) == (a[0], b[0]):
-                    runs[-1].append((a, b))
-                else:
-                    runs.append([(a, b)])
-            out |= {b[1] for run in runs if sum(b[3] for _, b in run) >= min_words for _, b in run}
-        runs = []
-        for x in own:
-            if times[x[2]] > rare and min(holders[x[2]]) != i:
-                if runs and runs[-1][-1][0] + 1 == x[0]:
-                    runs[-1].append(x)
-                else:
-                    runs.append([x])
-        out |= {x[1] for run in runs if sum(y[3] for y in run) >= min_words for x in run}
-        gone[i] = out
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in docs}
-
-
-@pytest.mark.parametrize("rare", [2, 100])
-def test_dedup_equals_plain(spark, rare):
-    rng = random.Random(rare)
+    first = {}
+    for i in sorted(lines):
+        for _, x, _ in lines[i]:
+            first.setdefault(x, i)
+    out = {}
+    for i, t in docs:
+        own, gone = lines[i], set()
+        for e in {first[x] for _, x, _ in own} - {i}:
+            there = lines[e]
+            for a in range(len(there)):
+                for b in range(len(own)):
+                    n = 0
+                    while a + n < len(there) and b + n < len(own) and there[a + n][1] == own[b + n][1]:
+                        n += 1
+                    if sum(x[2] for x in own[b:b + n]) >= min_words:
+                        gone |= {x[0] for x in own[b:b + n]}
+        out[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 30])
+def test_dedup_equals_plain(spark, times):
+    """Also where a line occurs hundreds of times."""
+    rng = random.Random(times)
     pool = [" ".join(rng.choice(["la", "le", "lu", "lo"]) + str(k) for _ in range(rng.randint(1, 7))) for k in range(60)]
     docs = []
     for i in range(60):
         own = [rng.choice(pool) if rng.random() < 0.5 else f"own {i} {n}" for n in range(rng.randrange(14))]
         if docs and rng.random() < 0.4:
             own[3:3] = docs[rng.randrange(len(docs))][1].split("\n")[2:7]
-        docs.append((i, "\n".join([*own, "a very common closing line of six"] if i % 3 else own)))
-    rows = A.dedup(spark.createDataFrame(docs, "doc_id long, text string"), rare=rare).collect()
-    expected = plain(docs, rare, A.MIN_WORDS)
+        docs.append((i, "\n".join([*own, *["a very common closing line of six"] * times] if i % 3 else own)))
+    rows = A.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    expected = plain(docs, A.MIN_WORDS)
     assert {r.doc_id: r.text for r in rows} == expected
     assert all(r.n_words - r.deleted_words == len(r.text.split()) for r in rows)
     kept = {x for t in expected.values() for x in t.split("\n")}
     assert kept >= {x for _, t in docs for x in t.split("\n")}  # no line is lost altogether
 
 
+@pytest.mark.parametrize("copies", [1, 150])
+def test_common_lines_need_one_earlier_document(spark, copies):
+    """Two short lines owned by two documents are no block of either, however many documents have both."""
+    docs = [(1, "alpha one two"), (2, "beta one two")] + [(k, "alpha one two\nbeta one two") for k in range(3, 3 + copies)]
+    rows = {r.doc_id: r.text for r in A.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == dict(docs)
+
+
 def test_copies_and_passages(spark):
     passage = "\n".join(" ".join(f"p{k}w{n}" for n in range(20)) for k in range(3))
     docs = [(5, passage), (1, f"first of all\n{passage}\nthe end of one"), (9, f"another\n{passage}"), (7, f"first of all\n{passage}\nthe end of one"), (7, f"first of all\n{passage}\nthe end of one")]

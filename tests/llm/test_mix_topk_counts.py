@@ -147,7 +147,7 @@ def test_trie_counts(spark, odd_docs, no_docs, monkeypatch):
     expected = {r.doc_id: sum(best_count(w.replace(" ", "▁"), pieces) for w in T.pre_tokens(r.text or "")) for r in odd_docs.collect() if len(r.text or "") < 1000}
     assert {r.doc_id: r.n_tokens for r in rows if r.doc_id in expected} == expected and len(rows) == odd_docs.count()
     assert T.count_tokens(no_docs, MODEL).count() == 0
-    assert "".join(T.pre_tokens("a  b\n c \n")) == " a  b\n c \n"
+    assert "".join(T.pre_tokens("a  b\n c \n")) == "▁a▁▁b\n▁c▁\n"
 
 
 def test_counts_query_equals_plain(spark):
