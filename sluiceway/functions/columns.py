@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,3 +22,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value worked out once: inside a lambda it is a variable, not a copied
     expression. For costly values that an expression uses several times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def hidden(value: str | bytes) -> Column:
+    """A constant that stands in no plan, and so in no explain output, event log or UI: it travels as the one row of a table
+    that a scalar subquery reads. For keys. Bind it to a column before use inside a lambda."""
+    return SparkSession.active().sql("SELECT v FROM VALUES (:v) AS t(v)", {"v": value}).scalar()

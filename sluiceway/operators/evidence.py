@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from sluiceway.functions.columns import bind
+from sluiceway.functions.columns import bind, hidden
 from sluiceway.functions.text import category_codes
 from sluiceway.operators.ordering import number_rows
 from sluiceway.policy import CATEGORY_NAMES
@@ -167,13 +167,13 @@ def manifest(records: DataFrame) -> DataFrame:
 
 
 def encrypt(body: Column, key: str) -> Column:
-    """Authenticated encryption under a key derived from a passphrase."""
-    return F.aes_encrypt(body, F.lit(hashlib.sha256(key.encode()).digest()), F.lit("GCM"))
+    """Authenticated encryption under a key derived from a passphrase. The key stands in no plan."""
+    return F.aes_encrypt(body, hidden(hashlib.sha256(key.encode()).digest()), F.lit("GCM"))
 
 
 def decrypt(sealed: Column, key: str) -> Column:
     """The body, or NULL for a wrong key or altered ciphertext."""
-    return F.try_aes_decrypt(sealed, F.lit(hashlib.sha256(key.encode()).digest()), F.lit("GCM")).cast("string")
+    return F.try_aes_decrypt(sealed, hidden(hashlib.sha256(key.encode()).digest()), F.lit("GCM")).cast("string")
 
 
 def handoff(record: DataFrame, key: str, fresh_key: str) -> DataFrame:
