@@ -6,11 +6,16 @@ by a keyed permutation of itself inside its own format, a Feistel network over i
 digits are set anew. So a pseudonym is again a valid value of the same look, equal values get equal pseudonyms in all documents whatever their
 spacing, and with the key the original can be had back (``reverse``).
 
-Only SQL functions are used, row by row: no shuffle, and texts without a digit or an at sign are not looked into.
+Only SQL functions are used, row by row: no shuffle, and texts without a digit or an at sign are not looked into. The key stands in no plan.
 
-Kinds: email (the part before the at sign), secret (a value with a digit after a word such as password), key (access key ids), iban, phone, ssn, ip,
-date (1900-01-01 to 2100-05-02), card. Slashed dates are read month first, or day first where that is no date. Values that fail
-validation stay as they are.
+Kinds: email (the part before the at sign), secret (a value with a digit after a word such as password, up to the next blank, quote, angle
+bracket or character that is not ASCII, without punctuation at its end), key (access key ids), iban, phone, ssn, ip, date (1900-01-01 to 2100-05-02), card. Slashed dates are read month first, or day first where that
+is no date. A run of digit groups is cut from its left into cards in the usual
+groups (4-4-4-4, 4-6-5, 4-6-4, or 13 to 19 digits in one) and the valid ones are replaced, whatever numbers stand before or behind them; a run without one is
+tried as a whole, and then at the other groups. A pseudonym in such a run may by chance make another cut valid, so only cards found at the first cut are
+sure to come back by ``reverse``;
+of an IBAN-like run the longest valid part from the left is replaced, so a word behind
+it does no harm. Values that fail validation stay as they are.
 
 Defined cases: a null text stays null, an empty one empty, without spans. Texts are searched whole. Repeated rows get equal results; an empty table an
 empty one. Input columns named like an output are replaced.
@@ -21,32 +26,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.functions.columns import bind, let
+from sluiceway.functions.columns import bind, hidden, let
 from sluiceway.llm.common import without
 
 ROUNDS = 10
 EACH = r"(?!^)(?!\z)"  # between any two characters
 DAYS = 270 * 271  # from 1900-01-01; a product of two near factors, so that days are two digits of a mixed base
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\x20\t]{0,4}+[=:][\x20\t]{0,4}+[\"']?+(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{6,}+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?+[\x20\t]*+[=:][\x20\t]*+[\"']?+(?=[!#-&(-/:;=?-_a-~]*+[0-9])[!#-&(-;=?-_a-~]{5,}[A-Za-z0-9_-]",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9])\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[\x20.-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|(?<![0-9.-])(?:1[\x20.-])?(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}(?![0-9./]?[0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9]|-[0-9])",
+    "card": r"(?<![0-9-])[0-9](?:(?:[\x20-](?![0-9]{1,2}[/.][0-9]{1,2}|[0-9]{3,4}-[0-9]{2}-[0-9]{2,4}(?![0-9-])))?[0-9]){12,}+",
 }
+# Cards as they are written inside longer runs of digits.
+GROUPED = r"(?<![0-9])(?:(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])|[0-9]{4}[\x20-]?[0-9]{6}[\x20-]?[0-9]{4,5}(?![0-9])|[0-9]{13,19}(?![0-9]))"
 
 
-def _hash(key: str, *parts: Column) -> Column:
+def _hash(key: Column, *parts: Column) -> Column:
     """A number below 2**48 from the key and the parts."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
+    digest = F.sha2(F.concat_ws("|", key, *[p.cast("string") for p in parts]), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
-def permute(values: Column, bases: Column, key: str, kind: str, reverse: bool = False) -> Column:
+def permute(values: Column, bases: Column, key: Column, kind: str, reverse: bool = False) -> Column:
     """Keyed permutation of an array of digits, ``values[i]`` below ``bases[i]``. The halves of the array change in turn,
     each digit by a hash of the other half, modulo its base."""
     half = F.floor(F.size(values) / 2).cast("int")
@@ -71,7 +78,7 @@ def _numbers(digits: Column) -> Column:
     return F.split(digits, EACH).cast("array<int>")
 
 
-def _permuted_digits(digits: Column, key: str, kind: str, reverse: bool) -> Column:
+def _permuted_digits(digits: Column, key: Column, kind: str, reverse: bool) -> Column:
     return let(_numbers(digits), lambda v: F.array_join(permute(v, F.transform(v, lambda _: F.lit(10)), key, kind, reverse).cast("array<string>"), ""))
 
 
@@ -81,7 +88,7 @@ def _refill(shape: Column, chars: str, filling: Column) -> Column:
     return F.array_join(F.transform(F.split(shape, EACH), lambda c, i: F.when(c.rlike(f"[{chars}]"), F.substring(filling, seen(i), F.lit(1))).otherwise(c)), "")
 
 
-def _permuted_chars(text: Column, key: str, kind: str, reverse: bool) -> Column:
+def _permuted_chars(text: Column, key: Column, kind: str, reverse: bool) -> Column:
     """Digits stay digits, small letters small letters, capitals capitals, other characters themselves; a secret of 16 and
     more hexadecimal digits stays one."""
     hexa = text.rlike("^[0-9a-f]{16,}$") if kind == "secret" else F.lit(False)
@@ -121,18 +128,31 @@ def _key(v, key, reverse):
 
 
 def _iban(v, key, reverse):
-    bare = F.replace(v, F.lit(" "), F.lit(""))
+    """The longest valid part that begins at the leftmost place where one begins; what stands around it stays."""
+    sound = lambda part: let(F.replace(part, F.lit(" "), F.lit("")), lambda b: F.substring(b, 3, 2) == iban_check(F.substring(b, F.lit(5), F.length(b)), F.substring(b, 1, 2)))
 
-    def build(b: Column) -> Column:
-        country, bban = F.substring(b, 1, 2), F.substring(b, F.lit(5), F.length(b))
-        fresh = let(_permuted_chars(bban, key, "iban", reverse), lambda p: F.concat(country, iban_check(p, country), p))
-        return F.when(F.substring(b, 3, 2) == iban_check(bban, country), _refill(v, "A-Z0-9", fresh))
+    def fresh(part: Column) -> Column:
+        def build(b: Column) -> Column:
+            country = F.substring(b, 1, 2)
+            return let(_permuted_chars(F.substring(b, F.lit(5), F.length(b)), key, "iban", reverse), lambda p: _refill(part, "A-Z0-9", F.concat(country, iban_check(p, country), p)))
+        return let(F.replace(part, F.lit(" "), F.lit("")), build)
 
-    return let(bare, build)
+    def parts(groups: Column) -> Column:
+        ends = lambda s: F.transform(F.sequence(F.size(groups), s, F.lit(-1)), lambda e: F.array_join(F.slice(groups, s, e - s + 1), " "))
+        starts = F.transform(groups, lambda g, i: F.when(g.rlike("^[A-Z]{2}[0-9]{2}"), ends(i + 1)).otherwise(F.array().cast("array<string>")))
+        return F.filter(F.flatten(starts), lambda part: (F.length(part) >= 12) & sound(part))
+
+    first = let(let(F.split(v, " "), parts), lambda found: F.get(found, F.lit(0)))
+    return let(first, lambda part: F.when(part.isNotNull(), _swapped(v, part, fresh(part))))
+
+
+def _swapped(text: Column, old: Column, new: Column) -> Column:
+    """``text`` with the first occurrence of ``old`` in it replaced."""
+    return let(F.instr(text, old), lambda n: F.concat(F.substring(text, F.lit(1), n - 1), new, F.substring(text, n + F.length(old), F.length(text))))
 
 
 def _phone(v, key, reverse):
-    code = F.regexp_extract(v, r"^(\+[0-9]{1,3}?)(?=[\x20.-]|\()", 1)
+    code = F.regexp_extract(v, r"^(\+[0-9]{1,3}?(?=[\x20.-]|\()|1[\x20.-])", 1)
     rest = F.substring(v, F.length(code) + 1, F.length(v))
     digits = F.regexp_replace(rest, "[^0-9]", "")
     return F.when(F.length(digits).between(7, 15), F.concat(code, _refill(rest, "0-9", _permuted_digits(digits, key, "phone", reverse))))
@@ -170,14 +190,23 @@ def _date(v, key, reverse):
 
 
 def _card(v, key, reverse):
-    digits = F.regexp_replace(v, "[^0-9]", "")
+    def digits(part: Column) -> Column:
+        return F.regexp_replace(part, "[^0-9]", "")
+
+    def sound(part: Column) -> Column:
+        return let(digits(part), lambda d: F.length(d).between(13, 19) & (F.substring(d, -1, 1) == luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1))))
 
-    def build(d: Column) -> Column:
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        fresh = let(_permuted_digits(body, key, "card", reverse), lambda p: F.concat(p, luhn_digit(p)))
-        return F.when(F.substring(d, -1, 1) == luhn_digit(body), _refill(v, "0-9", fresh))
+    def fresh(part: Column) -> Column:
+        body = let(digits(part), lambda d: F.substring(d, F.lit(1), F.length(d) - 1))
+        return let(_permuted_digits(body, key, "card", reverse), lambda p: _refill(part, "0-9", F.concat(p, luhn_digit(p))))
 
-    return let(digits, build)
+    between, cards = _parts(v, GROUPED)
+    fills = F.concat(F.transform(cards, lambda part: F.when(sound(part), fresh(part)).otherwise(part)), F.array(F.lit("")))
+    each = F.array_join(F.zip_with(between, fills, lambda a, b: F.concat(a, b)), "")
+    # Groups of four that are more than a card may begin with another number.
+    shifted = F.filter(F.regexp_extract_all(v, F.lit(f"(?=({GROUPED}))"), F.lit(1)), lambda part: (part != "") & sound(part))
+    other = lambda: let(F.get(shifted, F.lit(0)), lambda part: F.when(part.isNotNull(), _swapped(v, part, fresh(part))))
+    return F.when(F.exists(cards, sound), each).when(sound(v), fresh(v)).otherwise(other())
 
 
 MAKERS = {"email": _email, "secret": _secret, "key": _key, "iban": _iban, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date, "card": _card}
@@ -201,7 +230,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str
             # Look-arounds were checked in the text; here the match stands alone.
             fits = value.rlike(f"^(?:{PATTERNS[k]})$")
             kind = (F if kind is None else kind).when(fits, F.lit(k))
-            fresh = (F if fresh is None else fresh).when(fits, MAKERS[k](value, key, reverse))
+            fresh = (F if fresh is None else fresh).when(fits, MAKERS[k](value, F.col("_key"), reverse))
         return F.struct(kind.alias("kind"), fresh.alias("fresh"), value.alias("value"))
 
     def rebuilt(found: Column) -> Column:
@@ -213,5 +242,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", kinds: tuple[str
     none = F.struct(F.col(text).alias("text"), F.array().cast("array<struct<kind:string,pseudonym:string>>").alias("spans"))
     value = F.when(F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False)), let(F.transform(matches, judged), rebuilt)).otherwise(none)
     rows = without(docs, ("spans",))
-    done = bind(rows, "_done", value)
+    done = bind(rows.withColumn("_key", hidden(key)), "_done", value)
     return done.select(*[F.col("_done.text").alias(n) if n == text else F.col(f"`{n}`") for n in rows.columns], F.col("_done.spans").alias("spans"))
