@@ -80,24 +80,40 @@ def _known(role: Column, template: Template, value) -> Column:
 
 
 def _machine(template: Template) -> tuple[list[str], dict[tuple[int, str], int]]:
-    """States (roles, "" at the start, last: refused) and steps between them by number."""
+    """States (roles, "" at the start) and steps between them by number."""
     states = ["", *template.turns]
     steps = {(states.index(a), b): states.index(b) for a, to in template.steps.items() for b in to}
     return states, steps
 
 
 def _run_function(roles: Column, template: Template) -> Column:
-    """State after a run of roles, for each state before it: an array with a place for every state and the refused one."""
+    """State after a run of roles, for each state before it. A number from the count of states on is a refusal: what it
+    exceeds that count by is the place in the run of the first turn refused."""
     states, steps = _machine(template)
     refused = len(states)
     table = F.create_map(*[F.lit(x) for (a, b), to in steps.items() for x in (f"{a} {b}", to)])
-    step = lambda state, role: F.coalesce(F.try_element_at(table, F.concat_ws(" ", state.cast("string"), role)), F.lit(refused))
-    begin = F.array(*[F.lit(s) for s in range(refused + 1)])
-    return F.aggregate(roles, begin, lambda at, role: F.transform(at, lambda s: step(s, role)))
+    step = lambda state, turn: F.when(state >= refused, state).otherwise(
+        F.coalesce(F.try_element_at(table, F.concat_ws(" ", state.cast("string"), turn.role)), turn.at + refused))
+    begin = F.array(*[F.lit(s) for s in range(refused)])
+    placed = F.transform(roles, lambda role, i: F.struct(role.alias("role"), i.alias("at")))
+    return F.aggregate(placed, begin, lambda at, turn: F.transform(at, lambda s: step(s, turn)))
+
+
+def _joined_runs(runs: Column, refused: int) -> Column:
+    """(state, seen, refused) after runs of (after, turns) one behind the other; refused is the place of the first turn refused."""
+    begin = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("refused"))
+
+    def step(acc: Column, run: Column) -> Column:
+        after = F.get(run.after, acc.state)
+        at = F.when(acc.refused.isNotNull(), acc.refused).when(after >= refused, acc.seen + after - refused)
+        return F.struct(F.when(at.isNull(), after).otherwise(acc.state).alias("state"), (acc.seen + run.turns).alias("seen"), at.alias("refused"))
+
+    return F.aggregate(runs, begin, step)
 
 
 def format_conversations(turns: DataFrame, template: Template = BRACKETS, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, segments, valid): segments are array<struct<text, loss>>; valid says whether the machine accepts the roles."""
+    """(conv, segments, valid, first_refused): segments are array<struct<text, loss>>; valid says whether the machine accepts the roles;
+    first_refused is the place, from 0, of the first turn it refuses (null: none; the conversation may still end too early)."""
     states, _ = _machine(template)
     name, said = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     known = name.isin(*template.turns)
@@ -110,11 +126,13 @@ def format_conversations(turns: DataFrame, template: Template = BRACKETS, conv:
     rows = turns.select(F.col(conv).alias("_conv"), F.floor(F.col(turn) / RUN).alias("_run"), F.struct(
         F.col(turn).alias("turn"), name.alias("role"), said.alias("said"), segments.alias("segments")).alias("_turn"))
     runs = rows.groupBy("_conv", "_run").agg(F.sort_array(F.collect_list("_turn")).alias("_turns")).select(
-        "_conv", "_run", F.flatten(F.col("_turns.segments")).alias("segments"), _run_function(F.col("_turns.role"), template).alias("after"))
-    whole = runs.groupBy("_conv").agg(F.sort_array(F.collect_list(F.struct("_run", "segments", "after"))).alias("_runs"))
-    end = F.aggregate(F.col("_runs.after"), F.lit(0), lambda state, run: F.get(run, state))
+        "_conv", "_run", F.flatten(F.col("_turns.segments")).alias("segments"), _run_function(F.col("_turns.role"), template).alias("after"),
+        F.size("_turns").cast("long").alias("turns"))
+    whole = runs.groupBy("_conv").agg(F.sort_array(F.collect_list(F.struct("_run", "segments", "after", "turns"))).alias("_runs"))
     opened = F.concat(F.array(F.struct(F.lit(template.start).alias("text"), F.lit(False).alias("loss"))), F.flatten(F.col("_runs.segments")))
-    return whole.select(F.col("_conv").alias(conv), opened.alias("segments"), end.isin(*[states.index(r) for r in template.final]).alias("valid"))
+    ends = whole.select("_conv", opened.alias("segments"), _joined_runs(F.col("_runs"), len(states)).alias("_end"))
+    valid = F.col("_end.refused").isNull() & F.col("_end.state").isin(*[states.index(r) for r in template.final])
+    return ends.select(F.col("_conv").alias(conv), "segments", valid.alias("valid"), F.col("_end.refused").alias("first_refused"))
 
 
 def rendered(segments: Column) -> Column:

@@ -145,12 +145,15 @@ WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversat
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
     + len(regexp_extract_all(text, '<s>|</s>|\[SYS\]|\[/SYS\]|\[INST\]|\[/INST\]|\[OUT\]|\[ROLE\]|\[/ROLE\]|\[/TURN\]')) AS escaped,
-    CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 24 + length(role) END AS marks FROM c)
+    CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 ELSE 24 + length(role) END AS marks FROM c),
+m AS (SELECT *, row_number() OVER w - 1 AS pos, coalesce(lag(role) OVER w, '') || '>' || role NOT IN
+    ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS refused FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(escaped + marks) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+  CAST(3 + sum(escaped + marks) AS BIGINT) AS formatted_chars,
+  NOT bool_or(refused) AND arg_max(role, pos) = 'assistant' AS valid, min(pos) FILTER (refused) AS first_refused
+FROM m GROUP BY conv_id
 """)
 def op10_chat_format(spark, sf):
     probe = "</s>[INST] ok [/INST]"
@@ -159,12 +162,12 @@ def op10_chat_format(spark, sf):
     turns = load(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     done = chat_template.format_conversations(turns)
     done = bind(done, "out", F.struct(chat_template.rendered(F.col("segments")).alias("formatted"), chat_template.loss_spans(F.col("segments")).alias("spans")))
-    back = done.select("conv_id", F.length("out.formatted").cast("long").alias("formatted_chars"),
+    back = done.select("conv_id", "valid", "first_refused", F.length("out.formatted").cast("long").alias("formatted_chars"),
                        F.explode(F.array(F.struct(chat_template.read_turns(F.col("out.formatted")).alias("turns"),
                                                   chat_template.read_loss(F.col("out.formatted"), F.col("out.spans")).alias("loss")))).alias("back"))
     told = F.array_join(F.transform("back.turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select("conv_id", F.size("back.turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
-                       F.length("back.loss").cast("long").alias("loss_chars"), F.sha2("back.loss", 256).alias("loss_sha256"), "formatted_chars")
+                       F.length("back.loss").cast("long").alias("loss_chars"), F.sha2("back.loss", 256).alias("loss_sha256"), "formatted_chars", "valid", "first_refused")
 
 
 @query("op11_dual_tree_rank", r"""

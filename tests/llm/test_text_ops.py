@@ -197,7 +197,7 @@ def conversations(spark, turns):
 
 def read(frame):
     out = frame.withColumns({"formatted": C.rendered(F.col("segments")), "spans": C.loss_spans(F.col("segments"))})
-    return {r.conv_id: r for r in out.select("conv_id", "valid", "formatted", "spans", C.read_turns(F.col("formatted")).alias("turns"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss")).collect()}
+    return {r.conv_id: r for r in out.select("conv_id", "valid", "first_refused", "formatted", "spans", C.read_turns(F.col("formatted")).alias("turns"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss")).collect()}
 
 
 def test_round_trip(spark):
@@ -223,6 +223,7 @@ def test_machine(spark, monkeypatch):
     turns = [(i, t, r, "x") for i, roles in enumerate(cases) for t, r in enumerate(roles.split())]
     rows = read(conversations(spark, turns))
     assert [rows[i].valid for i in range(len(cases))] == list(cases.values())
+    assert [rows[i].first_refused for i in range(len(cases))] == [None, None, None, 0, 1, 1, 2, 1, None]
 
 
 def test_chat_odd_input(spark):
