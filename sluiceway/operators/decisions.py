@@ -1,11 +1,11 @@
-"""From hits and verdicts to one fail-closed decision per request."""
+"""From hits and verdicts to one fail-closed decision per request and per response."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.requests import chunk_count
+from sluiceway.operators.requests import chunk_count, has_text
 
 MAX_CHUNKS = 100  # fixed value: classifier calls a request may need
 # Refusal reason -> (status, code).
@@ -79,3 +79,39 @@ def decide_requests(requests: DataFrame, key: str, texts: DataFrame, hits: DataF
     out = joined.select(key, reason.alias("reason"))
     status, code = outcome_of(F.col("reason"))
     return out.withColumn("status", status).withColumn("code", code)
+
+
+TOO_LONG = "OUTPUT_TOO_LONG_FOR_GUARD"  # fixed value: the code of a response that needs too many classifier calls
+
+
+def decide_outputs(responses: DataFrame, key: str, texts: DataFrame, hits: DataFrame, verdicts: DataFrame, over: DataFrame, unreadable: DataFrame,
+                   max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """(key, reason, status, code, codes) of every response, the first of these that holds: it is over the size caps (``over``); it cannot be
+    read; it has no text, and passes; a text hits a list; it needs over ``max_chunks`` classifier calls; its verdict, where a missing one withholds.
+
+    ``texts``: (key, text) of what the response says, decoded fragments included. ``hits`` and ``verdicts``: one row per hit or judged response. All sides
+    become facts of one table, combined map-side in one aggregate, so no side is joined. Rows of keys that are no response have no effect.
+    """
+    fields = {"response": "boolean", "over": "boolean", "broken": "boolean", "chars": "long", "list": "string",
+              "judged": "struct<refused:boolean, reason:string, codes:array<string>>"}
+
+    def facts(rows: DataFrame, **given: Column) -> DataFrame:
+        return rows.select(key, *[given.get(name, F.lit(None)).cast(kind).alias(f"_{name}") for name, kind in fields.items()])
+
+    yes = F.lit(True)
+    sized = texts.where(has_text(F.col("text"))).groupBy(key).agg((F.sum(F.length("text") + 1) - 1).alias("_n"))
+    sides = [facts(responses, response=yes), facts(over, over=yes), facts(unreadable, broken=yes), facts(sized, chars=F.col("_n")),
+             facts(hits, list=F.col("list")), facts(verdicts, judged=F.struct("refused", "reason", "codes"))]
+    known = sides[0]
+    for side in sides[1:]:
+        known = known.unionByName(side)
+    each = known.groupBy(key).agg(*[F.max(f"_{name}").alias(f"_{name}") for name in fields]).where("_response")
+    too_long = chunk_count(F.col("_chars")) > max_chunks
+    reason = (
+        F.when(F.col("_over"), "output_buffer_cap").when(F.col("_broken"), "extraction_failure").when(F.col("_chars").isNull(), F.lit(None).cast("string"))
+        .when(F.col("_list").isNotNull(), F.concat(F.lit("regex:"), "_list")).when(too_long, "classifier")
+        .when(F.coalesce("_judged.refused", yes), F.coalesce("_judged.reason", F.lit("guard_unavailable")))
+    )
+    codes = F.when(F.col("reason") == "classifier", F.when(too_long, F.array(F.lit(TOO_LONG))).otherwise(F.col("_judged.codes")))
+    status, code = outcome_of(F.col("reason"))
+    return each.withColumn("reason", reason).select(key, "reason", status.alias("status"), code.alias("code"), codes.alias("codes"))

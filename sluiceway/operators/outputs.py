@@ -28,16 +28,21 @@ def response_texts(responses: DataFrame) -> DataFrame:
     return parts.where(F.length("text") > 0)
 
 
-def over_caps(pieces: DataFrame, key: str = "call_id", text: str = "piece") -> DataFrame:
+def unreadable(responses: DataFrame) -> DataFrame:
+    """Responses whose choices are no readable JSON. They are withheld (extraction_failure), never passed."""
+    return responses.where(F.col("choices_json").isNotNull() & F.try_parse_json("choices_json").isNull())
+
+
+def over_caps(pieces: DataFrame, key: str = "call_id", text: str = "piece", max_chars: int = MAX_OUTPUT_CHARS, max_chunks: int = MAX_OUTPUT_CHUNKS) -> DataFrame:
     """Calls over the size caps, which are refused (output_buffer_cap), from counts and lengths alone (combined map-side)."""
     return pieces.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length(text)).alias("chars")).where(
-        (F.col("chars") > MAX_OUTPUT_CHARS) | (F.col("chunks") > MAX_OUTPUT_CHUNKS)
+        (F.col("chars") > max_chars) | (F.col("chunks") > max_chunks)
     )
 
 
 def assemble(pieces: DataFrame, group: list[str], order: str, text: str = "piece", separator: str = "") -> DataFrame:
     """Pieces joined in order per group, whatever their number: a group is one text in the end. Whether a call is over the
-    size caps, and so withheld, is a decision of its own (``over_caps``)."""
+    size caps, and so withheld, is decided by ``decisions.decide_outputs`` with ``over_caps``."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(text).alias("piece"))))
     return pieces.groupBy(*group).agg(ordered.alias("p")).select(
         *group, F.array_join(F.transform("p", lambda x: x["piece"]), separator).alias("text"), F.size("p").alias("pieces")

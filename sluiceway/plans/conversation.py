@@ -190,3 +190,31 @@ def response_texts(spark, sf):
     rows = turns(spark, sf).where("role = 'assistant'")
     responses = rows.select(F.struct("call_id", "idx").alias("call_id"), F.to_json(F.array(choice)).alias("choices_json"))
     return outputs.response_texts(responses).select("call_id.call_id", F.col("call_id.idx").alias("choice"), "field", F.sha2("text", 256).alias("digest"))
+
+
+OUTPUT_CHARS = 1500  # cap on a response in the query below, so that the fixture has responses over it
+
+
+@query("output_decision", f"""
+WITH {_hits_sql(tripwires.OUTPUT_LISTS, "(SELECT conv_id * 1000 + turn AS msg, text FROM conversations WHERE role = 'assistant')", "msg")}, {VERDICT_SQL},
+j AS (SELECT conv_id * 1000 + turn AS call_id, length(c.text) AS n, regexp_matches(c.text, '\\S') AS has_text, list, raw, regexp_extract(raw, 'S\\d+') AS s
+  FROM conversations c LEFT JOIN hits ON msg = conv_id * 1000 + turn LEFT JOIN raw ON raw.doc_id = conv_id WHERE role = 'assistant'),
+d AS (SELECT call_id, s, CASE WHEN n > {OUTPUT_CHARS} THEN 'output_buffer_cap' WHEN call_id % 7 = 3 THEN 'extraction_failure' WHEN NOT has_text THEN 'pass'
+  WHEN list IS NOT NULL THEN 'regex:' || list WHEN raw IS NULL THEN 'guard_unavailable' WHEN s IN {BLOCKED_SQL} THEN 'classifier' ELSE 'pass' END AS reason FROM j)
+SELECT call_id, reason, CAST(CASE reason WHEN 'pass' THEN 200 WHEN 'extraction_failure' THEN 500 WHEN 'guard_unavailable' THEN 503 ELSE 400 END AS INTEGER) AS status,
+  CASE WHEN reason = 'classifier' THEN s ELSE '' END AS codes FROM d""")
+def output_decision(spark, sf):
+    """One decision per answer: nested responses, every seventh of them cut off, with the label of the conversation as the
+    classifier's answer and the streamed pieces for the size caps."""
+    said = turns(spark, sf).where("role = 'assistant'").withColumn("conv", F.col("call_id")).withColumn("call_id", F.col("conv") * 1000 + F.col("idx"))
+    document = F.to_json(F.array(F.struct(F.lit(0).alias("index"), F.struct(F.col("text").alias("content")).alias("message"))))
+    cut_off = F.when(F.col("call_id") % 7 == 3, F.substring(document, F.lit(1), F.length(document) - 1)).otherwise(document)
+    responses = said.select("call_id", cut_off.alias("choices_json"))
+    texts = requests.with_decoded(outputs.response_texts(responses).withColumn("rank", F.struct("choice", "field")))
+    norm = bind(texts.where(requests.has_text(F.col("text"))), "norm", normalise(F.col("text")))
+    hits = tripwires.first_hit(tripwires.scan(norm, "norm", tripwires.OUTPUT_LISTS, policy().extra_patterns), "call_id", "text_rank")
+    over = outputs.over_caps(stream_pieces(said), max_chars=OUTPUT_CHARS)
+    answers = parsed_verdicts(spark, sf).select(F.col("doc_id").alias("conv"), F.lit(0).alias("chunk_idx"), "v").join(said.select("conv", "call_id"), "conv")
+    judged = verdicts.request_verdict(answers, "call_id", "chunk_idx", "v", policy())
+    out = decisions.decide_outputs(responses, "call_id", texts, hits, judged, over, outputs.unreadable(responses))
+    return out.select("call_id", F.coalesce("reason", F.lit("pass")).alias("reason"), "status", F.array_join(F.coalesce("codes", F.array().cast("array<string>")), ",").alias("codes"))

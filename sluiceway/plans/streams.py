@@ -20,14 +20,25 @@ def _schema(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
-@query("stream_alerts", f"""WITH {VETOES_SQL}
+_ALERTS_SQL = f"""WITH {VETOES_SQL}
 SELECT call_id, '[veto] pre_call ' || reason || ' ' || substr(replace(detail, chr(10), '\\n'), 1, 120) || ' key=' || key_alias || ' model=' || model || ' at ' || substr(ts, 1, 19) AS alert
-FROM flags WHERE {ALERT_SQL}""")
+FROM flags WHERE {ALERT_SQL}"""
+
+
+@query("stream_alerts", _ALERTS_SQL)
 def stream_alerts(spark, sf):
     log = audit.records(vetoes(runner.follow_table(spark, sf, "events")), policy())
     return runner.run(spark, lambda out, ckpt: runner.to_table(jobs.alert_stream(log), out, ckpt), _schema("call_id STRING, alert STRING"))
 
 
+@query("stream_alerts_once", _ALERTS_SQL)
+def stream_alerts_once(spark, sf):
+    """Every file is delivered twice; the alerts are those of one delivery."""
+    twice = runner.follow_table(spark, sf, "events").unionByName(runner.follow_table(spark, sf, "events"))
+    log = audit.records(vetoes(twice), policy())
+    return runner.run(spark, lambda out, ckpt: runner.to_table(jobs.alerts_once(log), out, ckpt), _schema("call_id STRING, alert STRING"))
+
+
 @query("stream_scan", f"WITH {_hits_sql(REQUEST_LISTS)} SELECT CAST(doc_id AS VARCHAR) AS call_id, 'regex:' || list AS reason, pattern, span FROM hits")
 def stream_scan(spark, sf):
     texts = runner.follow_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("call_id"), "text")

@@ -24,6 +24,17 @@ def alert_stream(log: DataFrame) -> DataFrame:
     return audit.alerts(log)
 
 
+def alerts_once(log: DataFrame, late: str = "7 days") -> DataFrame:
+    """Alert texts of a log whose files may come more than once: one alert for each call, stage and reason.
+
+    Spark keeps the keys of alert-worthy records alone, and drops each after ``late`` past its time; ``late`` is also how far
+    behind the newest record one may come and still alert. A record without a readable time always alerts.
+    """
+    timed = log.where(audit.is_alert(F.col("reason"), F.col("detail"))).withColumn("_at", F.col("ts").try_cast("timestamp"))
+    once = timed.where("_at IS NOT NULL").withWatermark("_at", late).dropDuplicatesWithinWatermark(["call_id", "stage", "reason"])
+    return audit.alerts(once.drop("_at").unionByName(timed.where("_at IS NULL").drop("_at")))
+
+
 def scan_texts(texts: DataFrame, policy: Policy, lists: tuple[str, ...] = tripwires.REQUEST_LISTS) -> DataFrame:
     """Veto rows of ``(call_id, text)``."""
     if not policy.document["tripwires"]["enabled"]:

@@ -107,3 +107,23 @@ def test_phrase_join(spark):
     phrases = spark.createDataFrame([(10, "b c d"), (11, "d e f")], "pid int, phrase string")
     got = sorted((r.pid, r.id) for r in tripwires.phrase_join(texts, "id", "norm", phrases, "pid", "phrase", 3).collect())
     assert got == [(10, 1), (10, 2)]
+
+
+def test_output_decisions(spark):
+    """The first reason that holds, for every reason; nothing unjudged passes, and sides without their response add no row."""
+    def rows(data, schema):
+        return spark.createDataFrame(data, schema)
+
+    names = ["big", "broken", "silent", "hit", "long", "blocked", "failed", "unjudged", "fine", "fine"]
+    texts = [(n, "x") for n in ("big", "hit", "blocked", "failed", "unjudged", "fine")] + [("long", "x" * 20_000), ("silent", " \n"), ("other", "x")]
+    out = decisions.decide_outputs(
+        rows([(n,) for n in names], "call string"), "call", rows(texts, "call string, text string"), rows([("hit", "csam"), ("big", "csam"), ("broken", "csam")], "call string, list string"),
+        rows([("blocked", True, "classifier", ["S1"]), ("failed", True, "guard_verdict_unparseable", []), ("fine", False, None, []), ("long", False, None, []), ("hit", False, None, [])],
+             "call string, refused boolean, reason string, codes array<string>"),
+        rows([("big",), ("nobody",)], "call string"), rows([("broken",)], "call string"), max_chunks=2)
+    got = {r["call"]: (r.reason, r.status, r.codes) for r in out.collect()}
+    assert got == {
+        "big": ("output_buffer_cap", 400, None), "broken": ("extraction_failure", 500, None), "silent": (None, 200, None), "hit": ("regex:csam", 400, None),
+        "long": ("classifier", 400, [decisions.TOO_LONG]), "blocked": ("classifier", 400, ["S1"]), "failed": ("guard_verdict_unparseable", 503, None),
+        "unjudged": ("guard_unavailable", 503, None), "fine": (None, 200, None)}
+    assert out.count() == len(set(names))

@@ -204,3 +204,16 @@ def test_late_chunk_after_time_out(spark):
     state = State()
     assert [r["reason"] for r in feed(state, chunk("c", 0, "a", True))] == [None] and state.ms == 5000
     assert feed(state, chunk("c", 1, "late", True)) == [] and expire(state) == [] and not state.exists
+
+
+def test_alerts_once(spark, tmp_path):
+    """Files come again in later micro-batches; late records alert, old copies do not, and a record without a time always does."""
+    def record(call, ts, reason="regex:csam"):
+        return {"ts": ts, "stage": "pre_call", "reason": reason, "detail": "p", "call_id": call, "model": "m", "key_alias": "k"}
+
+    first = [record("a", "2024-05-01T10:00:00+00:00"), record("b", "2024-05-01T11:00:00+00:00"), record("a", "2024-05-01T10:00:00+00:00")]
+    second = [record("c", "2024-05-03T10:00:00+00:00"), record("late", "2024-05-01T09:00:00+00:00"), record("a", "2024-05-01T10:00:00+00:00", "guard_unavailable")]
+    write_files(tmp_path / "log", [first, second, first, second, [record("untimed", "soon")], [record("quiet", "2024-05-03T10:00:00+00:00", "regex:sentinel")]])
+    stream = runner.follow_log(spark, str(tmp_path / "log"), VETO_AUDIT, files_per_trigger=1)
+    got = runner.run(spark, lambda out, ckpt: runner.to_table(jobs.alerts_once(stream), out, ckpt), _parse_datatype_string("call_id string, alert string"))
+    assert sorted(r.call_id for r in got.collect()) == ["a", "a", "b", "c", "late", "untimed"]
