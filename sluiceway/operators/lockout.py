@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.ordering import bucket_so_far, trailing, with_lookback
+from sluiceway.operators.ordering import running, slices
 
 # Fixed values: (failures, seconds) per account and per address.
 ACCOUNT_LIMIT = (5, 300)
@@ -17,19 +17,23 @@ def failure_counts(attempts: DataFrame, key: str, limit: int, seconds: int, clea
     """Failures in the trailing window at every failure, and whether the key is then locked.
 
     ``attempts`` is ``(key, ts_us, failed)``. A success clears what came before it (account keys
-    do, address keys do not). Attempts at one instant are merged map-side, and keys are cut into
-    window-long time buckets, so a key under attack is spread over many tasks.
+    do, address keys do not). Attempts at one instant are merged map-side. Every failure counts once more, negatively,
+    at the instant it leaves the window, so the count in the window is a running sum, and running sums are taken over slices
+    of like size: a key under attack spreads over many tasks, also when all its attempts lie in one window.
     """
-    span = seconds * US
     merged = attempts.groupBy(key, "ts_us").agg(
         F.count_if(F.col("failed")).alias("n"), F.bool_or(~F.col("failed")).alias("success")
     )
-    rows = with_lookback(merged, "ts_us", span)
-    so_far = bucket_so_far(key, "ts_us")
-    counted = rows.withColumn("seen", F.sum("n").over(so_far)).withColumn("recent", F.sum("n").over(trailing(key, "ts_us", span)))
-    cleared = F.coalesce(F.max(F.when(F.col("success"), F.col("seen"))).over(so_far), F.lit(0)) if clear_on_success else F.lit(0)
-    failures = F.least(F.col("recent"), F.col("seen") - F.col("cleared"))
+    leaving = merged.where("n > 0").select(
+        key, (F.col("ts_us") + seconds * US).alias("ts_us"), (-F.col("n")).alias("n"), F.lit(None).cast("boolean").alias("success")
+    )
+    counted = running(slices(merged.unionByName(leaving), key, "ts_us"), key, "ts_us", F.col("n"), "recent")
+    if clear_on_success:
+        counted = running(counted, key, "ts_us", F.greatest("n", F.lit(0)), "seen")
+        counted = running(counted, key, "ts_us", F.when(F.col("success"), F.col("seen")), "cleared", "max")
+        failures = F.least(F.col("recent"), F.col("seen") - F.coalesce("cleared", F.lit(0)))
+    else:
+        failures = F.col("recent")
     return (
-        counted.withColumn("cleared", cleared).where("_home AND n > 0")
-        .select(key, "ts_us", failures.alias("failures"), (failures >= limit).alias("locked"))
+        counted.where("n > 0").select(key, "ts_us", failures.alias("failures"), (failures >= limit).alias("locked"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.operators.ordering import trailing, with_lookback
+from sluiceway.operators.ordering import previous, running, slices
 
 US = 1_000_000
 # Colour bands of a percentage.
@@ -36,20 +36,28 @@ def on_grid(samples: DataFrame, end_us: int, minutes: int = 60, step: int = 30,
 
 def counter_rates(samples: DataFrame, seconds: int = 120, series: str = "series") -> DataFrame:
     """Per-second rate of a counter over the trailing window, at every sample with an earlier one
-    in its window. A drop is a reset: the counter restarted from zero."""
+    in its window. A drop is a reset: the counter restarted from zero. Samples at one instant count in the order of their values.
+
+    Growth since the series began is a running sum. Where a sample's window starts is looked up as of that time: every sample
+    asks at the start of its window for the first sample after it. Walking backwards in time that is the newest least sample,
+    a running minimum over samples and questions together. Both run over slices of like size, so neither a hot series nor a
+    burst within one window ends up in one task.
+    """
     span = seconds * US
-    rows = with_lookback(samples, "ts_us", span)
-    previous = F.lag("value").over(Window.partitionBy(series, "_bucket").orderBy("ts_us", "value"))
-    step = F.when(F.col("value") < previous, F.col("value")).otherwise(F.coalesce(F.col("value") - previous, F.lit(0)))
-    window = trailing(series, "ts_us", span)
-    stepped = rows.withColumn("step", step)
-    # Steps inside the window: all but the one that leads into its first sample.
-    grown = F.sum("step").over(window) - F.first("step").over(window)
-    elapsed = F.col("ts_us") - F.first("ts_us").over(window)
-    return (
-        stepped.withColumns({"grown": grown, "elapsed": elapsed}).where("_home AND elapsed > 0")
-        .select(series, "ts_us", (F.col("grown").cast("double") * US / F.col("elapsed")).alias("rate"))
-    )
+    instants = samples.groupBy(series, "ts_us").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("n"))
+    known = previous(slices(instants, series, "ts_us"), series, "ts_us", "high", "before")
+    step = F.when(F.col("low") < F.col("before"), F.col("low")).otherwise(F.coalesce(F.col("low") - F.col("before"), F.lit(0)))
+    grown = running(known.withColumn("step", step), series, "ts_us", F.col("step") + F.col("high") - F.col("low"), "total").drop("_part")
+    # The growth up to an instant's first sample, and up to its last.
+    moments = grown.select(series, "ts_us", "n", "total", (F.col("total") - (F.col("high") - F.col("low"))).alias("opening"))
+    roles = F.array(F.struct((F.col("ts_us") * -2 + 1).alias("at"), F.lit(False).alias("asks")),
+                    F.struct(((F.col("ts_us") - span) * -2).alias("at"), F.lit(True).alias("asks")))
+    both = moments.withColumn("role", F.explode(roles)).select("*", "role.at", "role.asks").drop("role")
+    sample = F.when(~F.col("asks"), F.struct("ts_us", "opening"))
+    answered = running(slices(both, series, "at"), series, "at", sample, "first", "min").where("asks")
+    elapsed = F.col("ts_us") - F.col("first.ts_us")
+    rate = (F.col("total") - F.col("first.opening")).cast("double") * US / elapsed
+    return answered.where(elapsed > 0).select(series, "ts_us", rate.alias("rate"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))).drop("col")
 
 
 def busy(rates: DataFrame, series: str = "series") -> DataFrame:

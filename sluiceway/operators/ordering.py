@@ -6,6 +6,8 @@ position or time first and carry only small per-piece summaries across the piece
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +50,50 @@ def running_sum(rows: DataFrame, group: str, at: str, value: str, into: str, buc
     return summed.join(carried, [group, "_b"]).withColumn(into, F.col("_carry") + F.col("_inside")).drop("_b", "_carry", "_inside")
 
 
-def with_lookback(rows: DataFrame, at: str, span: int) -> DataFrame:
-    """Rows copied into the time bucket after their own, so that a trailing window of ``span``
-    positions never looks past its bucket. Partition by the group and ``_bucket``; keep ``_home``."""
-    own = F.floor(F.col(at) / span)
-    copies = F.array(F.struct(own.alias("b"), F.lit(True).alias("h")), F.struct((own + 1).alias("b"), F.lit(False).alias("h")))
-    return rows.withColumn("_c", F.explode(copies)).withColumns({"_bucket": F.col("_c.b"), "_home": F.col("_c.h")}).drop("_c")
+def slices(rows: DataFrame, group: str, at: str) -> DataFrame:
+    """Rows range-partitioned by group and position, with their partition as ``_part``, materialised once.
 
+    A slice is what one partition holds of one group. Partitions are cut by a sample of the rows, so they are of like size
+    however the rows lie over the groups and however densely over the positions; rows at one position of a group stay together.
+    """
+    placed = cut(rows.repartitionByRange(group, at).withColumn("_part", F.spark_partition_id()))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionById(parts, F.col("_part"))
 
-def trailing(group: str, at: str, span: int) -> "Window":
-    """Window of the last ``span`` positions, for rows prepared by ``with_lookback``."""
-    return Window.partitionBy(group, "_bucket").orderBy(at).rangeBetween(-(span - 1), 0)
 
+def _with_carry(sliced: DataFrame, group: str, total: Column, combine: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``_carry``: ``combine`` of the totals of the group's earlier slices, NULL in its first slice.
 
-def bucket_so_far(group: str, at: str) -> "Window":
-    return Window.partitionBy(group, "_bucket").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    A partition continues at most one group from the one before it, so there is at most one carry for each partition: bounded by
+    spark.sql.shuffle.partitions, safe to broadcast.
+    """
+    totals = sliced.groupBy("_part", group).agg(total.alias("_total"))
+    earlier = Window.partitionBy(group).orderBy("_part")
+    before = combine(F.col("_total")).over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    carries = totals.select(
+        F.col("_part").alias("_p"), F.col(group).alias("_g"), before.alias("_carry"), F.row_number().over(earlier).alias("_n")
+    ).where("_n > 1").drop("_n")
+    same = (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g"))
+    return sliced.join(F.broadcast(carries), same, "left").drop("_p", "_g")
+
+
+def running(sliced: DataFrame, group: str, at: str, value: Column, into: str, how: str = "sum") -> DataFrame:
+    """Sum, least or greatest ``value`` of a group's rows up to and including each position. Rows without a value add
+    nothing; before the first value the result is NULL."""
+    combine = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    valued = sliced.withColumn("_value", value)
+    inside = combine("_value").over(Window.partitionBy("_part", group).orderBy(at).rangeBetween(Window.unboundedPreceding, 0))
+    summed = _with_carry(valued, group, combine("_value"), combine).withColumn("_inside", inside)
+    if how == "sum":
+        both = F.coalesce(F.col("_carry") + F.col("_inside"), "_carry", "_inside")
+    else:
+        both = (F.least if how == "min" else F.greatest)("_carry", "_inside")
+    return summed.withColumn(into, both).drop("_value", "_carry", "_inside")
+
+
+def previous(sliced: DataFrame, group: str, at: str, value: str, into: str) -> DataFrame:
+    """``value`` of the row before each row of its group; positions must be unique in a group."""
+    newest = F.max(F.struct(at, F.col(value).alias("v")))
+    before = F.lag(F.struct(at, F.col(value).alias("v"))).over(Window.partitionBy("_part", group).orderBy(at))
+    carried = _with_carry(sliced, group, newest, F.max).withColumn("_before", before)
+    return carried.withColumn(into, F.coalesce("_before", "_carry")["v"]).drop("_carry", "_before")

@@ -88,3 +88,58 @@ def test_bands_scaling_ratio(spark):
     assert sorted(r.scaled for r in metrics.scaled(samples, top=2).collect()) == [0.0, 0.0, 1.0]
     pairs = spark.createDataFrame([("a", "u", 1, 3.0), ("a", "f", 1, 1.0), ("b", "u", 1, 0.0), ("b", "f", 1, 0.0), ("c", "u", 1, 1.0)], "series string, metric string, ts_us long, value double")
     assert sorted((r.series, r.percent) for r in metrics.ratio(pairs, "u", "f").collect()) == [("a", 75.0), ("b", 0.0)]
+
+
+def burst(n=4000, seed=11):
+    """90 % of the rows are one key's, all inside one window."""
+    rng = random.Random(seed)
+    hot = [("hot", 10_000 * SECOND + t * 10_000, rng.randint(0, 9)) for t in rng.sample(range(5000), n * 9 // 10)]
+    return hot + [(f"k{i % 37}", rng.randrange(20_000) * SECOND, rng.randint(0, 9)) for i in range(n // 10)]
+
+
+def test_one_key_in_one_window_spreads(spark):
+    frame = spark.createDataFrame(burst(), "k string, at long, v long").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a table this small would be one partition
+    try:
+        sliced = ordering.slices(frame, "k", "at")
+        plan = ordering.running(sliced, "k", "at", F.col("v"), "s")._jdf.queryExecution().executedPlan().toString()
+        tasks = [len(part) for part in sliced.rdd.glom().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(tasks) == 4 and sum(tasks) == 4000 and max(tasks) < 2 * sum(tasks) / 4
+    # The window runs on the slices where they lie: only their totals are hashed by key.
+    assert "hashpartitioning(_part" not in plan and plan.count("hashpartitioning(k") == 1
+
+
+def test_running_extremes_and_previous(spark):
+    rows = [(None if k == "a" else k, t, None if v % 4 == 0 else v) for k, t, v in hot_samples()]
+    sliced = ordering.slices(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at")
+    for how, pick in (("sum", sum), ("min", min), ("max", max)):
+        got = {(r.k, r.at): r.s for r in ordering.running(sliced, "k", "at", F.col("v"), "s", how).collect()}
+        inside = {(k, t): [v2 for k2, t2, v2 in rows if k2 == k and t2 <= t and v2 is not None] for k, t, _ in rows}
+        assert got == {key: pick(values) if values else None for key, values in inside.items()}
+    got = {(r.k, r.at): r.p for r in ordering.previous(sliced, "k", "at", "v", "p").collect()}
+    before = {(k, t): max(((t2, v2) for k2, t2, v2 in rows if k2 == k and t2 < t), default=(0, None), key=lambda x: x[0])[1] for k, t, _ in rows}
+    assert got == before
+
+
+def test_burst_rates_and_lockouts(spark):
+    rows = burst(600)
+    attempts = [(k, t, v % 5 != 0) for k, t, v in rows]
+    frame = spark.createDataFrame(attempts, "k string, ts_us long, failed boolean")
+    got = {(r.k, r.ts_us): r.failures for r in lockout.failure_counts(frame, "k", 5, 20).collect()}
+    assert got == brute_failures(attempts, 20 * SECOND, True)
+    samples = [(k, t - t % (SECOND // 2), v) for k, t, v in rows]  # several samples at one instant
+    got = sorted((r.series, r.ts_us, r.rate) for r in metrics.counter_rates(spark.createDataFrame(samples, "series string, ts_us long, value long"), 20).collect())
+    expected = []
+    for key, at, _ in samples:
+        inside = sorted((t, v) for k, t, v in samples if k == key and at - 20 * SECOND < t <= at)
+        if inside[-1][0] > inside[0][0]:
+            grown = sum(v if v < before else v - before for (_, before), (_, v) in zip(inside, inside[1:]))
+            expected.append((key, at, grown * 1_000_000 / (inside[-1][0] - inside[0][0])))
+    assert got == sorted(expected)
+
+
+def test_nothing_to_order(spark):
+    assert metrics.counter_rates(spark.createDataFrame([], "series string, ts_us long, value long"), 20).count() == 0
+    assert lockout.failure_counts(spark.createDataFrame([], "k string, ts_us long, failed boolean"), "k", 5, 20).count() == 0
