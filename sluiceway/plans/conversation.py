@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions import json_text
 from sluiceway.functions.columns import bind
 from sluiceway.functions.text import normalise
-from sluiceway.operators import decisions, outputs, requests, tripwires, verdicts
+from sluiceway.operators import decisions, json_tree, outputs, requests, tripwires, verdicts
 from sluiceway.plans.registry import query
 from sluiceway.plans.texts import BLOCKED_SQL, BREAK, RUN, VERDICT_SQL, _PAD, _hits_sql, parsed_verdicts, policy
 from sluiceway.session import load, spread
@@ -53,6 +53,20 @@ def json_leaves(spark, sf):
     return load(spark, sf, "events").select("event_id", F.array_join(found, "|").alias("leaves"))
 
 
+# A nested document of each event: its properties as they are, in a list, and inside text-bearing parts.
+TREE_SQL = """'{"meta":{"kind":"' || event_type || '","props":' || props || ',"tags":["' || event_type || '",["deep",' || props || '],null,{}]},"parts":[{"type":"text","text":"user ' || user_id || '"},' || event_id || ']}'"""
+
+
+@query("json_tree_leaves", f"""
+WITH d AS (SELECT event_id, CAST({TREE_SQL} AS JSON) AS doc FROM events),
+t AS (SELECT event_id, j.fullkey AS path, CASE WHEN NOT ends_with(j.fullkey, ']') THEN j.key END AS name, CASE WHEN j.type = 'VARCHAR' THEN j.atom ->> '$' END AS text
+  FROM d, json_tree(d.doc) j WHERE j.fullkey <> '$')
+SELECT event_id, path, name, text FROM t WHERE name IS NOT NULL OR text IS NOT NULL""")
+def json_tree_leaves(spark, sf):
+    documents = load(spark, sf, "events").select("event_id", F.expr(TREE_SQL).alias("doc"))
+    return json_tree.members(documents, "event_id", "doc").select("event_id", "path", "name", "text")
+
+
 @query("unscannable_requests", """
 SELECT call_id FROM (SELECT DISTINCT conv_id AS call_id FROM conversations)
 WHERE call_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system' AND regexp_matches(text, '\\S'))""")
