@@ -7,11 +7,13 @@ into one task, so one very long conversation stays spread over the cluster.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions import json_text
-from sluiceway.functions.columns import let
+from sluiceway.functions.columns import bind, let
 from sluiceway.functions.text import base64_fragments, head_tail
 
 # Fixed values.
@@ -49,6 +51,57 @@ def turns(requests: DataFrame) -> DataFrame:
     )
 
 
+def _truthy(value: Column) -> Column:
+    """Whether a VARIANT is there and neither empty nor zero nor false."""
+    return value.isNotNull() & ~F.coalesce(F.to_json(value), F.lit("null")).isin("null", "false", "0", "0.0", '""', "[]", "{}")
+
+
+def _listed(value: Column) -> Column:
+    """The texts of a scalar or of a list: strings as they are, nested elements by their keys and strings."""
+    kind = F.schema_of_variant(value)
+    items = F.try_variant_get(F.when(kind.startswith("ARRAY"), value), "$", "array<variant>")
+    return F.when(_truthy(value), F.coalesce(items, F.array(value)))
+
+
+def from_bodies(bodies: DataFrame, body: str = "body_json") -> DataFrame:
+    """Request bodies given as JSON text, in the columns that ``turns``, ``top_level_texts`` and ``unscannable`` take.
+
+    ``system`` may be a string or a list of parts; ``prompt`` and ``input`` a scalar or a list; ``tools`` and ``functions`` are schemas.
+    ``has_payload``: it has a message, a prompt, an input or a system text; schemas alone are none. ``readable`` is false for a body that
+    is NULL or no JSON object: such requests are refused, whatever else can be said of them. Messages that are no objects count as none.
+    """
+    parsed = bind(bodies, "_body", F.try_parse_json(body))
+    held = F.col("_body")
+    field = {name: F.try_variant_get(held, f"$.{name}", "variant") for name in SECTIONS}
+    messages = F.filter(F.try_variant_get(field["messages"], "$", "array<variant>"), lambda m: F.coalesce(F.schema_of_variant(m).startswith("OBJECT"), F.lit(False)))
+    listed = {name: _listed(field[name]) for name in ("prompt", "input")}
+    payload = (F.coalesce(F.size(messages), F.lit(0)) > 0) | _truthy(field["prompt"]) | _truthy(field["input"]) | _truthy(field["system"])
+    return parsed.select(
+        *bodies.columns,
+        F.when(F.size(messages) > 0, F.to_json(messages)).alias("messages_json"),
+        F.when(_truthy(field["system"]), json_text.content(field["system"])).alias("system"),
+        *[column.alias(name) for name, column in listed.items()],
+        *[F.when(_truthy(field[name]), F.to_json(field[name])).alias(f"{name}_json") for name in ("tools", "functions")],
+        payload.alias("has_payload"),
+        F.coalesce(F.schema_of_variant(held).startswith("OBJECT"), F.lit(False)).alias("readable"),
+    )
+
+
+def body_texts(parts: DataFrame) -> DataFrame:
+    """``(call_id, section, idx, text)`` of all parts of requests from ``from_bodies`` but their messages."""
+    def elements(section: str) -> DataFrame:
+        rows = parts.select("call_id", F.posexplode(section).alias("idx", "v"))
+        plain = F.when(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT)"), json_text.content(F.col("v"))).otherwise(F.try_variant_get("v", "$", "string"))
+        return rows.select("call_id", F.lit(section).alias("section"), "idx", plain.alias("text"))
+
+    texts = [parts.select("call_id", F.lit("system").alias("section"), F.lit(0).alias("idx"), F.col("system").alias("text")), elements("prompt"), elements("input")]
+    for section in ("tools", "functions"):
+        schema = parts.where(F.col(f"{section}_json").isNotNull())
+        text = F.array_join(json_text.json_leaves(F.col(f"{section}_json")), "\n")
+        texts.append(schema.select("call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"), text.alias("text")))
+    return reduce(DataFrame.unionByName, texts).where(F.col("text").isNotNull())
+
+
 def unreadable(requests: DataFrame) -> DataFrame:
     """Requests whose messages or schemas are no readable JSON. They are refused (extraction_failure), never passed."""
     messages = F.col("messages_json").isNotNull() & F.try_parse_json("messages_json").isNull()

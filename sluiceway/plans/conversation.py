@@ -194,6 +194,76 @@ def request_decision(spark, sf):
     return out.select("call_id", F.coalesce("reason", F.lit("pass")).alias("reason"), "status")
 
 
+def bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Each conversation as a request body, in one of six shapes: messages; system parts and a list of inputs; one prompt; an image
+    alone; function schemas alone; broken JSON."""
+    said = F.sort_array(F.collect_list(F.struct("idx", "role", F.coalesce("text", F.lit("")).alias("text"))))
+    calls = turns(spark, sf).groupBy("call_id").agg(said.alias("t"))
+
+    def of(role: str, part) -> "F.Column":
+        return F.transform(F.filter("t", lambda x: x["role"] == role), part)
+
+    text = lambda x: x["text"]
+    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    system = of("system", lambda x: F.struct(F.lit("text").alias("type"), x["text"].alias("text")))
+    image = F.lit('{"messages":[{"role":"user","content":[{"type":"image_url","image_url":{"url":"data:,"}}]}]}')
+    schema = F.array(F.struct(F.lit("note").alias("name"), F.col("t")[0]["text"].alias("description")))
+    shapes = [
+        F.to_json(F.struct(messages.alias("messages"))), F.to_json(F.struct(system.alias("system"), of("user", text).alias("input"))),
+        F.to_json(F.struct(F.try_element_at(of("user", text), F.lit(-1)).alias("prompt"))), image, F.to_json(F.struct(schema.alias("functions"))),
+        F.lit('{"messages":['),
+    ]
+    return calls.select("call_id", F.get(F.array(*shapes), (F.col("call_id") % len(shapes)).cast("int")).alias("body_json"))
+
+
+PARTS_SQL = """
+m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id % 6 AS shape, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place,
+  row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS nth, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS back FROM conversations),
+parts AS (SELECT conv_id, 'messages' AS section, place AS idx, text FROM m WHERE shape = 0
+  UNION ALL SELECT conv_id, 'system', 0, string_agg(text, chr(10) ORDER BY turn) FROM m WHERE shape = 1 AND role = 'system' AND text <> '' GROUP BY conv_id
+  UNION ALL SELECT conv_id, 'input', nth, text FROM m WHERE shape = 1 AND role = 'user'
+  UNION ALL SELECT conv_id, 'prompt', 0, text FROM m WHERE shape = 2 AND role = 'user' AND back = 1
+  UNION ALL SELECT conv_id, 'functions', 0, 'description' || chr(10) || 'name' || chr(10) || text || chr(10) || 'note' FROM m WHERE shape = 4 AND place = 0)
+"""
+
+
+def parts_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(requests in parts, turns, all scannable texts)."""
+    parts = requests.from_bodies(bodies(spark, sf)).drop("body_json")
+    rows = requests.turns(parts)
+    return parts, rows, requests.request_texts(rows, requests.body_texts(parts))
+
+
+@query("request_parts", f"""WITH {PARTS_SQL}
+SELECT conv_id AS call_id, section, CAST(idx AS INTEGER) AS idx, sha256(text) AS digest FROM parts WHERE regexp_matches(text, '\\S')""")
+def request_parts(spark, sf):
+    parts = requests.from_bodies(bodies(spark, sf))
+    rows = requests.turns(parts).select("call_id", F.lit("messages").alias("section"), "idx", "text").unionByName(requests.body_texts(parts))
+    return rows.where(requests.has_text(F.col("text"))).select("call_id", "section", "idx", F.sha2("text", 256).alias("digest"))
+
+
+@query("request_payloads", f"""
+WITH {PARTS_SQL}, {_hits_sql(tripwires.REQUEST_LISTS, "(SELECT conv_id, text FROM parts)", "conv_id")}, {VERDICT_SQL},
+calls AS (SELECT conv_id, conv_id % 6 AS shape, CASE conv_id % 6 WHEN 0 THEN true WHEN 1 THEN bool_or(role IN ('system', 'user')) WHEN 2 THEN bool_or(role = 'user' AND back = 1 AND text <> '')
+  WHEN 3 THEN true ELSE false END AS has_payload FROM m GROUP BY conv_id),
+texts AS (SELECT DISTINCT conv_id, true AS has_text FROM parts WHERE regexp_matches(text, '\\S')),
+firsts AS (SELECT conv_id, arg_min(list, list_rank) AS list FROM hits GROUP BY conv_id),
+j AS (SELECT c.*, coalesce(has_text, false) AS has_text, list, raw, regexp_extract(raw, 'S\\d+') AS code
+  FROM calls c LEFT JOIN texts USING (conv_id) LEFT JOIN firsts USING (conv_id) LEFT JOIN raw ON raw.doc_id = c.conv_id)
+SELECT conv_id AS call_id, has_payload, shape <> 5 AS readable, CASE WHEN shape = 5 THEN 'extraction_failure' WHEN NOT has_text AND has_payload THEN 'no_scannable_text' WHEN NOT has_text THEN 'pass'
+  WHEN list IS NOT NULL THEN 'regex:' || list WHEN raw IS NULL THEN 'guard_unavailable' WHEN code IN {BLOCKED_SQL} THEN 'classifier' ELSE 'pass' END AS reason FROM j""")
+def request_payloads(spark, sf):
+    """Whole request bodies to decisions: what they hold, whether they can be read, and the first reason to refuse them."""
+    parts, rows, texts = parts_of(spark, sf)
+    norms = bind(texts.select("call_id", "text_rank", "text"), "norm", normalise(F.col("text")))
+    hits = tripwires.first_hit(tripwires.scan(norms, "norm", tripwires.REQUEST_LISTS, policy().extra_patterns), "call_id", "text_rank")
+    new = requests.new_segment(rows, requests.body_texts(parts)).groupBy("call_id").agg((F.sum(F.length("text") + 1) - 1).alias("chars"))
+    answers = parsed_verdicts(spark, sf).select(F.col("doc_id").alias("call_id"), F.lit(0).alias("chunk_idx"), "v")
+    judged = verdicts.request_verdict(answers, "call_id", "chunk_idx", "v", policy())
+    out = decisions.decide_requests(parts, "call_id", texts, hits, new, judged, unreadable=parts.where("NOT readable"))
+    return parts.select("call_id", "has_payload", "readable").join(out.select("call_id", F.coalesce("reason", F.lit("pass")).alias("reason")), "call_id")
+
+
 @query("response_texts", """
 SELECT conv_id AS call_id, CAST(turn AS INTEGER) AS choice, 0 AS field, sha256(text) AS digest FROM conversations WHERE length(text) > 0 AND role = 'assistant'
 UNION ALL SELECT conv_id, CAST(turn AS INTEGER), 5, sha256('note ' || role) FROM conversations WHERE role = 'assistant'""")

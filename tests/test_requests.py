@@ -156,3 +156,30 @@ def test_large_and_deep_values_are_read_whole(spark):
     assert {r.call_id for r in requests.unreadable(frame).collect()} == {"broken"}
     texts = {r.call_id: r.text for r in requests.request_texts(requests.turns(frame)).where("origin = 'original'").collect()}
     assert TRIGGER in texts["wide"] and "5999" in texts["wide"] and TRIGGER in texts["deep"] and texts["plain"] == "hello"
+
+
+def test_bodies_of_every_shape(spark):
+    texts = {
+        1: {"messages": [{"role": "user", "content": "hello"}, "stray", 7, None]},
+        2: {"system": [{"type": "text", "text": "be kind"}, {"type": "text", "text": "be brief"}], "prompt": "one line"},
+        3: {"prompt": ["a", 5, True, {"k": "v"}], "input": 12},
+        4: {"functions": [{"name": "f", "description": "does it"}], "tools": []},
+        5: {"prompt": "", "input": [], "system": None, "messages": []},
+        6: {"messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "x"}}]}]},
+        7: {"messages": "no list", "input": {"a": ["deep", {"b": "er"}]}},
+        8: {"system": "plain", "messages": [{"content": "no role"}]},
+    }
+    rows = [(i, json.dumps(b)) for i, b in texts.items()] + [(9, '{"messages":['), (10, None), (11, "[1]"), (12, "")]
+    parts = requests.from_bodies(spark.createDataFrame(rows, "call_id long, body_json string"))
+    assert {r.call_id: (r.has_payload, r.readable) for r in parts.collect()} == {
+        1: (True, True), 2: (True, True), 3: (True, True), 4: (False, True), 5: (False, True), 6: (True, True), 7: (True, True), 8: (True, True),
+        9: (False, False), 10: (False, False), 11: (False, False), 12: (False, False)}
+    found = {(r.call_id, r.section, r.idx): r.text for r in requests.body_texts(parts).collect()}
+    assert found == {
+        (2, "system", 0): "be kind\nbe brief", (2, "prompt", 0): "one line",
+        (3, "prompt", 0): "a", (3, "prompt", 1): "5", (3, "prompt", 2): "true", (3, "prompt", 3): "k\nv", (3, "input", 0): "12",
+        (4, "functions", 0): "description\nname\ndoes it\nf", (7, "input", 0): "a\ndeep\nb\ner", (8, "system", 0): "plain"}
+    assert {(r.call_id, r.idx): (r.role, r.text) for r in requests.turns(parts).collect() if r.text} == {
+        (1, 0): ("user", "hello"), (8, 0): ("user", "no role")}
+    everything = requests.request_texts(requests.turns(parts), requests.body_texts(parts))
+    assert [r.call_id for r in requests.unscannable(parts.where("readable"), everything).collect()] == [6]
