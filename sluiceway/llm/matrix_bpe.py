@@ -101,22 +101,34 @@ class Vocabulary:
     def forget(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}
         self.spaced: dict[str, tuple[int, ...]] = {}
-        self.held = 0  # bytes of both, about
-
-    def _count(self, word: str, ids: tuple[int, ...]) -> None:
-        self.held += ENTRY_BYTES + len(word) + 8 * len(ids)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Encode the pre-tokens not known yet."""
+        self.older: tuple[dict, dict] = ({}, {})
+        self.held = 0  # bytes of the younger two, about
+
+    def _age(self) -> None:
+        """Set what is remembered aside once it fills half of the room; what was set aside before and not met since is forgotten."""
+        if self.held > KNOWN_BYTES // 2:
+            self.older = self.known, self.spaced
+            self.known, self.spaced, self.held = {}, {}, 0
+
+    def _remember(self, memory: dict[str, tuple[int, ...]], found: dict[str, tuple[int, ...]]) -> None:
+        memory.update(found)
+        self.held += ENTRY_BYTES * len(found) + sum(map(len, found)) + 8 * sum(map(len, found.values()))
+
+    def _recall(self, words: set[str], memory: dict[str, tuple[int, ...]], older: dict[str, tuple[int, ...]]) -> set[str]:
+        """The words that have to be worked out; those met before are remembered on."""
+        missing = words - memory.keys()
+        again = missing & older.keys()
+        self._remember(memory, {word: older[word] for word in again})
+        return missing - again
+
+    def merged(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pre-tokens."""
+        out: dict[str, tuple[int, ...]] = {}
         buckets: dict[int, list[tuple[str, bytes]]] = {}
-        known = self.known
         for piece in pieces:
-            if piece in known:
-                continue
             data = piece.encode()
             if (rank := self.ranks.get(data)) is not None:
-                known[piece] = (rank,)
-                self._count(piece, known[piece])
+                out[piece] = (rank,)
             else:
                 width = len(data) if len(data) <= 16 else 1 << (len(data) - 1).bit_length()
                 buckets.setdefault(width, []).append((piece, data))
@@ -125,8 +137,8 @@ class Vocabulary:
             for start in range(0, len(items), step):
                 part = items[start:start + step]
                 for (piece, _), ids in zip(part, merge_rows([data for _, data in part], width, self.byte_ids, self.pairs)):
-                    known[piece] = tuple(map(self.number.__getitem__, ids))
-                    self._count(piece, known[piece])
+                    out[piece] = tuple(map(self.number.__getitem__, ids))
+        return out
 
     def encode(self, texts: list[str]):
         """Ids of each text, a slice of texts at a time.
@@ -145,9 +157,8 @@ class Vocabulary:
             start = end
 
     def _encode_slice(self, texts: list[str]):
-        if self.held > KNOWN_BYTES:
-            self.forget()
-        heads, words, new = [], [], set()
+        self._age()
+        heads, words, met = [], [], set()
         for text in texts:
             if self.odd_space(text):
                 heads.append(self.find(text))
@@ -156,20 +167,20 @@ class Vocabulary:
                 first, *rest = text.split(" ")
                 heads.append(self.find(first))
                 words.append(rest)
-                new.update(rest)
-        new = {word: self.find(" " + word) for word in new if word not in self.spaced}
-        self.learn(set(chain.from_iterable(chain(heads, new.values()))))
-        known = self.known
-        for word, pieces in new.items():
-            ids = self.spaced[word] = known[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(known.__getitem__, pieces)))
-            self._count(word, ids if len(pieces) > 1 else ())
+                met.update(rest)
+        known, spaced = self.known, self.spaced
+        self._remember(known, self.merged(self._recall(set(chain.from_iterable(heads)), known, self.older[0])))
+        new = {word: self.find(" " + word) for word in self._recall(met, spaced, self.older[1])}
+        parts = self.merged(set(chain.from_iterable(new.values())))  # needed for these words alone
+        self._remember(spaced, {
+            word: parts[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(parts.__getitem__, pieces))) for word, pieces in new.items()})
         for head, rest in zip(heads, words):
             ids = list(chain.from_iterable(map(known.__getitem__, head)))
-            ids.extend(chain.from_iterable(map(self.spaced.__getitem__, rest)))
+            ids.extend(chain.from_iterable(map(spaced.__getitem__, rest)))
             yield ids
         for word in new:
             if len(word) > LONG_WORD:
-                del self.spaced[word]
+                del spaced[word]
 
     def decode(self, ids) -> bytes:
         return b"".join([self.tokens[i] for i in ids])
