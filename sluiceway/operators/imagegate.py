@@ -227,7 +227,8 @@ def signature_matches(images: DataFrame, holdings: DataFrame, image_key: str, ho
         pieces = F.transform(combos, lambda combo: F.array_join(F.transform(combo, lambda i: F.get("cut", i)), ""))
         return distinct.select(alias, F.posexplode(pieces).alias("combo", "piece"))
 
-    pairs = filed(images, "ls").join(filed(holdings, "rs"), ["combo", "piece"])
+    # Spark takes a filed side for as small as its signatures and would collect it to broadcast it; it has a row for each combination.
+    pairs = filed(images, "ls").join(filed(holdings, "rs").hint("merge"), ["combo", "piece"])
     same = F.transform(banded(F.col("ls")), lambda piece, i: F.when(piece == F.get(banded(F.col("rs")), i), i))
     first = F.array_position(combos, F.slice(F.array_compact(same), 1, bands - k)) - 1
     near = pairs.where(hamming(F.col("ls"), F.col("rs")) <= k).where(F.col("combo") == first).select(

@@ -112,3 +112,14 @@ def test_models(spark):
     assert sorted((r.name, r.loaded, r.vram, r.is_guard) for r in catalogue.installed_models(installed, resident).collect()) == [("a:latest", True, 5, False), ("llama-guard3:1b", False, 0, True)]
     exposed = spark.createDataFrame([("z", "ollama_chat/a"), ("b", "ollama/q"), ("c", "other/a")], "name string, model string")
     assert [(r.name, r.resident) for r in catalogue.exposed_models(exposed, resident).collect()] == [("z", True), ("b", False)]
+
+
+def test_filed_signatures_are_not_broadcast(spark):
+    """Few signatures make many filed rows: the driver must not collect them, at planning or when stages have run."""
+    rows = spark.range(2000).select("id", F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16).alias("signature"))
+    joined = imagegate.signature_matches(rows, rows.withColumnRenamed("id", "held"), "id", "held")
+    assert joined.count() == 2000
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert not any("Generate" in part.split("BroadcastHashJoin")[0].split("SortMergeJoin")[0] for part in plan.split("BroadcastExchange")[1:])
+    assert "SortMergeJoin [combo" in plan
