@@ -125,7 +125,7 @@ def stream_gate_judged(spark, sf):
     runner.to_table(stateful.buffer_calls(turn_chunks(spark, sf), hold_ms=None), f"{root}/held", f"{root}/held-checkpoint").awaitTermination()
     # Both feeds end with a row of a far time, so that the watermark passes everything before it.
     end = F.lit("2100-01-01").cast("timestamp")
-    # (It needs an id: a row without one cannot be joined and is dropped before its time is seen.)
+    # (They need an id and a part: a row without them cannot be joined and is dropped before its time is seen.)
     spark.range(1).select(*[(end if f.name == "ended_at" else F.lit("" if f.name == "call_id" else None)).cast(f.dataType).alias(f.name) for f in _schema(stateful.BUFFERED)]).write.parquet(f"{root}/end-held")
     spark.range(1).select(end.alias("judged_at")).write.parquet(f"{root}/end")
 
@@ -135,7 +135,7 @@ def stream_gate_judged(spark, sf):
     answers = labels.select(number.cast("string").alias("call_id"), F.lit(0).alias("part_idx"), F.lit("llama-guard").alias("model"), raw.alias("raw"),
                             F.timestamp_seconds(F.lit(GATE_START) + (number + F.col("doc_id") % 13) * 60).alias("judged_at"))
     ended = spark.readStream.schema("judged_at TIMESTAMP").parquet(f"{root}/end").select(
-        F.lit("").alias("call_id"), *[F.lit(None).cast(k).alias(n) for n, k in (("part_idx", "int"), ("model", "string"), ("raw", "string"))], "judged_at")
+        F.lit("").alias("call_id"), F.lit(0).alias("part_idx"), *[F.lit(None).cast("string").alias(n) for n in ("model", "raw")], "judged_at")
     held, held_end = (spark.readStream.schema(stateful.BUFFERED).parquet(f"{root}/{folder}") for folder in ("held", "end-held"))
 
     def start(out: str, checkpoint: str):
