@@ -26,7 +26,7 @@ def rewrite(rows: DataFrame, root: str, version: str, fmt: str = "parquet") -> s
     target = f"{root}/v={version}"
     rows.write.mode("error").format(fmt).save(target)
     spark = rows.sparkSession
-    number = _pointers(spark, root).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1 if _exists(spark, f"{root}/_current") else 1
+    number = _pointers(spark, root).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1 if exists(spark, f"{root}/_current") else 1
     spark.createDataFrame([(number, version, target)], POINTER).coalesce(1).write.mode("append").json(f"{root}/_current")
     return target
 
@@ -34,7 +34,7 @@ def rewrite(rows: DataFrame, root: str, version: str, fmt: str = "parquet") -> s
 POINTER = "number bigint, version string, path string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system Spark reads."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
@@ -52,7 +52,7 @@ def current(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
 
 def append_evidence(bodies: DataFrame, root: str, key: str, segment_rows: int = evidence.SEGMENT_ROWS) -> None:
     """Seal a batch of bodies behind what the store has, and store records, index and heads. The batch is sealed once."""
-    spark, there = bodies.sparkSession, _exists(bodies.sparkSession, f"{root}/heads")
+    spark, there = bodies.sparkSession, exists(bodies.sparkSession, f"{root}/heads")
     stored = spark.read.schema(evidence.SEALED).parquet(f"{root}/heads") if there else None
     after = evidence.tails(spark.read.parquet(f"{root}/index")) if there else None
     sealed = cut(evidence.seal(bodies, segment_rows, after))

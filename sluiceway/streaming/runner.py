@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from sluiceway.policy import Policy, make_policy, read_policy
 from sluiceway.session import configure, shared_folder
+from sluiceway.sources.writers import exists
 
 FILES_PER_TRIGGER = 1000
 
@@ -22,9 +23,10 @@ def follow_log(spark: SparkSession, path: str, schema: str, files_per_trigger: i
 
 
 def follow_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A shared table read as a stream of its files."""
+    """A shared table, one file or a folder of files, read as a stream of its files."""
     schema = configure(spark).read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    # A stream's path must be a folder, or a pattern: this one matches the table's name alone, be it a file or a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.[p]arquet")
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -53,6 +55,8 @@ def run(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema
     query.awaitTermination()
     if finish:
         finish()
+    if not exists(spark, f"{root}/out"):  # a stream without files runs no batch
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/out")
 
 

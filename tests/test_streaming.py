@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql.types import _parse_datatype_string
@@ -217,3 +218,33 @@ def test_alerts_once(spark, tmp_path):
     stream = runner.follow_log(spark, str(tmp_path / "log"), VETO_AUDIT, files_per_trigger=1)
     got = runner.run(spark, lambda out, ckpt: runner.to_table(jobs.alerts_once(stream), out, ckpt), _parse_datatype_string("call_id string, alert string"))
     assert sorted(r.call_id for r in got.collect()) == ["a", "a", "b", "c", "late", "untimed"]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_of_files_and_folders(spark, tmp_path, folder):
+    """A shared table is one file or a folder of files; a stream of either gives the rows of its SQL, and none from an empty folder."""
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
+
+    turns = [(c, t, role, f"mail me: user{c}@mail.example" if c % 3 == 0 else f"words {c} {t}") for c in range(20) for t, role in ((0, "user"), (1, "assistant"))]
+    tables = {
+        "documents": ([(2 * c + t, text) for c, t, _, text in turns], "doc_id long, text string"), "conversations": (turns, "conv_id long, turn long, role string, text string"),
+        "labels": ([(c, c % 2, int(c % 5 == 0)) for c in range(18)], "doc_id long, quality long, toxic long"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        if not folder:
+            (part,) = (tmp_path / f"{name}.parquet").glob("*.parquet")
+            part.rename(tmp_path / "one")
+            shutil.rmtree(tmp_path / f"{name}.parquet")
+            (tmp_path / "one").rename(tmp_path / f"{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet{'/*.parquet' if folder else ''}'")
+    for name in ("stream_scan", "stream_gate", "stream_gate_judged"):
+        got = queries()[name](spark, str(tmp_path))
+        expected = con.sql(oracle_sql()[name]).df()[got.columns]
+        assert sorted(map(tuple, got.collect())) == sorted(expected.itertuples(index=False, name=None)) and len(expected) > 5, name
+
+    if folder:
+        spark.createDataFrame([], tables["documents"][1]).write.parquet(f"{tmp_path}/none/documents.parquet")
+        assert queries()["stream_scan"](spark, f"{tmp_path}/none").count() == 0
