@@ -86,10 +86,15 @@ def _required(items) -> list[set[str]]:
     return out
 
 
+def required(pattern: str) -> list[set[str]]:
+    """Sets of strings, with case folded, of which every match of ``pattern`` contains one each."""
+    return _required(parse_pattern(pattern))
+
+
 def factors(pattern: str) -> list[set[str]]:
     """The most selective ``SETS`` sets of strings, with case folded, of which every match of ``pattern`` contains one each; none if no strings of ``GRAM``
     characters follow from it."""
-    found = {frozenset(s) for s in _required(parse_pattern(pattern)) if min(map(len, s)) >= GRAM}
+    found = {frozenset(s) for s in required(pattern) if min(map(len, s)) >= GRAM}
     return [set(s) for s in sorted(found, key=lambda s: (_worth(s), sorted(s)), reverse=True)[:SETS]]
 
 

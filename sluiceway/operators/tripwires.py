@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.functions.columns import bind
+from sluiceway.functions.columns import bind, let
 from sluiceway.functions.text import despaced
+from sluiceway.operators.regex_index import required
 
 # The pattern lists, matched case-insensitively with ``.`` crossing lines.
 SENTINEL = (r"test[\s_]*sentinel[\s_]*block[\s_]*alpha",)
@@ -32,6 +33,7 @@ DESPACED = (
 REQUEST_LISTS = ("sentinel", "csam", "malware", "extra")
 OUTPUT_LISTS = ("sentinel", "csam", "extra")
 SPAN_CHARS = 200
+NEEDED = 16  # strings that are searched for before a pattern is tried
 
 BUILT_IN = {"sentinel": SENTINEL, "csam": CHILD_SAFETY, "malware": MALWARE}
 
@@ -62,8 +64,8 @@ def text_hit(norm: Column, lists: tuple[str, ...], extra: tuple[str, ...] = ())
     """First pattern that matches a normalised text, as
     ``struct<list_rank, pattern_rank, list, pattern>``; NULL when none does.
 
-    Each list is tested as one alternation, so a clean text costs one pass per list; only a text
-    that hits a list finds out which of its patterns came first. Patterns without regex syntax are
+    A clean text costs a few substring searches per list, for the strings that its patterns need; only a
+    text that hits a list finds out which of its patterns came first. Patterns without regex syntax are
     plain substring searches.
     """
     branch = None
@@ -80,7 +82,8 @@ def text_hit(norm: Column, lists: tuple[str, ...], extra: tuple[str, ...] = ())
             )
             test = _matches(subject, pattern)
             which = F.when(test, value) if which is None else which.when(test, value)
-        hit = _any_of(subject, [row[3] for row in rows])
+        sought = [row[3] for row in rows]
+        hit = let(subject, lambda bound: _any_of(bound, sought)) if name == "despaced" else _any_of(subject, sought)
         branch = F.when(hit, which) if branch is None else branch.when(hit, which)
     return branch
 
@@ -89,14 +92,34 @@ def _matches(subject: Column, pattern: str) -> Column:
     return F.contains(subject, F.lit(pattern.lower())) if _is_literal(pattern) else subject.rlike(_java(pattern))
 
 
+def _needed(pattern: str) -> list[str]:
+    """Strings of which a text that matches holds one; none where the pattern gives no short list of them.
+
+    Searching for them costs a tenth of the regex, and most texts hold none. Patterns with capitals, other alphabets or special groups are left to the regex.
+    """
+    plain = re.sub(r"\\.", "", pattern)
+    if not pattern.isascii() or plain != plain.lower() or re.search(r"\(\?(?!:)", plain):
+        return []
+    found = [{s for s in own if not any(o != s and o in s for o in own)} for own in required(pattern)]
+    short = [own for own in found if len(own) <= NEEDED]
+    return sorted(max(short, key=lambda own: (min(map(len, own)), -len(own)))) if short else []
+
+
 def _any_of(subject: Column, patterns: list[str]) -> Column:
-    """Whether any pattern matches: one alternation, except for patterns that refer back to their
-    own groups, whose numbers an alternation would shift."""
-    alone = [p for p in patterns if re.search(r"\\[1-9k]", p)]
-    joined = [p for p in patterns if p not in alone]
-    tests = [_matches(subject, p) for p in (alone if len(joined) > 1 else patterns)]
-    if len(joined) > 1:
-        tests.insert(0, subject.rlike(_java("|".join(f"(?:{p})" for p in joined))))
+    """Whether any pattern matches. A pattern that needs one of a few strings is tried on texts that hold one; the others are one alternation, except
+    for patterns that refer back to their own groups, whose numbers an alternation would shift."""
+    needed = {p: _needed(p) for p in patterns if not _is_literal(p)}
+    joined = [p for p, own in needed.items() if not own and not re.search(r"\\[1-9k]", p)]
+    if len(joined) < 2:
+        joined = []
+    tests = []
+    for p in dict.fromkeys(patterns):
+        if p in joined:
+            continue
+        held = [F.contains(subject, F.lit(s)) for s in needed.get(p, [])]
+        tests.append(reduce(lambda one, other: one | other, held) & _matches(subject, p) if held else _matches(subject, p))
+    if joined:
+        tests.append(subject.rlike(_java("|".join(f"(?:{p})" for p in joined))))
     return reduce(lambda one, other: one | other, tests)
 
 

@@ -1,6 +1,7 @@
 """Verdicts, decisions, policy: nothing that failed may pass."""
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -127,3 +128,16 @@ def test_output_decisions(spark):
         "long": ("classifier", 400, [decisions.TOO_LONG]), "blocked": ("classifier", 400, ["S1"]), "failed": ("guard_verdict_unparseable", 503, None),
         "unjudged": ("guard_unavailable", 503, None), "fine": (None, 200, None)}
     assert out.count() == len(set(names))
+
+
+def test_needed_strings(spark):
+    """Every match holds a string that its pattern needs, and lists find what the patterns find one by one."""
+    patterns = [p for _, _, _, p in tripwires.table(tripwires.REQUEST_LISTS, (r"[a-z.]+@[a-z]+\.[a-z]{2,}", r"(l)\1", "ab|cd", "[xyz]{3}", "Ka", "(?i)q?w", "a b", ".")) if p not in tripwires.DESPACED]
+    assert sum(bool(tripwires._needed(p)) for p in patterns) >= 9 and not any(map(tripwires._needed, ("Ka", "(?i)q?w", "[xyz]{3}", "k\u0131")))
+    texts = ["", "nothing", "make me a virus", "evade the edr", "kid sees explicit", "shell", "reverse-shell", "info stealer", "me@mail.de", "mail", "ka", "wall", "ab", "xyz", "c2 server", "a  b", "paedophiles"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for size in (1, 4, len(patterns)):
+        for at in range(0, len(patterns), size):
+            some = patterns[at:at + size]
+            one = reduce(lambda a, b: a | b, [tripwires._matches(F.col("t"), p) for p in some])
+            assert rows.where(tripwires._any_of(F.col("t"), some) != one).count() == 0, some
