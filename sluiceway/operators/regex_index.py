@@ -1,8 +1,9 @@
 """A table of regular expressions joined with texts through the literal factors that each expression requires.
 
 Every match of an expression contains its factors, strings that follow from its parsed form: runs of plain characters, and, for
-alternatives, one of a set of runs. A text that lacks one of the expression's longest factors is no candidate. A factor's rarest-looking gram of ``GRAM`` characters is what it is found by. Grams of patterns and of texts
-meet in an equality join; the expression itself runs on candidates only. Expressions without such a factor are tested against all texts, a block of them at a time.
+alternatives, one of a set of runs. A text that lacks one of the expression's longest factors is no candidate. A factor's rarest-looking gram of ``GRAM`` characters is what it is found by. Where an
+expression fixes that two factors stand in neighbouring tokens (runs of ASCII letters and digits), it is found by the pair of their grams: long texts hold most
+grams, but few pairs. Grams and pairs of patterns and of texts meet in an equality join; the expression itself runs on candidates only. Expressions without a factor are tested against all texts, a block of them at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from sluiceway.policy import parse_pattern
 GRAM = 4  # bytes; factors are ASCII
 SETS = 3  # of factors that a text must have to be a candidate
 SLOTS = 1 << 16  # flags of the filter over grams
+PAIR_SLOTS = (1 << 16) - 15  # flags of the filter over pairs; a prime, as the low half of a pair is one gram
+WAYS = 64  # pairs of one set
 BLOCK = 100  # expressions without a factor that are tested in one pass
 # Characters from common to rare, as English texts have them; others count as rarer still. Only the choice of grams depends on it.
 COMMON = " etaoinshrdlucmfwypvbgkjqxz"
@@ -100,19 +103,137 @@ def factors(pattern: str) -> list[set[str]]:
 
 def grams(pattern: str) -> list[set[str]]:
     """One gram for each factor, in the sets of ``factors``."""
+    return [set(map(_gram, own)) for own in factors(pattern)]
+
+
+def _gram(factor: str) -> str:
+    """The rarest-looking gram of a factor."""
     rare = lambda g: sum(COMMON.find(c) if c in COMMON else len(COMMON) for c in g)
-    return [{max((f[i:i + GRAM] for i in range(len(f) - GRAM + 1)), key=rare) for f in own} for own in factors(pattern)]
+    return max((factor[i:i + GRAM] for i in range(len(factor) - GRAM + 1)), key=rare)
+
+
+def _alnum(text: str) -> bool:
+    return text.isascii() and text.isalnum()
+
+
+def _kind(items) -> str | None:
+    """Whether a class or a character stands for ASCII letters and digits (``letter``) or for other ASCII characters (``gap``) only."""
+    if len(items) != 1:
+        return None
+    name, value = str(items[0][0]), items[0][1]
+    spans = []
+    for op, v in value if name == "IN" else [(name, value)]:
+        if str(op) == "LITERAL":
+            spans.append((v, v))
+        elif str(op) == "RANGE":
+            spans.append(v)
+        else:
+            return None
+    if not spans or any(high > 127 for _, high in spans):
+        return None
+    kinds = {_alnum(chr(c)) for low, high in spans for c in range(low, high + 1)}
+    return {True: "letter", False: "gap"}[kinds.pop()] if len(kinds) == 1 else None
+
+
+def _parts(items):
+    """A parsed sequence as strings of letters and digits (one of a set), other letters (``letter``), what parts tokens (``gap``), and the rest (None)."""
+    for op, value in items:
+        name = str(op)
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "SUBPATTERN" and not value[1] and not value[2]:
+            yield from _parts(value[3])
+            continue
+        ways = [_plain(way) for way in value[1]] if name == "BRANCH" else [_plain([(op, value)])]
+        if all(w is not None and (w == "" or _alnum(w)) for w in ways):
+            yield "string", set(ways)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            kind = _kind(value[2])
+            yield None if kind == "gap" and value[0] < 1 else kind, None
+        else:
+            yield _kind([(op, value)]), None
+
+
+def _chains(items) -> list[list[list[set[str]]]]:
+    """Chains of neighbouring tokens in every match of a parsed sequence. Of each token: sets of strings, one of each of which it holds."""
+    chains, tokens, strings, last = [], [[]], {""}, None
+    for kind, ways in (*_parts(items), (None, None)):
+        if kind == "string" and len(strings) * len(ways) <= WAYS:
+            strings = {s + w for s in strings for w in ways}
+        else:
+            if strings != {""}:
+                tokens[-1].append(strings)
+            strings = ways or {""}
+            if kind == "gap" and last != "gap":
+                tokens.append([])
+            elif kind is None:
+                chains.append(tokens)
+                tokens = [[]]
+        last = kind
+    return chains
+
+
+def pairs(pattern: str) -> list[set[tuple[str, str]]]:
+    """At most ``SETS`` sets of pairs of grams; every match of ``pattern`` holds a pair of each set in two neighbouring tokens."""
+    found = []
+    for tokens in _chains(parse_pattern(pattern)):
+        best = [max((own for own in token if min(map(len, own)) >= GRAM), key=lambda own: (_worth(own), sorted(own)), default=None) for token in tokens]
+        for left, right in zip(best, best[1:]):
+            if left and right and len(left) * len(right) <= WAYS:
+                found.append({(_gram(one), _gram(other)) for one in left for other in right})
+    return sorted(found, key=lambda own: (len(own), sorted(own)))[:SETS]
 
 
 def gram_number(gram: str) -> int:
     return int.from_bytes(gram.encode(), "little")
 
 
-def text_grams(texts: Column, wanted: np.ndarray) -> Column:
-    """Distinct grams of a text, as the numbers of their bytes, that may be among the wanted ones: ``wanted`` is a table of ``SLOTS`` flags."""
+def sought(pattern: str) -> list[list[int]]:
+    """Sets of numbers by which ``pattern`` is found: of pairs of grams, or, where it gives none, of grams. A pair's number is its left gram's times 2**32 plus its right one's."""
+    found = [{gram_number(left) << 32 | gram_number(right) for left, right in own} for own in pairs(pattern)]
+    return [sorted(own) for own in found or [set(map(gram_number, own)) for own in grams(pattern)]]
+
+
+class Wanted:
+    """Tables of flags over the numbers that patterns are found by; their size does not grow with the patterns."""
+
+    SLOTS = {"gram": SLOTS, "left": SLOTS, "right": SLOTS, "pair": PAIR_SLOTS}
+
+    def __init__(self, slots: list[tuple[str, int]]):
+        self.flags = {name: np.zeros(size, bool) for name, size in self.SLOTS.items()}
+        for name, slot in slots:
+            self.flags[name][slot] = True
+
+    @staticmethod
+    def slots(number: Column) -> Column:
+        """Array of (table, slot) of a number."""
+        at = lambda name, value: F.struct(F.lit(name).alias("name"), F.pmod(value, F.lit(Wanted.SLOTS[name])).cast("int").alias("slot"))
+        left, right = F.shiftright(number, 32), number.bitwiseAND(F.lit((1 << 32) - 1))
+        return F.when(left == 0, F.array(at("gram", number))).otherwise(F.array(at("left", left), at("right", right), at("pair", number)))
+
+    def of(self, name: str, numbers: np.ndarray) -> np.ndarray:
+        return self.flags[name][numbers % self.SLOTS[name]]
+
+
+def _pair_numbers(data: np.ndarray, grams_: np.ndarray, wanted: Wanted) -> np.ndarray:
+    """Numbers of the wanted pairs of grams in neighbouring tokens of one text in small letters."""
+    inside = (data >= 97) & (data <= 122) | (data >= 48) & (data <= 57)
+    token = np.cumsum(inside & ~np.concatenate(([False], inside[:-1])))
+    whole = inside[:-3] & inside[1:-2] & inside[2:-1] & inside[3:]
+    left, right = (np.flatnonzero(whole & wanted.of(side, grams_)) for side in ("left", "right"))
+    first, last = (np.searchsorted(token[right], token[left] + 1, side) for side in ("left", "right"))
+    count = last - first
+    other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+    numbers = np.repeat(grams_[left].astype(np.int64), count) << 32 | grams_[right[other]].astype(np.int64)
+    return numbers[wanted.of("pair", numbers)]
+
+
+def text_grams(texts: Column, wanted: Wanted) -> Column:
+    """Distinct numbers of a text's grams, and of the pairs of grams in neighbouring tokens, that may be among the wanted ones."""
     letters = bytes(range(65, 91))
     lower = bytes.maketrans(letters, letters.lower())
     others = [(c.encode(), to.encode()) for c, to in CASES.items() if not c.isascii()]
+    paired = wanted.flags["pair"].any()
 
     def run(column: pa.Array) -> pa.Array:
         out = []
@@ -126,7 +247,10 @@ def text_grams(texts: Column, wanted: np.ndarray) -> Column:
                 out.append(None)
                 continue
             grams_ = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
-            out.append(np.unique(grams_[wanted[grams_ % SLOTS]]))
+            found = [np.unique(grams_[wanted.of("gram", grams_)]).astype(np.int64)]
+            if paired:
+                found.append(np.unique(_pair_numbers(data, grams_, wanted)))
+            out.append(np.concatenate(found))
         return pa.array(out, pa.list_(pa.int64()))
 
     return F.arrow_udf(run, "array<bigint>")(texts.cast("binary"))
@@ -141,19 +265,18 @@ def regex_join(texts: DataFrame, key: str, text: str, patterns: DataFrame, patte
 
     Null texts and patterns match nothing. Patterns must be such that Spark and ``policy.pattern_is_safe`` read them.
     """
-    find = F.arrow_udf(lambda column: pa.array([[sorted(map(gram_number, own)) for own in grams(p)] for p in column.to_pylist()], pa.list_(pa.list_(pa.int64()))),
+    find = F.arrow_udf(lambda column: pa.array([sought(p) for p in column.to_pylist()], pa.list_(pa.list_(pa.int64()))),
                        "array<array<bigint>>")
     listed = patterns.where(F.col(pattern).isNotNull()).select(F.col(pattern_key), F.col(pattern).alias("_pattern")).distinct()
     listed = listed.withColumn("_grams", find("_pattern"))
     sets = listed.select(pattern_key, "_pattern", F.size("_grams").alias("_sets"), F.posexplode("_grams").alias("_set", "_grams"))
     indexed = sets.select(pattern_key, "_pattern", "_sets", "_set", F.explode("_grams").alias("_gram"))
-    # Most grams of a text belong to no pattern. A table of SLOTS flags tells so inside the task; its size does not grow with the patterns.
-    wanted = np.zeros(SLOTS, bool)
-    wanted[[r[0] for r in indexed.select(F.pmod("_gram", F.lit(SLOTS)).cast("int")).distinct().collect()]] = True
+    # Most grams of a text belong to no pattern. Tables of flags tell so inside the task.
+    wanted = Wanted([tuple(r) for r in indexed.select(F.explode(Wanted.slots(F.col("_gram"))).alias("s")).select("s.*").distinct().collect()])
     spread = texts.where(F.col(text).isNotNull()).select(key, F.explode(text_grams(F.col(text), wanted)).alias("_gram"))
     met = spread.join(indexed, "_gram").groupBy(key, pattern_key, "_pattern", "_sets").agg(F.bit_or(F.pow(F.lit(2), F.col("_set")).cast("int")).alias("_met"))
-    pairs = met.where(F.bit_count("_met") == F.col("_sets")).select(key, pattern_key, "_pattern")
-    found = pairs.join(texts.select(key, F.col(text).alias("_text")), key).where(F.regexp_like("_text", java(F.col("_pattern"))))
+    candidates = met.where(F.bit_count("_met") == F.col("_sets")).select(key, pattern_key, "_pattern")
+    found = candidates.join(texts.select(key, F.col(text).alias("_text")), key).where(F.regexp_like("_text", java(F.col("_pattern"))))
     found = found.select(pattern_key, key)
 
     waiting = []

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sluiceway.operators import regex_index as X
 
@@ -59,3 +60,27 @@ def test_join_equals_all_pairs(spark, block):
     assert len(rows) == len(set(rows)) and set(rows) == expected and {i for i, _ in rows} >= {1, 2, 3, 4, 5, 7, 10}
     plan = joined._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("pattern, found", [
+    ("alpha[ \n]+beta[ \n,.]+(?:gamma|delta)", [{("alph", "beta")}, {("beta", "gamm"), ("beta", "delt")}]), ("(?:alph|beta)[a-z]+ delt", [{("alph", "delt"), ("beta", "delt")}]),
+    (r"\babcd\b, efgh(?:ij|)k", [{("abcd", "fghk"), ("abcd", "hijk")}]), ("abcd *efgh", []), ("abcd[ ]+(?:s|)[ ]+efgh", []), ("abcd[a ]efgh", []), ("abcd[^ ]efgh", []),
+    (r"abcd\s+efgh", []), ("abcd( +)efgh", [{("abcd", "efgh")}]), ("abcd[ ]{0,2}efgh", []), ("abcd. efgh", []), ("abcd -[.]+efgh", [{("abcd", "efgh")}]), ("abcd \u00e9 efgh", []),
+])
+def test_pairs(pattern, found):
+    expected = [{(X._gram(one), X._gram(other)) for one, other in own} for own in found]
+    assert sorted(map(sorted, X.pairs(pattern))) == sorted(map(sorted, expected))
+
+
+def test_pairs_leave_few_candidates(spark):
+    """Texts that hold all factors of a pattern, but not side by side, do not reach the expression; those that match do, whatever case and characters stand around."""
+    made = ["alphax delta", "ALPHAX  beta,.GAMMA", "alpha\nbeta delta", "ſalpha beta. gamma", "alphaK delta", "éalpha betaé", "beta alpha gamma delta", "alpha beta", "alpha", "al pha"]
+    texts = spark.createDataFrame(list(enumerate(made)), "doc long, text string")
+    patterns = {1: "alpha[ \n]+beta[ \n,.]+(?:gamma|delta)", 2: "(?:alpha|betagamma)[a-z]+ delta", 3: "alpha +beta", 4: "lphax +(?:delt|beta)"}
+    table = spark.createDataFrame(list(patterns.items()), "id long, pattern string")
+    got = {(r.id, r.doc) for r in X.regex_join(texts, "doc", "text", table, "id", "pattern").collect()}
+    assert got == {(i, d) for i, p in patterns.items() for d, t in enumerate(made) if re.search(p, t, re.I | re.S)} and len(got) >= 7
+    numbers = [n for p in patterns.values() for own in X.sought(p) for n in own]
+    slots = spark.createDataFrame([(n,) for n in numbers], "n long").select(F.explode(X.Wanted.slots(F.col("n"))).alias("s")).select("s.*").collect()
+    held = {r.doc: r.g for r in texts.select("doc", X.text_grams(F.col("text"), X.Wanted([tuple(r) for r in slots])).alias("g")).collect()}
+    assert held[8] == held[9] == [] and len(held[2]) == 2
