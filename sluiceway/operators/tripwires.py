@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -162,8 +163,10 @@ def word_grams(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
-def phrase_join(texts: DataFrame, key: str, norm: str, phrases: DataFrame, phrase_key: str, phrase: str, size: int) -> DataFrame:
-    """(phrase, text) pairs where a text holds a phrase of any number of words.
+def phrase_join(texts: DataFrame, key: str, norm: str, phrases: DataFrame, phrase_key: str, phrase: str, size: int,
+                fold: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(phrase, text) pairs where a text holds a phrase of any number of words. ``fold`` makes the normal form of ``norm``, where that is the
+    text as it came: of all texts to find candidates, and of candidates again to compare them, instead of all texts twice.
 
     A pattern table that grows with the data must not be looped over every text. A phrase's first ``size`` words (all of a
     shorter one) are hashed and joined with the hashes of the texts' word runs of that length; candidates then fetch both texts and
@@ -174,16 +177,17 @@ def phrase_join(texts: DataFrame, key: str, norm: str, phrases: DataFrame, phras
     wanted = wanted.withColumn("_size", F.least(F.size("_words"), F.lit(size)))
     wanted = wanted.withColumn("_run", F.xxhash64("_size", F.array_join(F.slice("_words", F.lit(1), F.col("_size")), " ")))
     lengths = sorted(r[0] for r in wanted.select("_size").distinct().collect())
-    split = bind(texts.select(key, norm), "_words", words_of(F.col(norm)))
+    fold = fold or (lambda text: text)
+    split = bind(texts.select(key, fold(F.col(norm)).alias("_norm")), "_words", words_of(F.col("_norm")))
     found = None
     for length in lengths:
-        runs = F.transform(word_grams(F.col("_words"), length), lambda g: F.xxhash64(F.lit(length), g))
-        candidates = split.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(wanted.where(F.col("_size") == length).select(phrase_key, "_run"), "_run")
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - length + 1, F.lit(1)))
+        runs = F.transform(starts, lambda i: F.xxhash64(F.lit(length), F.array_join(F.slice("_words", i, length), " ")))
+        candidates = split.where(F.size("_words") >= length).select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(wanted.where(F.col("_size") == length).select(phrase_key, "_run"), "_run")
         found = candidates if found is None else found.unionByName(candidates)
     if found is None:
         return wanted.select(phrase_key).limit(0).join(texts.select(key).limit(0))
     pairs = found.select(phrase_key, key).distinct()
-    whole = F.array_join("_words", " ")
-    both = pairs.join(split.select(key, F.concat(F.lit(" "), whole, F.lit(" ")).alias("_text")), key).join(
-        wanted.select(phrase_key, F.concat(F.lit(" "), whole, F.lit(" ")).alias("_sought")), phrase_key)
-    return both.where(F.contains("_text", F.col("_sought"))).select(phrase_key, key)
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    both = pairs.join(texts.select(key, norm), key).join(wanted.select(phrase_key, spaced("_words").alias("_sought")), phrase_key)
+    return both.where(F.contains(spaced(words_of(fold(F.col(norm)))), F.col("_sought"))).select(phrase_key, key)

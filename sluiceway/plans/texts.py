@@ -116,7 +116,7 @@ SELECT item_id, doc_id FROM phrases JOIN d ON phrase <> '' AND contains(norm, '
 def pattern_join(spark, sf):
     """Documents that hold the whole text of a benchmark item."""
     items = bind(load(spark, sf, "benchmark").select("item_id", "text"), "phrase", T.normalise(F.col("text")))
-    return tripwires.phrase_join(normalised(spark, sf), "doc_id", "norm", items, "item_id", "phrase", PHRASE_WORDS)
+    return tripwires.phrase_join(documents(spark, sf), "doc_id", "text", items, "item_id", "phrase", PHRASE_WORDS, T.normalise)
 
 
 REGEX_SQL = """SELECT item_id, w[1] || '[ \n]+' || w[2] || '[ \n,.]+(?:' || w[3] || '|' || w[4] || ')' AS pattern

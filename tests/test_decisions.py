@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from sluiceway import policy as P
+from sluiceway.functions.text import normalise
 from sluiceway.operators import decisions, tripwires, verdicts
 
 GUARD = "llama-guard3:8b"
@@ -141,3 +142,12 @@ def test_needed_strings(spark):
             some = patterns[at:at + size]
             one = reduce(lambda a, b: a | b, [tripwires._matches(F.col("t"), p) for p in some])
             assert rows.where(tripwires._any_of(F.col("t"), some) != one).count() == 0, some
+
+
+def test_phrase_join_folds_texts_itself(spark):
+    """Texts as they came and their normal form give the same pairs; phrases of other lengths, copies of a key's text and null texts included."""
+    made = [(1, "Ä b  C d e"), (2, "x B c\nd"), (3, "a b c"), (4, None), (5, ""), (6, "E"), (7, "b c")]
+    texts = spark.createDataFrame(made, "id int, text string")
+    phrases = spark.createDataFrame([(10, "b c d"), (11, "e"), (12, "a b"), (13, ""), (14, "a b c d e")], "pid int, phrase string")
+    got = sorted((r.pid, r.id) for r in tripwires.phrase_join(texts, "id", "text", phrases, "pid", "phrase", 3, normalise).collect())
+    assert got == [(10, 1), (10, 2), (11, 1), (11, 6), (12, 1), (12, 3), (14, 1)]
