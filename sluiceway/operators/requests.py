@@ -92,16 +92,24 @@ def body_texts(parts: DataFrame) -> DataFrame:
     def elements(section: str) -> DataFrame:
         rows = parts.select("call_id", F.posexplode(section).alias("idx", "v"))
         plain = F.when(F.schema_of_variant("v").rlike("^(ARRAY|OBJECT)"), json_text.content(F.col("v"))).otherwise(F.try_variant_get("v", "$", "string"))
-        return rows.select("call_id", F.lit(section).alias("section"), "idx", plain.alias("text"))
+        return bind(rows.select("call_id", F.lit(section).alias("section"), "idx", "v"), "text", plain).drop("v")
 
-    texts = [parts.select("call_id", F.lit("system").alias("section"), F.lit(0).alias("idx"), F.col("system").alias("text")), elements("prompt"), elements("input")]
+    # Bound: the filter below would be pushed through a projection, and with it a second Arrow step for each text.
+    system = bind(parts, "text", F.col("system")).select("call_id", F.lit("system").alias("section"), F.lit(0).alias("idx"), "text")
+    texts = [system, elements("prompt"), elements("input")]
     for section in ("tools", "functions"):
         schema = parts.where(F.col(f"{section}_json").isNotNull())
         text = F.array_join(json_text.json_leaves(F.col(f"{section}_json")), "\n")
-        texts.append(schema.select("call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"), text.alias("text")))
+        texts.append(bind(schema, "text", text).select("call_id", F.lit(section).alias("section"), F.lit(0).alias("idx"), "text"))
     return reduce(DataFrame.unionByName, texts).where(F.col("text").isNotNull())
 
 
+def pieces(parts: DataFrame) -> DataFrame:
+    """``(call_id, section, idx, role, text)`` of all parts of requests from ``from_bodies``: their turns, section ``messages``, and their other texts, without a role."""
+    said = turns(parts).select("call_id", F.lit("messages").alias("section"), "idx", "role", "text")
+    return said.unionByName(body_texts(parts).withColumn("role", F.lit(None).cast("string")))
+
+
 def unreadable(requests: DataFrame) -> DataFrame:
     """Requests whose messages or schemas are no readable JSON. They are refused (extraction_failure), never passed."""
     messages = F.col("messages_json").isNotNull() & F.try_parse_json("messages_json").isNull()

@@ -183,3 +183,18 @@ def test_bodies_of_every_shape(spark):
         (1, 0): ("user", "hello"), (8, 0): ("user", "no role")}
     everything = requests.request_texts(requests.turns(parts), requests.body_texts(parts))
     assert [r.call_id for r in requests.unscannable(parts.where("readable"), everything).collect()] == [6]
+
+
+@pytest.mark.parametrize("name, steps", [("request_parts", 0), ("request_payloads", 1)])
+def test_bodies_are_parsed_once(spark, name, steps):
+    from sluiceway.plans import conversation
+
+    plan = getattr(conversation, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == steps and "parseJson" not in plan
+
+
+def test_one_arrow_step_for_each_section(spark):
+    frame = spark.createDataFrame([(1, json.dumps({"prompt": [{"k": "v"}], "tools": [{"name": "f"}]}))], "call_id long, body_json string")
+    # The last one is for the structured system text.
+    plan = requests.body_texts(requests.from_bodies(frame))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 5
