@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,52 @@ def test_odd_input(spark, odd_docs, no_docs):
     assert R.remove(no_docs).count() == 0
     with pytest.raises(ValueError):
         R.remove(odd_docs, length=100)
+
+
+def test_names_are_small():
+    texts = [bytes(random.Random(i).choices(range(256), k=3000)) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["text_id", "_text"])
+    rows = list(R.names(400, 13, 64)(iter([batch])))
+    n = sum(int((np.arange(0, 3000, 183)[:, None] + R.cover(13)[1] <= 3000 - 218).sum()) for _ in texts)
+    assert sum(r.nbytes for r in rows) < 15 * n
+    assert sum(len(x) for r in rows for x in r.column("low").to_pylist()) == n
+
+
+@pytest.mark.parametrize("parts, size", [(1, 1), (7, 1), (7, 3), (64, 1000)])
+def test_repeated_names(parts, size):
+    """Places whose window is elsewhere, whatever batches the names are made and met in."""
+    texts = [t for t in dict.fromkeys(corpus(5))] + [b"ab" * 30_000]
+    period, line = R.cover(3)
+    width, at = 40 - period + 1, {}
+    for k, t in enumerate(texts):
+        for p in range(len(t) - width + 1):
+            if p % period in line:
+                at.setdefault(t[p:p + width], set()).add((k, p))
+    made = []
+    for i in range(0, len(texts), 9):
+        rows = [(k, texts[k]) for k in range(i, min(i + 9, len(texts)))] + [(0, texts[0]), (i, texts[i])]
+        batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], names=["text_id", "_text"])
+        made += [row for b in R.names(40, 3, parts)(iter([batch])) for row in b.to_pylist()]
+    made = pa.Table.from_pylist(sorted(made, key=lambda r: r["part"]), pa.schema([("part", pa.int32()), *[(n, pa.binary()) for n in ("told", "name", "text", "low", "high")]]))
+    got = [(r["text_id"], r["place"]) for b in R.repeated_names(3)(iter(made.to_batches(size))) for r in b.to_pylist()]
+    assert set(got) == {p for places in at.values() if len(places) > 1 for p in places}
+
+
+def test_texts_shuffle_once(spark):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+        plan = R.remove(docs, outputs=("n_removed",)).select("doc_id", "n_removed")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("FileScan") == 2  # the texts, and their ids for copies
+
+
+def test_text_comes_back(spark, odd_docs):
+    rows = R.remove(odd_docs, outputs=("n_bytes",))
+    assert rows.columns == [*odd_docs.columns, "n_bytes"]
+    assert sorted(map(repr, rows.drop("n_bytes").collect())) == sorted(map(repr, odd_docs.collect()))
