@@ -144,3 +144,10 @@ def test_text_comes_back(spark, odd_docs):
     rows = R.remove(odd_docs, outputs=("n_bytes",))
     assert rows.columns == [*odd_docs.columns, "n_bytes"]
     assert sorted(map(repr, rows.drop("n_bytes").collect())) == sorted(map(repr, odd_docs.collect()))
+
+
+def test_text_keeps_its_type(spark):
+    docs = spark.createDataFrame([(1, b"ab\xff"), (2, None)], "doc_id long, text binary")
+    rows = R.remove(docs, outputs=("n_bytes",))
+    assert rows.schema["text"].dataType == docs.schema["text"].dataType
+    assert sorted((r.doc_id, r.text and bytes(r.text), r.n_bytes) for r in rows.collect()) == [(1, b"ab\xff", 3), (2, None, 0)]
