@@ -248,3 +248,27 @@ def test_streams_of_files_and_folders(spark, tmp_path, folder):
     if folder:
         spark.createDataFrame([], tables["documents"][1]).write.parquet(f"{tmp_path}/none/documents.parquet")
         assert queries()["stream_scan"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_gates_of_long_conversations(spark, tmp_path, monkeypatch):
+    """Turns from the 20th on have their label's answers, turn 100 of a conversation is not turn 0 of the next, far times come too, and the join keeps answers on
+    turns that there are alone."""
+    import duckdb
+    from __spark_entry__ import oracle_sql, queries
+
+    odd = 'say "x"\\\n\t \x01\U0001f600 é'
+    turns = [(c, t, role, f"{odd} {c} {t}") for c, n in ((1, 130), (2, 40), (2_000_000, 2)) for t in range(n) for role in ("user" if t % 2 else "assistant",)]
+    tables = {"conversations": (turns, "conv_id long, turn long, role string, text string"), "labels": ([(c, 1, int(c == 2)) for c in (1, 2, *range(50, 80), 2_000_000)], "doc_id long, quality long, toxic long")}
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    started, each_batch = [], runner.each_batch
+    monkeypatch.setattr(runner, "each_batch", lambda *a: started.append(each_batch(*a)) or started[-1])
+    for name in ("stream_gate", "stream_gate_judged"):
+        got = queries()[name](spark, str(tmp_path))
+        expected = con.sql(oracle_sql()[name]).df()[got.columns]
+        assert sorted(map(tuple, got.collect())) == sorted(expected.itertuples(index=False, name=None)) and len(expected) == 86, name
+    assert {r.reason for r in expected.itertuples()} == {"", "classifier"}
+    (join,) = [o for o in started[-1].recentProgress[0]["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    assert join["numRowsTotal"] <= 2 * 86 + 2  # the feeds' last rows
